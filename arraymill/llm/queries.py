@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,8 +21,13 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.ids_crc32(packing.pack(_table(spark, sf_dir, "documents"), vocabulary()))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken", "copies")
+
+
 QUERIES = {
     "op4_packing": op4_packing,
+    "op5_mixing": op5_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
