@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, packing
+from . import fingerprints, mixing, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,9 +25,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source", "source_size", "target", "taken", "copies")
 
 
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
+    "op6_fingerprints": op6_fingerprints,
 }
 
 ORACLE_SQL: dict[str, str] = {}
