@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, packing
+from . import fingerprints, mixing, ngram_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +29,15 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compared(_table(spark, sf_dir, "documents"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size", "kept")
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
+    "op7_ngram_join": op7_ngram_join,
 }
 
 ORACLE_SQL: dict[str, str] = {}
