@@ -83,3 +83,20 @@ def whole_groups(batches: Iterator[pa.RecordBatch], key: int = 0) -> Iterator[pa
             held.append(batch)
     if held:
         yield pa.Table.from_batches(held)
+
+
+def run_ends(keys: np.ndarray) -> np.ndarray:
+    """Where each run of equal keys ends."""
+    return np.flatnonzero(np.append(keys[1:] != keys[:-1], True)) + 1
+
+
+def dealt_blocks(rows: DataFrame, members: str, block: int, row: str, *group: str) -> DataFrame:
+    """Rows with their group's ``task``; in a group beyond the block size, once for each pair of blocks
+    that theirs is in. ``own`` is a row's block, ``low`` and ``high`` the pair. members: the group's size.
+    """
+    n = F.ceil(F.col(members) / block)
+    own = F.pmod(F.xxhash64(row, F.lit(3)), n)
+    rows = rows.withColumn("blocks", n).withColumn("own", own.cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    return rows.withColumn("low", low).withColumn("high", high).withColumn("task", F.xxhash64(*group, "low", "high"))

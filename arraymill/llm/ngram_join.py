@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components, joined_labels, whole_groups
+from .components import components, dealt_blocks, joined_labels, run_ends, whole_groups
 from .shared import drop_table, text_key, text_or_empty, written
 from .shingles import mixed64, pieces, shingle_hashes
 
@@ -95,16 +95,6 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, text_key bigint, node bigint, size bigint, sig array<bigint>")
 
 
-def _dealt(rows: DataFrame, members: str, block: int, *group: str) -> DataFrame:
-    """Rows of groups beyond the block size, once for each pair of blocks that theirs is in."""
-    n = F.ceil(F.col(members) / block)
-    own = F.pmod(F.xxhash64("node", F.lit(3)), n)
-    rows = rows.withColumn("blocks", n).withColumn("own", own.cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    return rows.withColumn("low", low).withColumn("high", high).withColumn("task", F.xxhash64(*group, "low", "high"))
-
-
 def survivors(nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE, block: int = BLOCK) -> DataFrame:
     """Edges ``u, v`` that span the candidates left after Bayesian pruning."""
     least = fewest_matches(threshold, tolerance)
@@ -114,14 +104,15 @@ def survivors(nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     # of buckets with the same members, the first is enough
     first = F.min(F.struct("band", "word")).over(Window.partitionBy("n", "set"))
     members = members.withColumn("first", first).filter("band = first.band and word = first.word").drop("first", "set")
-    rows = _dealt(members.join(nodes.select("node", "sig"), "node"), "n", block, "band", "word").select("task", "node", "sig")
+    rows = dealt_blocks(members.join(nodes.select("node", "sig"), "node"), "n", block, "node", "band", "word").select("task", "node", "sig")
 
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             task, node = table.column("task").to_numpy(), table.column("node").to_numpy()
             flat = table.column("sig").combine_chunks().flatten().to_numpy()
             sig = np.ascontiguousarray(flat).view("<u2").reshape(len(node), -1)
-            end = np.searchsorted(task, task, side="right") if (np.diff(task) >= 0).all() else _ends(task)
+            last = run_ends(task)
+            end = last[np.searchsorted(last, np.arange(len(task)), side="right")]
             count = end - np.arange(len(task)) - 1
             upto = np.concatenate([[0], np.cumsum(count)])
             labels, row = np.arange(len(task)), 0
@@ -146,11 +137,6 @@ def survivors(nodes: DataFrame, threshold: float = THRESHOLD, tolerance: float =
     return rows.repartition("task").sortWithinPartitions("task").mapInArrow(prune, "u bigint, v bigint").distinct()
 
 
-def _ends(task: np.ndarray) -> np.ndarray:
-    last = np.flatnonzero(np.append(task[1:] != task[:-1], True)) + 1
-    return last[np.searchsorted(last, np.arange(len(task)), side="right")]
-
-
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of the numbers of common elements of sorted distinct arrays."""
     m = len(sets)
@@ -180,13 +166,13 @@ def verified(docs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, w
     members = placed.groupBy("component").agg(F.count("*").alias("n")).join(placed, "component").withColumnRenamed("doc_id", "rep").withColumnRenamed("text_key", "rep_key")
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
     rows = rows.join(members, rows["doc_id"].eqNullSafe(members["rep"]) & (rows["text_key"] == members["rep_key"]))
-    rows = _dealt(rows, "n", block, "component").select("task", "node", "copies", "own", "low", "high", "text")
+    rows = dealt_blocks(rows, "n", block, "node", "component").select("task", "node", "copies", "own", "low", "high", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             task, node, copies, own, low, high = (table.column(c).to_numpy() for c in ("task", "node", "copies", "own", "low", "high"))
             texts = table.column("text").to_pylist()
-            ends = np.flatnonzero(np.append(task[1:] != task[:-1], True)) + 1
+            ends = run_ends(task)
             out: list[tuple[int, np.ndarray, np.ndarray]] = []
             for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
                 _, at = np.unique(node[a:b], return_index=True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, ngram_join, packing
+from . import embedding_dedup, fingerprints, mixing, ngram_join, packing
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,36 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size", "kept")
 
 
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_ngram_join": op7_ngram_join,
+    "op10_embedding_dedup": op10_embedding_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+OP10_SQL = """
+WITH RECURSIVE usable AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, x -> x <> 0)) > 0
+), pairs AS (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+), reach(u, v) AS (
+    SELECT u, v FROM pairs UNION SELECT r.u, p.v FROM reach r JOIN pairs p ON r.v = p.u
+), counts AS (SELECT u, count(*) AS n FROM pairs GROUP BY u),
+least AS (SELECT u, min(v) AS m FROM reach GROUP BY u)
+SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.vec_id)) AS component_id,
+       e.vec_id = least(e.vec_id, coalesce(l.m, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN least l ON l.u = e.vec_id
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op10_embedding_dedup": OP10_SQL,
+}
