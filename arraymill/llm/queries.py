@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, mixing, ngram_join, packing, toxicity
+from . import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,11 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.deduplicated(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.rated(spark, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -37,19 +43,45 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size", "kept")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
     "op5_mixing": op5_mixing,
     "op6_fingerprints": op6_fingerprints,
     "op7_ngram_join": op7_ngram_join,
+    "op8_suffix_dedup": op8_suffix_dedup,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
+OP2_SQL = """
+WITH texts AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
+lines AS (
+    SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS pos FROM texts
+), pairs AS (
+    SELECT a.doc_id AS d, a.pos AS p, b.doc_id AS e, a.pos - b.pos AS shift, length(a.line) + 1 AS chars
+    FROM lines a JOIN lines b ON a.line = b.line AND (b.doc_id < a.doc_id OR (b.doc_id = a.doc_id AND b.pos < a.pos))
+), islands AS (
+    SELECT *, p - row_number() OVER (PARTITION BY d, e, shift ORDER BY p) AS island FROM pairs
+), runs AS (
+    SELECT *, sum(chars) OVER (PARTITION BY d, e, shift, island) AS total FROM islands
+), gone AS (SELECT DISTINCT d, p FROM runs WHERE total >= 50),
+kept AS (
+    SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed,
+           coalesce(string_agg(l.line, chr(10) ORDER BY l.pos) FILTER (WHERE g.p IS NULL), '') AS t
+    FROM lines l LEFT JOIN gone g ON g.d = l.doc_id AND g.p = l.pos GROUP BY l.doc_id
+)
+SELECT doc_id, n_lines, n_removed, md5(t) AS kept_md5 FROM kept
+"""
+
 OP10_SQL = """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
@@ -69,5 +101,6 @@ FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN least l ON l.u
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op10_embedding_dedup": OP10_SQL,
 }
