@@ -100,7 +100,7 @@ def deduplicated(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
     A column n_chars, where there is one, holds the new number of characters.
     """
-    gone = repeated_lines(docs, min_chars).toDF("_line_d", "_line_k", "_line_gone")
+    gone = repeated_lines(docs, min_chars).toDF("_line_d", "_line_k", "_line_gone").hint("merge")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     rows = docs.select(*columns).join(gone, docs["doc_id"].eqNullSafe(gone["_line_d"]) & (text_key(docs["text"]) == gone["_line_k"]), "left")
     lines = F.split(text_or_empty(), "\n", -1)

@@ -86,8 +86,8 @@ OP10_SQL = """
 WITH RECURSIVE usable AS (
     SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
     WHERE label IS NOT NULL AND embedding IS NOT NULL
-      AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, x -> x <> 0)) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), pairs AS (
     SELECT a.vec_id AS u, b.vec_id AS v FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id <> b.vec_id
     WHERE list_cosine_similarity(a.e, b.e) >= 0.93

@@ -198,10 +198,11 @@ def covered(docs: DataFrame, min_len: int = MIN_LEN, limit: int = LIMIT) -> tupl
     rows, rows_at = written(rows.drop("head"), "stretches")
     known = texts.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("rep")).join(rows.select("text_key").distinct(), "text_key")
     known = known.select(F.col("text_key").alias("_key"), F.col("rep.doc_id").alias("_rep"))
-    held = texts.join(known, (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text_key", "text")
+    # tables that grow with the input: no side of these joins is small in a large corpus
+    held = texts.join(known.hint("merge"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text_key", "text")
     held, _ = written(held, "repeating-texts")
     wanted = rows.filter("is_head and not settled").groupBy("text_key").agg(F.collect_list(F.struct("low", "high", "run", "whole", "strings")).alias("parts"))
-    cut = held.dropDuplicates(["text_key"]).join(wanted, "text_key")
+    cut = held.dropDuplicates(["text_key"]).join(wanted.hint("merge"), "text_key")
 
     def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +284,7 @@ def removed(docs: DataFrame, min_len: int = MIN_LEN, limit: int = LIMIT) -> Data
                 rows[2].append(hashlib.sha256(kept_text(text, spans)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], names=["_key", "_removed", "_spans", "_sha"])
 
-    cut = held.dropDuplicates(["text_key"]).join(by_text, "text_key").select("text_key", "text", "ranges").mapInArrow(digest, "_key bigint, _removed bigint, _spans bigint, _sha string")
+    cut = held.dropDuplicates(["text_key"]).join(by_text.hint("merge"), "text_key").select("text_key", "text", "ranges").mapInArrow(digest, "_key bigint, _removed bigint, _spans bigint, _sha string")
     own = docs.select("doc_id", text_key().alias("text_key"), F.octet_length(text_or_empty()).cast("long").alias("n_bytes"), F.sha2(text_or_empty().cast("binary"), 256).alias("sha"))
     own, _ = written(own, "text-digests")
     copies = own.groupBy("text_key").agg(F.count("*").alias("copies"))
