@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embedding_dedup, fingerprints, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
+from . import chat_quotes, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,12 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path is its source, language and id."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(_table(spark, sf_dir, "documents"), path)
+
+
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup.deduplicated(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_lines", "n_removed", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("kept_md5"))
@@ -47,11 +53,16 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removed(_table(spark, sf_dir, "documents"))
 
 
+def op9_chat_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_quotes.conversations(_table(spark, sf_dir, "conversations"))
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
@@ -59,9 +70,57 @@ QUERIES = {
     "op6_fingerprints": op6_fingerprints,
     "op7_ngram_join": op7_ngram_join,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op9_chat_quotes": op9_chat_quotes,
     "op10_embedding_dedup": op10_embedding_dedup,
 }
 
+_NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+_TERM = r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"
+OP1_SQL = f"""
+WITH docs AS (
+    SELECT doc_id, concat_ws('/', source, lang, doc_id || '.txt') AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents
+), lines AS (SELECT doc_id, path, length(text) AS chars, unnest(string_split(text, chr(10))) AS line FROM docs),
+heads AS (
+    SELECT doc_id, path, trim(line, ' ') AS header, length(trim(line, ' ')) / chars AS share FROM lines
+    WHERE regexp_matches(line, '(?i){license_scan.MARKERS}')
+), uniq AS (SELECT header, count(*) AS n FROM heads GROUP BY 1),
+terms AS (
+    SELECT header, any_value(n) AS n, term, count(*) AS tf
+    FROM (SELECT header, n, unnest(regexp_extract_all(lower(header), '{_TERM}')) AS term FROM uniq) GROUP BY header, term
+), total AS (SELECT coalesce(sum(n), 0) AS total FROM uniq),
+df AS (SELECT term, sum(n) AS df FROM terms GROUP BY 1),
+notices(t, license, notice) AS (VALUES {_NOTICES}),
+nterms AS (
+    SELECT t, license, term, count(*) AS tf
+    FROM (SELECT t, license, unnest(regexp_extract_all(lower(notice), '{_TERM}')) AS term FROM notices) GROUP BY ALL
+), w AS (SELECT header, term, tf * (ln((1 + total) / (1 + df)) + 1) AS w FROM terms JOIN df USING (term), total),
+nw AS (SELECT t, license, nterms.term, tf * (ln((1 + total) / (1 + coalesce(df, 0))) + 1) AS w FROM nterms LEFT JOIN df USING (term), total),
+norms AS (SELECT header, sqrt(sum(w * w)) AS norm FROM w GROUP BY 1),
+nnorms AS (SELECT t, sqrt(sum(w * w)) AS norm FROM nw GROUP BY 1),
+scores AS (
+    SELECT w.header, nw.license, round(sum(w.w * nw.w) / (any_value(norms.norm) * any_value(nnorms.norm)), 6) AS score
+    FROM w JOIN nw USING (term) JOIN norms ON norms.header = w.header JOIN nnorms ON nnorms.t = nw.t GROUP BY w.header, nw.t, nw.license
+), best AS (
+    SELECT header, license, score FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, license) AS r FROM scores)
+    WHERE r = 1 AND score >= {license_scan.THRESHOLD}
+), own AS (
+    SELECT doc_id, path, license, score, share FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, share DESC) AS r FROM heads JOIN best USING (header)
+    ) WHERE r = 1
+), files AS (
+    SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, own.path) AS r
+    FROM own JOIN docs USING (doc_id) WHERE share >= {license_scan.FILE_SHARE}
+), dirs AS (
+    SELECT DISTINCT dir, unnest([dir, regexp_replace(dir, '/?[^/]*$', ''), '']) AS above FROM docs
+), near AS (
+    SELECT dirs.dir, dirs.above, license, row_number() OVER (PARTITION BY dirs.dir ORDER BY length(above) DESC) AS n
+    FROM dirs JOIN files ON files.dir = dirs.above AND files.r = 1
+)
+SELECT d.doc_id, d.path, o.license AS own_license, o.score AS own_score, coalesce(o.license, near.license) AS license,
+       CASE WHEN o.license IS NULL THEN near.above END AS inherited_from
+FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN near ON near.dir = d.dir AND near.n = 1
+"""
+
 OP2_SQL = """
 WITH texts AS (SELECT DISTINCT doc_id, coalesce(text, '') AS t FROM documents),
 lines AS (
@@ -101,6 +160,7 @@ FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN least l ON l.u
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op10_embedding_dedup": OP10_SQL,
 }
