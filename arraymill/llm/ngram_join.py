@@ -165,7 +165,8 @@ def verified(docs: DataFrame, placed: DataFrame, threshold: float = THRESHOLD, w
     """
     members = placed.groupBy("component").agg(F.count("*").alias("n")).join(placed, "component").withColumnRenamed("doc_id", "rep").withColumnRenamed("text_key", "rep_key")
     rows = docs.select("doc_id", text_key().alias("text_key"), "text")
-    rows = rows.join(members, rows["doc_id"].eqNullSafe(members["rep"]) & (rows["text_key"] == members["rep_key"]))
+    # both sides grow with the input
+    rows = rows.join(members.hint("merge"), rows["doc_id"].eqNullSafe(members["rep"]) & (rows["text_key"] == members["rep_key"]))
     rows = dealt_blocks(rows, "n", block, "node", "component").select("task", "node", "copies", "own", "low", "high", "text")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
