@@ -86,10 +86,10 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register("cumsum_orders", "SELECT o_orderkey, floor(sum(o_totalprice) OVER (ORDER BY o_orderdate, o_orderkey) + 0.5) AS running FROM orders")
+@_register("cumsum_orders", "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS cents FROM orders")
 def cumsum_orders(spark, sf_dir):
-    rows = running_sum(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), F.col("o_totalprice"), "o_orderdate", "o_orderkey")
-    return rows.select("o_orderkey", F.floor(F.col("running") + 0.5).cast("double").alias("running"))
+    rows = running_sum(_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_totalprice"), F.round(F.col("o_totalprice") * 100).cast("long"), "o_orderdate", "o_orderkey", name="cents")
+    return rows.select("o_orderkey", "cents")
 
 
 @_register("global_rank", "SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS idx FROM customer")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+from ..plans.ordered import ranked
 from .grid import Grid
 
 
@@ -39,29 +41,22 @@ def cluster_pixels(x: Grid, mask: Grid) -> DataFrame:
     Labels spread to neighbours until none changes. A label also takes that of the pixel it names, so
     rounds follow the logarithm of a group's length where it winds little. Each round is checkpointed.
     """
-    spark = x.df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     pixels = mask.df.filter("value").select((F.col("row") * x.cols + F.col("col")).alias("p"), "row", "col")
     offsets = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
     reach = pixels.withColumn("s", F.explode(steps)).select("p", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
-    edges = reach.join(pixels.withColumnRenamed("p", "q"), ["row", "col"]).select("p", "q").checkpoint()
-    labels = pixels.select("p", F.col("p").alias("label")).checkpoint()
+    edges = cut(reach.join(pixels.withColumnRenamed("p", "q"), ["row", "col"]).select("p", "q"))
+    labels = cut(pixels.select("p", F.col("p").alias("label")))
     while True:
         near = edges.join(labels.withColumnRenamed("p", "q"), "q").groupBy("p").agg(F.min("label").alias("_near"))
         new = labels.join(near, "p", "left").select("p", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
         named = labels.select(F.col("p").alias("_new"), F.col("label").alias("_jump"))
-        new = new.join(named, "_new").select("p", F.least("_new", "_jump").alias("_label"), "label").checkpoint()
+        new = cut(new.join(named, "_new").select("p", F.least("_new", "_jump").alias("_label"), "label"))
         changed = new.filter("_label <> label").limit(1).count()
         labels = new.select("p", F.col("_label").alias("label"))
         if not changed:
             break
     ids = labels.select("label").distinct()
-    from ..plans.ordered import ranked
-
     numbered = ranked(ids, "label", name="cluster")
     at = x.df.select((F.col("row") * x.cols + F.col("col")).alias("p"), "row", "col", F.col("value").alias("intensity"))
     return labels.join(numbered, "label").join(at, "p").select("cluster", "row", "col", "intensity")

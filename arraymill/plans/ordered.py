@@ -1,8 +1,8 @@
 """Positions and running sums over a whole table without a one-task window.
 
 A range partitioning puts the rows in order; each partition is numbered or summed by itself, and the
-totals of the partitions before it, one row a partition, are added. The number of partitions is
-fixed by the caller or the session, so that no adaptive step renumbers them between passes.
+totals of the partitions before it, one row a partition, are added. Both passes read one kept copy of
+the partitioning, for a plan that runs twice may sample other bounds.
 """
 
 from __future__ import annotations
@@ -10,13 +10,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .cut import cut
+
 
 def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _dealt(df: DataFrame, order: list[Column], partitions: int | None) -> DataFrame:
-    return df.repartitionByRange(partitions or _parts(df), *order).withColumn("_part", F.spark_partition_id())
+    """Rows with the number of their range, kept, since each run of the plan may cut other ranges."""
+    return cut(df.repartitionByRange(partitions or _parts(df), *order).withColumn("_part", F.spark_partition_id()))
 
 
 def ranked(df: DataFrame, *order: Column | str, name: str = "idx", partitions: int | None = None) -> DataFrame:
