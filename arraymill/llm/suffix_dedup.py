@@ -89,20 +89,35 @@ def stretches(texts: list[bytes], min_len: int = MIN_LEN) -> tuple[np.ndarray, .
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rotations of the symbols in order of their first ``depth`` ones, and each one's place."""
+    """Rotations of the symbols in order of their first ``depth`` ones, and each one's place.
+
+    A rotation's rank is the first place of those that tie with it. Each round sorts the tied ones
+    by the ranks that follow theirs, twice (or, in short inputs, three times) as deep as before.
+    """
     n = len(symbols)
     wide = symbols.astype(np.int64)
     key, span = np.zeros(n, np.int64), min(7, n)
     for i in range(span):
         key = key << 9 | np.roll(wide, -i)
-    while True:
-        order = np.argsort(key, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.append(False, key[order[1:]] != key[order[:-1]]))
-        if span >= depth or rank[order[-1]] == n - 1:
+    order = np.argsort(key)
+    heads = np.append(True, key[order[1:]] != key[order[:-1]])
+    rank = np.empty(n, np.int64)
+    rank[order] = np.flatnonzero(heads)[np.cumsum(heads) - 1]
+    times, bits = (3, 21) if n < 1 << 21 else (2, 31)
+    while span < depth:
+        slots = np.flatnonzero(~(heads & np.append(heads[1:], True)))
+        if not len(slots):
             break
-        key = rank * n + np.roll(rank, -(span % n))
-        span *= 2
+        tied = order[slots]
+        key = rank[tied]
+        for k in range(1, times):
+            key = key << bits | rank[(tied + k * span) % n]
+        by = np.argsort(key)
+        tied, key = tied[by], key[by]
+        order[slots] = tied
+        heads[slots] = own = np.append(True, key[1:] != key[:-1])
+        rank[tied] = slots[own][np.cumsum(own) - 1]
+        span *= times
     place = np.empty(n, np.int64)
     place[order] = np.arange(n)
     return order, place
