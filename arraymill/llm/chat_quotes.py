@@ -79,16 +79,16 @@ def linked(messages: DataFrame) -> DataFrame:
 def threads(links: DataFrame) -> DataFrame:
     """``conv_id, turn, thread``: the turn that opens each message's thread, by pointer doubling."""
     first = links.filter("reply_to is not null").groupBy("conv_id", "reply_to").agg(F.min("turn").alias("turn")).select("conv_id", "turn", F.col("reply_to").alias("up"))
-    now, path = written(links.select("conv_id", "turn").join(first, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("up", "turn").alias("thread")), "chat-threads")
-    left = now.filter("thread <> turn").count()
-    while left:
-        up = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("up"))
-        moved = now.join(up, ["conv_id", "thread"]).select("conv_id", "turn", F.col("up").alias("thread"), (F.col("up") != F.col("thread")).alias("moved"))
-        following, new_path = written(moved, "chat-threads")
-        left = following.filter("moved").count()
+    start = links.select("conv_id", "turn").join(first, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("up", "turn").alias("thread"), F.col("up").isNull().alias("settled"))
+    now, path = written(start, "chat-threads")
+    while now.filter("not settled").limit(1).count():
+        # a message settles once it points to one that has; settled ones rest
+        up = now.select("conv_id", F.col("turn").alias("thread"), F.col("thread").alias("up"), F.col("settled").alias("there"))
+        moved = now.filter("not settled").join(up, ["conv_id", "thread"]).select("conv_id", "turn", F.col("up").alias("thread"), F.col("there").alias("settled"))
+        following, new_path = written(now.filter("settled").unionByName(moved), "chat-threads")
         drop_table(now.sparkSession, path)
-        now, path = following.select("conv_id", "turn", "thread"), new_path
-    return now
+        now, path = following, new_path
+    return now.drop("settled")
 
 
 def conversations(messages: DataFrame) -> DataFrame:
