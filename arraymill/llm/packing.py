@@ -29,7 +29,7 @@ from .shared import text_or_empty, written
 END_ID = 1
 WINDOW = 2048
 #: Entries of a worker's word cache; it is emptied beyond.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 200_000
 _NEAR_SPACE = re.compile(r"\s[ \n]|[ \n]\s|\A\s|\s\Z|\x00")
 
 
@@ -61,17 +61,22 @@ class Encoder:
     def __init__(self, vocabulary: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        plain = Tokenizer.from_file(vocabulary)
         ranks = vocabulary.removesuffix(".json") + ".tiktoken"
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.plain = lambda text: plain.encode(text, add_special_tokens=False).ids
+        self.vocabulary, self._plain = vocabulary, None
         self.fast = fast.encode_ordinary
         self.words = _Words(self.fast)
 
+    def plain(self, text: str) -> list[int]:
+        if self._plain is None:
+            from tokenizers import Tokenizer
+
+            self._plain = Tokenizer.from_file(self.vocabulary)
+        return self._plain.encode(text, add_special_tokens=False).ids
+
     def __call__(self, text: str) -> bytes:
         if "<|" in text:
             return np.array(self.plain(text), dtype="<u2").tobytes()

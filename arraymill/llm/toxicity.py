@@ -2,8 +2,9 @@
 
 Two models, one learnt from toxic and one from ordinary documents, predict each byte of a text from
 the five before it. Both interpolate absolute discounting at six bytes with Kneser-Ney continuation
-counts at four, and both rest on the same backoff: four- and three-byte counts over all documents. A
-text's evidence is the difference of the two log-likelihoods, divided by its length: of all bytes,
+counts at four, and both rest on the same backoff: three-byte counts over all documents, mixed half
+and half with an even guess, lest a word that one class alone has look likely to both. A text's
+evidence is the difference of the two log-likelihoods, divided by its length: of all bytes,
 and of the words in which it stands out, so that a toxic expression isn't lost in a long text. A
 logistic curve over these, fitted on labelled documents that the counts did not see, makes a score.
 
@@ -24,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,12 +37,12 @@ CALIBRATION = 20_000
 DISCOUNT = 0.75
 #: Slots for six-, five-, four- and three-byte counts of a class, and for the shared counts.
 SLOTS6, SLOTS5, SLOTS4, SLOTS3 = 2_097_143, 1_048_573, 1_048_573, 262_139
-SHARED4, SHARED3, SHARED2 = 1_048_573, 262_139, 1 << 16
-#: Weight of the three-byte estimate in the shared four-byte one.
-PRIOR = 8
-#: Nats beyond which a word's evidence stands out, and from which its excess is counted.
-STRONG, EXCESS = 4.0, 2.0
-_PIECE = 1_000_000
+SHARED3, SHARED2 = 262_139, 1 << 16
+#: The even guess: one in about as many letters as a text has.
+EVEN = 1 / 40
+#: Nats beyond which a word's evidence stands out and its excess is counted.
+STRONG = 2.0
+_PIECE = 400_000
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -95,27 +97,27 @@ def class_grams(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Four-, three- and two-byte counts over all documents, by slot."""
+def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Three- and two-byte counts over all documents, by slot."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SHARED4 + SHARED3 + SHARED2, np.int64)
+        sums = np.zeros(SHARED3 + SHARED2, np.int64)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for low, high in _chunks(texts):
                 key, _ = grams(texts[low:high])
                 at = 0
-                for bits, n in ((32, SHARED4), (24, SHARED3), (16, SHARED2)):
+                for bits, n in ((24, SHARED3), (16, SHARED2)):
                     sums[at : at + n] += np.bincount(_slot(key & np.uint64((1 << bits) - 1), n), minlength=n)
                     at += n
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["slot", "n"])
 
     rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "slot bigint, n bigint")
-    out = np.zeros(SHARED4 + SHARED3 + SHARED2, np.float32)
+    out = np.zeros(SHARED3 + SHARED2, np.float32)
     got = rows.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
     out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy()
-    return tuple(np.split(out, [SHARED4, SHARED4 + SHARED3]))
+    return tuple(np.split(out, [SHARED3]))
 
 
 def _slot(key: np.ndarray, n: int) -> np.ndarray:
@@ -125,17 +127,16 @@ def _slot(key: np.ndarray, n: int) -> np.ndarray:
 class Model:
     """Slots of both classes (row 0 ordinary, row 1 toxic), the shared backoff and the curve."""
 
-    def __init__(self, tables: dict[str, np.ndarray], shared: tuple[np.ndarray, np.ndarray, np.ndarray]):
+    def __init__(self, tables: dict[str, np.ndarray], shared: tuple[np.ndarray, np.ndarray]):
         self.tables, self.shared = tables, shared
-        self.curve: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
     def evidence(self, key: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of each byte given the five before it."""
-        t, (four, three, two) = self.tables, self.shared
+        t, (three, two) = self.tables, self.shared
         k4 = key & np.uint64(0xFFFFFFFF)
         h3, k3 = k4 >> np.uint64(8), k4 & np.uint64(0xFFFFFF)
         base = (three[_slot(k3, SHARED3)] + np.float32(1 / 64)) / (two[_slot(k3 >> np.uint64(8), SHARED2)] + np.float32(1))
-        base = (four[_slot(k4, SHARED4)] + np.float32(PRIOR) * base) / (three[_slot(h3, SHARED3)] + np.float32(PRIOR))
+        base = (base + np.float32(EVEN)) / 2
         s6, s5, s4, s3 = _slot(key, SLOTS6), _slot(key >> np.uint64(8), SLOTS5), _slot(k4, SLOTS4), _slot(h3, SLOTS3)
         logs = []
         d = np.float32(DISCOUNT)
@@ -165,34 +166,46 @@ class Model:
             words = np.maximum(np.bincount(doc, minlength=n), 1)
             total = np.bincount(doc, word, minlength=n)
             strong = np.bincount(doc, word > STRONG, minlength=n)
-            excess = np.bincount(doc, np.maximum(word - EXCESS, 0), minlength=n)
+            excess = np.bincount(doc, np.maximum(word - STRONG, 0), minlength=n)
             out[low:high] = np.column_stack([total / np.maximum(np.diff(offset), 1), strong / words, excess / words])
         return out
 
-    def fit_curve(self, features: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> None:
-        """Newton's method for a logistic curve over standardised features."""
-        mean, sd = features.mean(0), features.std(0) + 1e-9
-        x = np.column_stack([np.ones(len(features)), (features - mean) / sd])
-        w = np.zeros(x.shape[1])
+
+Curve = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def fitted_curve(features: np.ndarray, toxic: np.ndarray, rounds: int = 50, ridge: float = 1e-2) -> Curve:
+    """Means, deviations and weights of a logistic curve, by Newton's method.
+
+    More evidence must never lower a score: a feature that gets a weight below zero beside the
+    others, as one of two that agree can, is left out.
+    """
+    mean, sd = features.mean(0), features.std(0) + 1e-9
+    used = np.arange(features.shape[1])
+    while True:
+        x = np.column_stack([np.ones(len(features)), ((features - mean) / sd)[:, used]])
+        w, pull = np.zeros(x.shape[1]), np.append(0.0, np.full(len(used), ridge))
         for _ in range(rounds):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            pull = np.append(0.0, np.full(x.shape[1] - 1, ridge))
             step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(pull + 1e-9), x.T @ (toxic - p) - pull * w)
             w += np.clip(step, -4, 4)
             if np.abs(step).max() < 1e-8:
                 break
-        self.curve = mean, sd, w
+        if not len(used) or w[1:].min() >= 0:
+            break
+        used = np.delete(used, int(np.argmin(w[1:])))
+    out = np.zeros(1 + features.shape[1])
+    out[0], out[1 + used] = w[0], w[1:]
+    return mean, sd, out
+
 
-    def scores(self, texts: list[str]) -> np.ndarray:
-        if self.curve is None:
-            return np.zeros(len(texts))
-        mean, sd, w = self.curve
-        x = (self.features(texts) - mean) / sd
-        return 1 / (1 + np.exp(-np.clip(w[0] + x @ w[1:], -30, 30)))
+def on_curve(features: np.ndarray, curve: Curve) -> np.ndarray:
+    mean, sd, w = curve
+    return 1 / (1 + np.exp(-np.clip(w[0] + (features - mean) / sd @ w[1:], -30, 30)))
 
 
-def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibration: int = CALIBRATION) -> Model:
-    """The model from documents whose labels may be learnt from (remainder 1 to 4)."""
+def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibration: int = CALIBRATION) -> tuple[Broadcast, Curve | None]:
+    """The model, sent to the executors once, and its curve, from documents whose labels may be learnt from (remainder 1 to 4)."""
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     known = known.withColumn("fold", remainder()).filter("fold > 0")
@@ -220,8 +233,8 @@ def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibra
     tables |= slots(fours, k, SLOTS4, n4=counted)
     tables |= slots(fours, F.shiftright(k, 8), SLOTS3, all4=counted, kinds4=kinds)
     drop_table(spark, path)
-    model = Model(tables, shared_counts(docs))
-    held = spark.sparkContext.broadcast(model)
+    # slots bound its size to about 60 MB
+    held = spark.sparkContext.broadcast(Model(tables, shared_counts(docs)))
 
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:
@@ -230,29 +243,29 @@ def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibra
     fitting = texts.filter("fold = 4").select("toxic", "text", F.xxhash64("doc_id", F.lit(2)).alias("h")).orderBy("h").limit(calibration)
     seen = fitting.select("toxic", features("text").alias("x")).collect()
     toxic = np.array([r["toxic"] for r in seen], float)
-    if len(set(toxic.tolist())) == 2:
-        model.fit_curve(np.array([r["x"] for r in seen]), toxic)
-    held.unpersist()
-    return model
+    if len(set(toxic.tolist())) < 2:
+        return held, None
+    return held, fitted_curve(np.array([r["x"] for r in seen]), toxic)
 
 
-def scored(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+def scored(docs: DataFrame, held: Broadcast, curve: Curve | None, name: str = "score") -> DataFrame:
     """The documents with their score as a further column."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    if curve is None:
+        return docs.withColumn(name, F.lit(0.0))
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(held.value.scores(text.tolist()))
+        return pd.Series(on_curve(held.value.features(text.tolist()), curve))
 
     return docs.withColumn(name, score(text_or_empty()))
 
 
 def rated(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document."""
-    out = scored(docs.select("doc_id", "text"), learnt(docs, labels))
+    out = scored(docs.select("doc_id", "text"), *learnt(docs, labels))
     return out.select("doc_id", (remainder() == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that score below one half."""
-    return scored(docs, learnt(docs, labels), "_toxic_score").filter("_toxic_score < 0.5").select(*docs.columns)
+    return scored(docs, *learnt(docs, labels), "_toxic_score").filter("_toxic_score < 0.5").select(*docs.columns)
