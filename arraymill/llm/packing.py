@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import text_or_empty, written
+from .shared import give_back, text_or_empty, written
 
 END_ID = 1
 WINDOW = 2048
@@ -112,6 +112,7 @@ def tokenised(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col
                 starts = start + np.cumsum(n) - n
                 start += int(n.sum())
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.full(len(ids), part, np.int32)), pa.array(starts), pa.array(n), pa.array(ids, pa.binary())], names=["doc_id", "part", "start", "n", "ids"])
+            give_back()
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))

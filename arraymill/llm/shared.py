@@ -8,10 +8,13 @@ Tables that a later step replaces are deleted at once, the rest when the driver
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 import weakref
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,13 @@ def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def give_back() -> None:
+    """Return freed memory to the system, which a worker that waits for its next task else keeps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_or_empty(col: str | Column = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))

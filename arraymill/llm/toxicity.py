@@ -29,7 +29,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import drop_table, text_or_empty, written
+from .shared import drop_table, give_back, text_or_empty, written
 
 #: Labelled rows used, at most, and those of them that the curve is fitted on, at most.
 LABELLED = 200_000
@@ -42,7 +42,7 @@ SHARED3, SHARED2 = 262_139, 1 << 16
 EVEN = 1 / 40
 #: Nats beyond which a word's evidence stands out and its excess is counted.
 STRONG = 2.0
-_PIECE = 400_000
+_PIECE = 200_000
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -92,6 +92,7 @@ def class_grams(labelled: DataFrame) -> DataFrame:
                 both, n = np.unique(key << np.uint64(1) | bad, return_counts=True)
                 is_bad = (both & np.uint64(1)).astype(np.int64)
                 yield pa.RecordBatch.from_arrays([pa.array((both >> np.uint64(1)).astype(np.int64)), pa.array(n * is_bad), pa.array(n * (1 - is_bad))], names=["k", "toxic", "ordinary"])
+            give_back()
 
     rows = labelled.select("text", "toxic").mapInArrow(count, "k bigint, toxic bigint, ordinary bigint")
     return rows.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
@@ -110,6 +111,8 @@ def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 for bits, n in ((24, SHARED3), (16, SHARED2)):
                     sums[at : at + n] += np.bincount(_slot(key & np.uint64((1 << bits) - 1), n), minlength=n)
                     at += n
+            del texts
+            give_back()
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["slot", "n"])
 
@@ -238,10 +241,13 @@ def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibra
 
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:
-        return pd.Series(list(held.value.features(text.tolist())))
+        found = list(held.value.features(text.tolist()))
+        give_back()
+        return pd.Series(found)
 
     fitting = texts.filter("fold = 4").select("toxic", "text", F.xxhash64("doc_id", F.lit(2)).alias("h")).orderBy("h").limit(calibration)
     seen = fitting.select("toxic", features("text").alias("x")).collect()
+    give_back()
     toxic = np.array([r["toxic"] for r in seen], float)
     if len(set(toxic.tolist())) < 2:
         return held, None
@@ -255,7 +261,9 @@ def scored(docs: DataFrame, held: Broadcast, curve: Curve | None, name: str = "s
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:
-        return pd.Series(on_curve(held.value.features(text.tolist()), curve))
+        scores = on_curve(held.value.features(text.tolist()), curve)
+        give_back()
+        return pd.Series(scores)
 
     return docs.withColumn(name, score(text_or_empty()))
 
