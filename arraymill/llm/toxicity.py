@@ -8,9 +8,9 @@ evidence is the difference of the two log-likelihoods, divided by its length: of
 and of the words in which it stands out, so that a toxic expression isn't lost in a long text. A
 logistic curve over these, fitted on labelled documents that the counts did not see, makes a score.
 
-What is gathered has fixed bounds: counts fall into slots (below), labels are a sample of at most
-``LABELLED`` rows, the curve is fitted on at most ``CALIBRATION`` of them; tables of exact n-gram
-counts stay distributed.
+All labelled rows that may be learnt from are counted; only the curve is fitted on a sample, of at
+most ``CALIBRATION`` labels. Counts fall into slots (below); tables of exact n-gram counts stay
+distributed.
 
 Defined results: null counts as the empty text, which scores by the curve at no evidence. Labels
 that are null are left out; of several labels of a document the larger holds. With no labelled
@@ -31,8 +31,7 @@ from pyspark.sql import functions as F
 
 from .shared import drop_table, give_back, text_or_empty, written
 
-#: Labelled rows used, at most, and those of them that the curve is fitted on, at most.
-LABELLED = 200_000
+#: Labels that the curve is fitted on, at most.
 CALIBRATION = 20_000
 DISCOUNT = 0.75
 #: Slots for six-, five-, four- and three-byte counts of a class, and for the shared counts.
@@ -207,15 +206,14 @@ def on_curve(features: np.ndarray, curve: Curve) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(w[0] + (features - mean) / sd @ w[1:], -30, 30)))
 
 
-def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibration: int = CALIBRATION) -> tuple[Broadcast, Curve | None]:
+def learnt(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -> tuple[Broadcast, Curve | None]:
     """The model, sent to the executors once, and its curve, from documents whose labels may be learnt from (remainder 1 to 4)."""
     spark = docs.sparkSession
     known = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("fold", remainder()).filter("fold > 0")
-    sample = known.orderBy(F.xxhash64("doc_id", F.lit(1)), "doc_id").limit(labelled).toDF("_id", "toxic", "fold")
-    # at most ``labelled`` rows of 24 bytes
-    texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id"))
-    exact, path = written(class_grams(texts.filter("fold < 4")), "toxic-grams")
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    fold = remainder()
+    counted_texts = texts.filter((fold > 0) & (fold < 4)).join(known.filter((fold > 0) & (fold < 4)), "doc_id")
+    exact, path = written(class_grams(counted_texts), "toxic-grams")
     by_class = ("ordinary", "toxic")
     k = F.col("k")
 
@@ -245,8 +243,10 @@ def learnt(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, calibra
         give_back()
         return pd.Series(found)
 
-    fitting = texts.filter("fold = 4").select("toxic", "text", F.xxhash64("doc_id", F.lit(2)).alias("h")).orderBy("h").limit(calibration)
-    seen = fitting.select("toxic", features("text").alias("x")).collect()
+    present = known.filter(fold == 4).join(docs.select("doc_id"), "doc_id", "left_semi")
+    sample = present.orderBy(F.xxhash64("doc_id", F.lit(2)), "doc_id").limit(calibration)
+    # at most ``calibration`` rows of an id and a class
+    seen = texts.filter(fold == 4).join(F.broadcast(sample), "doc_id").select("toxic", features("text").alias("x")).collect()
     give_back()
     toxic = np.array([r["toxic"] for r in seen], float)
     if len(set(toxic.tolist())) < 2:

@@ -70,3 +70,15 @@ def test_counts_agree_with_plain_ones(spark):
     assert key.tolist() == plain and offset[-1] == len(plain)
     rows = spark.createDataFrame([("abab", 1), ("abab", 0), ("abab", 1)], "text string, toxic int")
     assert {(r.toxic, r.ordinary) for r in toxicity.class_grams(rows).collect()} == {(2, 1)}
+
+
+def test_every_learnable_label_is_counted(spark, corpus, monkeypatch):
+    docs, labels = corpus
+    seen = []
+    count = toxicity.class_grams
+    monkeypatch.setattr(toxicity, "class_grams", lambda rows: seen.append(rows.count()) or count(rows))
+    defaults = tuple(50 if d == 200_000 else d for d in toxicity.learnt.__defaults__)
+    monkeypatch.setattr(toxicity.learnt, "__defaults__", defaults)
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    toxicity.learnt(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) for i, _ in labels)]
