@@ -2,15 +2,15 @@
 
 Two models, one learnt from toxic and one from ordinary documents, predict each byte of a text from
 the five before it. Both interpolate absolute discounting at six bytes with Kneser-Ney continuation
-counts at four, and both rest on the same backoff: three-byte counts over all documents, mixed half
-and half with an even guess, lest a word that one class alone has look likely to both. A text's
-evidence is the difference of the two log-likelihoods, divided by its length: of all bytes,
+counts at four, and both rest on the same backoff: four- and three-byte counts over all documents,
+mixed half and half with an even guess, lest a word that one class alone has look likely to both. A
+text's evidence is the difference of the two log-likelihoods, divided by its length: of all bytes,
 and of the words in which it stands out, so that a toxic expression isn't lost in a long text. A
 logistic curve over these, fitted on labelled documents that the counts did not see, makes a score.
 
 All labelled rows that may be learnt from are counted; only the curve is fitted on a sample, of at
-most ``CALIBRATION`` labels. Counts fall into slots (below); tables of exact n-gram counts stay
-distributed.
+most ``CALIBRATION`` labels. Counts are exact and kept by their whole keys: the model grows with the
+number of distinct n-grams, about 16 bytes for each of six bytes, and no two share a count.
 
 Defined results: null counts as the empty text, which scores by the curve at no evidence. Labels
 that are null are left out; of several labels of a document the larger holds. With no labelled
@@ -34,14 +34,14 @@ from .shared import drop_table, give_back, text_or_empty, written
 #: Labels that the curve is fitted on, at most.
 CALIBRATION = 20_000
 DISCOUNT = 0.75
-#: Slots for six-, five-, four- and three-byte counts of a class, and for the shared counts.
-SLOTS6, SLOTS5, SLOTS4, SLOTS3 = 2_097_143, 1_048_573, 1_048_573, 262_139
-SHARED3, SHARED2 = 262_139, 1 << 16
+#: Weight of the three-byte estimate in the shared four-byte one.
+PRIOR = 8
 #: The even guess: one in about as many letters as a text has.
 EVEN = 1 / 40
 #: Nats beyond which a word's evidence stands out and its excess is counted.
 STRONG = 2.0
 _PIECE = 200_000
+_FOUR = np.uint64(0xFFFFFFFF)
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 
 
@@ -97,58 +97,66 @@ def class_grams(labelled: DataFrame) -> DataFrame:
     return rows.groupBy("k").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def shared_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Three- and two-byte counts over all documents, by slot."""
+def shared_grams(docs: DataFrame) -> DataFrame:
+    """``k, n``: exact counts of four-byte keys over all documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros(SHARED3 + SHARED2, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
+            texts, keys, counts = batch.column(0).to_pylist(), [], []
             for low, high in _chunks(texts):
-                key, _ = grams(texts[low:high])
-                at = 0
-                for bits, n in ((24, SHARED3), (16, SHARED2)):
-                    sums[at : at + n] += np.bincount(_slot(key & np.uint64((1 << bits) - 1), n), minlength=n)
-                    at += n
+                key, n = np.unique((grams(texts[low:high])[0] & _FOUR).astype(np.uint32), return_counts=True)
+                keys.append(key)
+                counts.append(n)
+            if keys:
+                key, at = np.unique(np.concatenate(keys), return_inverse=True)
+                n = np.bincount(at, np.concatenate(counts)).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(n)], names=["k", "n"])
             del texts
             give_back()
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(sums[some])], names=["slot", "n"])
 
-    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "slot bigint, n bigint")
-    out = np.zeros(SHARED3 + SHARED2, np.float32)
-    got = rows.groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    out[got["slot"].to_numpy(np.int64)] = got["n"].to_numpy()
-    return tuple(np.split(out, [SHARED3]))
+    rows = docs.select(text_or_empty().alias("text")).mapInArrow(count, "k bigint, n bigint")
+    return rows.groupBy("k").agg(F.sum("n").alias("n"))
 
 
-def _slot(key: np.ndarray, n: int) -> np.ndarray:
-    return (key % np.uint64(n)).astype(np.int64)
+class Counts:
+    """Exact counts by key, one row of ``n`` for each kind of count; a key that isn't there counts 0."""
+
+    def __init__(self, keys: np.ndarray, n: np.ndarray):
+        order = np.argsort(keys)
+        self.keys = keys[order].astype(np.uint64)
+        self.n = np.concatenate([n[:, order], np.zeros((len(n), 1))], axis=1).astype(np.float32)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return np.zeros((len(self.n), len(key)), np.float32)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return self.n[:, np.where(self.keys[at] == key, at, len(self.keys))]
 
 
 class Model:
-    """Slots of both classes (row 0 ordinary, row 1 toxic), the shared backoff and the curve."""
+    """Counts of both classes (ordinary, toxic) by order, and the shared backoff."""
 
-    def __init__(self, tables: dict[str, np.ndarray], shared: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, tables: dict[str, Counts], shared: dict[int, Counts]):
         self.tables, self.shared = tables, shared
 
     def evidence(self, key: np.ndarray) -> np.ndarray:
         """Toxic minus ordinary log-probability of each byte given the five before it."""
-        t, (three, two) = self.tables, self.shared
-        k4 = key & np.uint64(0xFFFFFFFF)
-        h3, k3 = k4 >> np.uint64(8), k4 & np.uint64(0xFFFFFF)
-        base = (three[_slot(k3, SHARED3)] + np.float32(1 / 64)) / (two[_slot(k3 >> np.uint64(8), SHARED2)] + np.float32(1))
+        key, back = np.unique(key, return_inverse=True)
+        t, eight, d = self.tables, np.uint64(8), np.float32(DISCOUNT)
+        k4 = key & _FOUR
+        h3, k3 = k4 >> eight, k4 & np.uint64(0xFFFFFF)
+        base = (self.shared[3](k3)[0] + np.float32(1 / 64)) / (self.shared[2](k3 >> eight)[0] + np.float32(1))
+        base = (self.shared[4](k4)[0] + np.float32(PRIOR) * base) / (self.shared[3](h3)[0] + np.float32(PRIOR))
         base = (base + np.float32(EVEN)) / 2
-        s6, s5, s4, s3 = _slot(key, SLOTS6), _slot(key >> np.uint64(8), SLOTS5), _slot(k4, SLOTS4), _slot(h3, SLOTS3)
+        n4, low4, n6, low6 = t["n4"](k4), t["all4"](h3), t["n6"](key), t["all6"](key >> eight)
         logs = []
-        d = np.float32(DISCOUNT)
         for c in (0, 1):
-            all4 = t["all4"][c][s3]
-            low = np.where(all4 > 0, (np.maximum(t["n4"][c][s4] - d, 0) + d * t["kinds4"][c][s3] * base) / np.maximum(all4, 1), base)
-            all6 = t["all6"][c][s5]
-            top = np.where(all6 > 0, (np.maximum(t["n6"][c][s6] - d, 0) + d * t["kinds6"][c][s5] * low) / np.maximum(all6, 1), low)
+            all4, kinds4 = low4[c], low4[2 + c]
+            low = np.where(all4 > 0, (np.maximum(n4[c] - d, 0) + d * kinds4 * base) / np.maximum(all4, 1), base)
+            all6, kinds6 = low6[c], low6[2 + c]
+            top = np.where(all6 > 0, (np.maximum(n6[c] - d, 0) + d * kinds6 * low) / np.maximum(all6, 1), low)
             logs.append(np.log(np.maximum(top, 1e-12)))
-        return logs[1] - logs[0]
+        return (logs[1] - logs[0])[back]
 
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: evidence per byte, share of strong words, mean excess of its words."""
@@ -217,25 +225,23 @@ def learnt(docs: DataFrame, labels: DataFrame, calibration: int = CALIBRATION) -
     by_class = ("ordinary", "toxic")
     k = F.col("k")
 
-    def slots(rows: DataFrame, key: Column, n: int, **sums: Column) -> dict[str, np.ndarray]:
-        got = rows.groupBy((key % n).alias("slot")).agg(*[F.sum(c).alias(f"{name}_{by_class.index(col)}") for name, f in sums.items() for col in by_class for c in [f(col)]]).toPandas()
-        out = {name: np.zeros((2, n), np.float32) for name in sums}
-        at = got["slot"].to_numpy(np.int64)
-        for name in sums:
-            for c in (0, 1):
-                out[name][c][at] = got[f"{name}_{c}"].to_numpy()
+    def table(rows: DataFrame, key: Column, *sums: Column) -> Counts:
+        got = rows.groupBy(key.alias("k")).agg(*[F.sum(c).alias(f"n{i}") for i, c in enumerate(sums)]).toArrow()
+        out = Counts(got["k"].to_numpy(), np.stack([got[f"n{i}"].to_numpy().astype(np.float64) for i in range(len(sums))]))
+        del got
+        give_back()
         return out
 
-    counted = lambda c: F.col(c)
-    kinds = lambda c: (F.col(c) > 0).cast("long")
-    fours = exact.groupBy(k.bitwiseAND(F.lit(0xFFFFFFFF)).alias("k")).agg(*[F.sum((F.col(c) > 0).cast("long")).alias(c) for c in by_class])
-    tables = slots(exact, k, SLOTS6, n6=counted)
-    tables |= slots(exact, F.shiftright(k, 8), SLOTS5, all6=counted, kinds6=kinds)
-    tables |= slots(fours, k, SLOTS4, n4=counted)
-    tables |= slots(fours, F.shiftright(k, 8), SLOTS3, all4=counted, kinds4=kinds)
+    counted = [F.col(c) for c in by_class]
+    kinds = [(F.col(c) > 0).cast("long") for c in by_class]
+    fours = exact.groupBy(k.bitwiseAND(F.lit(0xFFFFFFFF)).alias("k")).agg(*[F.sum(kind).alias(c) for c, kind in zip(by_class, kinds, strict=True)])
+    tables = {"n6": table(exact, k, *counted), "all6": table(exact, F.shiftright(k, 8), *counted, *kinds)}
+    tables |= {"n4": table(fours, k, *counted), "all4": table(fours, F.shiftright(k, 8), *counted, *kinds)}
+    drop_table(spark, path)
+    common, path = written(shared_grams(docs), "shared-grams")
+    shared = {size: table(common, k.bitwiseAND(F.lit((1 << 8 * size) - 1)), F.col("n")) for size in (4, 3, 2)}
     drop_table(spark, path)
-    # slots bound its size to about 60 MB
-    held = spark.sparkContext.broadcast(Model(tables, shared_counts(docs)))
+    held = spark.sparkContext.broadcast(Model(tables, shared))
 
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -82,3 +83,25 @@ def test_every_learnable_label_is_counted(spark, corpus, monkeypatch):
     table = spark.createDataFrame(docs, "doc_id long, text string")
     toxicity.learnt(table, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert seen == [sum(zlib.crc32(str(i).encode()) % 5 in (1, 2, 3) for i, _ in labels)]
+
+
+def test_every_key_has_its_own_count(spark, corpus):
+    docs, labels = corpus
+    table = spark.createDataFrame(docs[:200], "doc_id long, text string")
+    model = toxicity.learnt(table, spark.createDataFrame(labels, "doc_id long, toxic int"))[0].value
+    known = dict(labels)
+    six, four = Counter(), Counter()
+    for i, text in docs[:200]:
+        keys = toxicity.grams([text])[0].tolist()
+        four.update(k & 0xFFFFFFFF for k in keys)
+        if i in known and zlib.crc32(str(i).encode()) % 5 in (1, 2, 3):
+            six.update((k, known[i]) for k in keys)
+    keys = np.array(sorted({k for k, _ in six}), np.uint64)
+    # keys that differ by a multiple of the size of a slot table that there was, and were never seen
+    others = keys + np.uint64(2_097_143)
+    others = others[~np.isin(others, keys)]
+    found = model.tables["n6"](keys)
+    assert found.T.tolist() == [[six[k, 0], six[k, 1]] for k in keys.tolist()]
+    assert len(others) and not model.tables["n6"](others).any()
+    fours = np.array(sorted(four), np.uint64)
+    assert model.shared[4](fours)[0].tolist() == [four[k] for k in fours.tolist()]
