@@ -4,8 +4,8 @@ A header is a line with a word that any licence notice has. Each distinct header
 every template by the cosine of their sparse TF-IDF vectors, inverse frequencies being those of the
 corpus' headers; a document's own licence is that of its best header, if that reaches the threshold.
 A document is a licence file for its directory if its name says so or its licence header makes up
-most of its text. A document without a licence of its own takes that of the licence file of the
-nearest directory above it. DataFrame and SQL functions only.
+most of its text. A document that states no licence of its own takes that of the licence file of the
+nearest directory above it; one whose own licence no template covers has none. DataFrame and SQL functions only.
 
 Defined results: null texts and paths count as empty; an empty path lies in the root directory. Of
 headers or files that tie, the higher score, then the lesser licence name, then the lesser path
@@ -29,11 +29,30 @@ TEMPLATES = (
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("EPL-2.0", "This program is made available under the terms of the Eclipse Public License 2.0"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright to this work. CC0 1.0 Universal"),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
 #: A line without any of these is no header (fixed values).
 MARKERS = "licen[cs]|copyright|spdx|public domain|hereby granted|redistribution and use"
+#: A header with one of these states a licence, known or not; a mere mention or a copyright doesn't (fixed values).
+STATED = r"licen[cs]ed\s+(?:under|to|by|as|for)\b|\bunder\b.*\blicen[cs]es?\b|licen[cs]e(?:-identifier)?\s*[:=]|spdx|public domain|hereby granted|redistribution and use"
 FILE_NAMES = "^(licen[cs]e|copying|notice|unlicense)([.-].*)?$"
 THRESHOLD = 0.6
 FILE_SHARE = 0.5
@@ -84,15 +103,16 @@ def scan(docs: DataFrame, path: Column, templates=TEMPLATES, threshold: float =
     rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), text_key().alias("text_key"), text_or_empty().alias("text"))
     found, _ = written(headers(rows.select(F.struct("doc_id", "path", "text_key").alias("key"), "text")), "licence-headers")
     best = scores(found, templates).filter(F.col("score") >= threshold)
-    own = found.join(best, "header").groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "license", (-F.col("share")).alias("share"))).alias("best"))
-    own = own.select(F.col("key.doc_id").alias("_d"), F.col("key.path").alias("_p"), F.col("key.text_key").alias("_k"), F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"), (-F.col("best.share")).alias("share"))
+    ranked = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "license", (-F.col("share")).alias("share")))
+    own = found.join(best, "header", "left").groupBy("key").agg(F.min(ranked).alias("best"), F.max(F.col("header").rlike("(?i)" + STATED)).alias("stated"))
+    own = own.select(F.col("key.doc_id").alias("_d"), F.col("key.path").alias("_p"), F.col("key.text_key").alias("_k"), F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"), (-F.col("best.share")).alias("share"), "stated")
     own, _ = written(own, "licence-own")
     slim = rows.select("doc_id", "path", "text_key")
     met = slim["doc_id"].eqNullSafe(own["_d"]) & (slim["path"] == own["_p"]) & (slim["text_key"] == own["_k"])
     directory = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    every = slim.join(own, met, "left").select("doc_id", "path", "own_license", "own_score", directory.alias("directory"))
+    every = slim.join(own, met, "left").select("doc_id", "path", "own_license", "own_score", F.coalesce("stated", F.lit(False)).alias("stated"), directory.alias("directory"))
     name = F.lower(F.element_at(F.split("_p", "/"), -1))
-    files = own.filter(name.rlike(FILE_NAMES) | (F.col("share") >= file_share)).select(F.regexp_extract("_p", r"^(.*)/[^/]*$", 1).alias("above"), F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"), F.col("_p").alias("path")).alias("file"))
+    files = own.filter("own_license is not null").filter(name.rlike(FILE_NAMES) | (F.col("share") >= file_share)).select(F.regexp_extract("_p", r"^(.*)/[^/]*$", 1).alias("above"), F.struct((-F.col("own_score")).alias("s"), F.col("own_license").alias("license"), F.col("_p").alias("path")).alias("file"))
     files = files.groupBy("above").agg(F.min("file").alias("file")).select("above", F.col("file.license").alias("file_license"))
     # directories and all those above them, the root being the empty path
     parts = F.split("directory", "/")
@@ -100,5 +120,5 @@ def scan(docs: DataFrame, path: Column, templates=TEMPLATES, threshold: float =
     above = every.select("directory").distinct().withColumn("depth", F.explode(depths)).withColumn("above", F.array_join(F.slice(parts, F.lit(1), F.col("depth")), "/"))
     nearest = above.join(files, "above").groupBy("directory").agg(F.max(F.struct("depth", "above", "file_license")).alias("near"))
     out = every.join(nearest, "directory", "left")
-    inherits = F.col("own_license").isNull()
-    return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "near.file_license").alias("license"), F.when(inherits, F.col("near.above")).alias("inherited_from"))
+    inherits = F.col("own_license").isNull() & ~F.col("stated")
+    return out.select("doc_id", "path", "own_license", "own_score", F.when(inherits, F.col("near.file_license")).otherwise(F.col("own_license")).alias("license"), F.when(inherits, F.col("near.above")).alias("inherited_from"))

@@ -60,3 +60,11 @@ def test_agrees_with_brute_force(spark):
 
 def test_empty_table(spark):
     assert ls.scan(spark.createDataFrame([], "doc_id long, path string, text string"), F.col("path")).count() == 0
+
+
+def test_own_statements_hold_before_inheritance(spark):
+    rows = [(1, "d/LICENSE", "Released under the MIT License."), (2, "d/a.txt", "Text that is much longer than its notice\nLicensed under CC BY-NC 4.0."), (3, "d/b.txt", "Licensed under the terms of nobody knows what, but its own\n" + "more text " * 9), (4, "d/c.txt", "nothing"), (5, "d/e.txt", "Copyright somebody")]
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert (got[2].own_license, got[2].own_score, got[2].license) == ("CC-BY-NC-4.0", 1.0, "CC-BY-NC-4.0")
+    assert (got[3].own_license, got[3].license, got[3].inherited_from) == (None, None, None)
+    assert all((got[i].license, got[i].inherited_from) == ("MIT", "d") for i in (4, 5))
