@@ -1,20 +1,26 @@
 """Byte-level deduplication: remove what a string of ``MIN_LEN`` bytes covers that starts elsewhere too.
 
-Every window of MIN_LEN bytes has an anchor, the least of its leading 16-byte hashes, and a phrase
-run, the anchors' text from there to the first anchor at least ``RUN`` bytes on. Both lie in the
-window, so equal windows have equal runs: runs that occur once can't hold repeats and go. Windows
-that follow one another with one anchor form a stretch. Stretches that are equal as a whole settle
-all their windows; what is left are the ends of repeats, one copy of each distinct stretch.
-
-On those the suffix array's common prefixes are found by breadth-first backward extension on the
+Every window of MIN_LEN bytes has an anchor, the least of its leading 16-byte hashes. The bytes from
+the anchor on that each window with it holds, MIN_LEN less the reach of anchors, are its run: equal
+windows have equal runs, so runs at one place only can't hold repeats and go. Windows that follow one
+another with one anchor form a stretch. Stretches that are equal as a whole settle all their windows.
+What is left are the ends of repeats, one copy of each distinct stretch; a task that holds a run cuts
+them into parts of ``PART`` windows and drops or settles these alike, by longer runs.
+
+On the rest the suffix array's common prefixes are found by breadth-first backward extension on the
 Burrows-Wheeler transform: intervals of strings of 0, 1, 2, ... bytes are extended to the left, and
 the first interval that ends at a boundary gives the common prefix there. Values come in increasing
-order, and the search stops at MIN_LEN: boundaries it hasn't met are repeats. A phrase run with more
-than ``LIMIT`` distinct stretches, too many for a task, has its windows compared by hash instead.
+order, and the search stops at MIN_LEN: boundaries it hasn't met are repeats. A run with more than
+``LIMIT`` distinct stretches, too many for a task, has their windows compared singly, by hash.
+
+Stretches are equal where 64 bits of the run and 64 of the whole are; a run's key alone drops nothing
+that repeats. No group's rows meet in one task: a run's places are counted by aggregates that combine
+before they are shuffled, and joins carry the result back.
 
 Defined results: null counts as the empty text; texts below MIN_LEN bytes keep all; texts that equal
-another row's lose all from MIN_LEN bytes on. Rows that repeat are documents of their own. An empty
-table gives an empty result.
+another row's lose all from MIN_LEN bytes on. Rows that repeat are documents of their own. A very long
+text is taken apart by one task, which holds some 60 bytes for each of its bytes. Columns that
+documents have besides don't matter, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import run_ends, whole_groups
@@ -33,19 +39,19 @@ from .shingles import mixed64, pieces, prefix_hash, span_hash
 
 MIN_LEN = 400
 GRAM = 16
-SPAN = 128
-#: Distinct stretches of a phrase run that one task indexes; beyond, windows are compared by hash.
+SPAN = 192
+#: Window starts that a part of a stretch holds.
+PART = 16
+#: Distinct stretches of a run that one task indexes; beyond, windows are compared by hash.
 LIMIT = 4096
 #: Bytes that are indexed at once.
 BATCH = 1_000_000
 
 
-def _spans(min_len: int) -> tuple[int, int, int]:
-    """Hash length, anchor window and phrase-run length for a minimum length."""
+def _spans(min_len: int) -> tuple[int, int]:
+    """Hash length and reach of anchors for a minimum length."""
     gram = min(GRAM, max(1, min_len // 8))
-    span = max(1, min(SPAN, (min_len - gram) // 3))
-    # the last anchor within a window starts at least this far from the first
-    return gram, span, min_len - gram - 2 * span + 2
+    return gram, max(1, min(SPAN, (min_len - gram) // 2))
 
 
 def window_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -61,8 +67,8 @@ def window_least(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(texts: list[bytes], min_len: int = MIN_LEN) -> tuple[np.ndarray, ...]:
-    """Of texts of at least min_len bytes: text index, first and last window start, run and stretch hash."""
-    gram, span, run = _spans(min_len)
+    """Of texts of at least min_len bytes: text index, first and last window start, bytes from the first to the anchor, run and stretch hash."""
+    gram, span = _spans(min_len)
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(t) for t in texts])
     prefix = prefix_hash(data)
@@ -79,13 +85,31 @@ def stretches(texts: list[bytes], min_len: int = MIN_LEN) -> tuple[np.ndarray, .
     own, low, text = anchor[first], start[first], text[first]
     high = np.append(start[first[1:] - 1], start[-1])
     high = np.minimum(high, ends[text] - min_len)
-    follow = np.searchsorted(own, own + run)
     some = low <= high
-    own, low, high, text, follow = own[some], low[some], high[some], text[some], own[np.minimum(follow[some], len(own) - 1)]
+    own, low, high, text = own[some], low[some], high[some], text[some]
     begin = np.append(0, ends)[text]
-    runs = mixed64(span_hash(prefix, own, follow + gram) + (follow - own).astype(np.uint64))
+    runs = mixed64(span_hash(prefix, own, own + min_len - span + 1))
     whole = mixed64(span_hash(prefix, low, high + min_len) + mixed64(((own - low) << 20 | (high - low)).astype(np.uint64)))
-    return text, low - begin, high - begin, runs.view(np.int64), whole.view(np.int64)
+    return text, low - begin, high - begin, own - low, runs.view(np.int64), whole.view(np.int64)
+
+
+def parts(strings: list[bytes], ahead: np.ndarray, min_len: int, part: int = PART) -> tuple[np.ndarray, ...]:
+    """Stretches cut where the distance of a window to its anchor, ``ahead`` at the first, is a multiple of
+    ``part``: string index, first and last window, hash of the bytes that all windows so placed hold, hash of the whole.
+    """
+    size = np.array([len(s) for s in strings], np.int64)
+    begin = np.cumsum(size) - size
+    prefix = prefix_hash(np.frombuffer(b"".join(strings), np.uint8))
+    near, far = (ahead - (size - min_len)) // part, ahead // part
+    n = far - near + 1
+    row = np.repeat(np.arange(len(strings)), n)
+    place = np.repeat(near, n) + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    low = np.maximum(ahead[row] - place * part - part + 1, 0)
+    high = np.minimum(ahead[row] - place * part, size[row] - min_len)
+    core = begin[row] + ahead[row] - place * part
+    key = mixed64(span_hash(prefix, core, core + min_len - part + 1) + mixed64(place.astype(np.uint64)))
+    whole = mixed64(span_hash(prefix, begin[row] + low, begin[row] + high + min_len) + mixed64(((ahead[row] - low) << 20 | (high - low)).astype(np.uint64)))
+    return row, low, high, key, whole
 
 
 def suffix_order(symbols: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -189,8 +213,36 @@ def merged(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def ends_of_repeats(strings: list[bytes], ahead: np.ndarray, runs: np.ndarray, twice: np.ndarray, min_len: int) -> tuple[np.ndarray, ...]:
+    """Of distinct stretches in whole runs: index and byte range of what repeats in those that aren't known to occur twice."""
+    row, low, high, key, whole = parts(strings, ahead, min_len, min(PART, max(1, min_len // 4)))
+    _, run = np.unique(runs, return_inverse=True)
+    key = mixed64(key + mixed64(run[row].astype(np.uint64)))
+    order = np.lexsort((whole, key))
+    row, low, high, key, whole = row[order], low[order], high[order], key[order], whole[order]
+    heads = np.append(True, (key[1:] != key[:-1]) | (whole[1:] != whole[:-1])) if len(key) else np.zeros(0, bool)
+    group = np.cumsum(heads) - 1  # of equal parts
+    again = (np.bincount(group) > 1) | (np.bincount(group, twice[row]) > 0)
+    of_key = np.cumsum(np.append(True, key[1:] != key[:-1])) - 1 if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(heads)
+    # keys with several parts of which one isn't settled yet
+    several = np.bincount(of_key[first]) > 1
+    several &= np.bincount(of_key[first], ~again) > 0
+    new = ~twice[row]
+    settled = new & again[group]
+    out = [(row[settled], low[settled], high[settled] + min_len)]
+    left = first[several[of_key[first]]]
+    if len(left):
+        found = repeated_ranges([strings[r][a : b + min_len] for r, a, b in zip(row[left].tolist(), low[left].tolist(), high[left].tolist(), strict=True)], min_len)
+        at = np.repeat(left, [len(f) for f in found])
+        flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
+        own = ~again[group[at]]
+        out.append((row[at][own], low[at][own] + flat[own, 0], low[at][own] + flat[own, 1]))
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+
 def covered(docs: DataFrame, min_len: int = MIN_LEN, limit: int = LIMIT) -> tuple[DataFrame, DataFrame]:
-    """``text_key, low, high``: removed byte ranges of texts, not merged; and the texts that have any."""
+    """``text_key, low, high``: removed byte ranges of texts, not merged; and the texts that may have any."""
     spark = docs.sparkSession
     texts = docs.select("doc_id", text_key().alias("text_key"), text_or_empty().alias("text")).filter(F.octet_length("text") >= min_len)
 
@@ -199,78 +251,75 @@ def covered(docs: DataFrame, min_len: int = MIN_LEN, limit: int = LIMIT) -> tupl
             keys, own = batch.column(0), [t.encode() for t in batch.column(1).to_pylist()]
             for low, high in pieces(own, BATCH):
                 text, *rest = stretches(own[low:high], min_len)
-                yield pa.RecordBatch.from_arrays([keys.take(pa.array(text + low)), *map(pa.array, rest)], names=["text_key", "low", "high", "run", "whole"])
+                yield pa.RecordBatch.from_arrays([keys.take(pa.array(text + low)), *map(pa.array, rest)], names=["text_key", "low", "high", "ahead", "run", "whole"])
 
-    rows = texts.select("text_key", "text").mapInArrow(parse, "text_key bigint, low bigint, high bigint, run bigint, whole bigint")
+    rows = texts.select("text_key", "text").mapInArrow(parse, "text_key bigint, low bigint, high bigint, ahead bigint, run bigint, whole bigint")
+    rows, all_at = written(rows, "all-stretches")
     # copies of a text are one place each; a run goes on if it has two places
     place = F.struct("text_key", "low")
-    run, string = Window.partitionBy("run"), Window.partitionBy("run", "whole")
-    rows = rows.withColumn("least", F.min(place).over(run)).withColumn("most", F.max(place).over(run)).filter("least < most").drop("least", "most").dropDuplicates(["run", "whole", "text_key", "low"])
-    rows = rows.withColumn("head", F.min(place).over(string)).withColumn("twice", F.max(place).over(string) > F.col("head"))
-    # a run all of whose stretches have two places is settled; strings counts distinct stretches
-    is_head = F.col("head") == place
-    rows = rows.withColumn("settled", F.min("twice").over(run)).withColumn("strings", F.sum(is_head.cast("long")).over(run)).withColumn("is_head", is_head)
-    rows, rows_at = written(rows.drop("head"), "stretches")
+    shared = rows.groupBy("run").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select("run")
+    # tables that grow with the input: no side of these joins is small in a large corpus
+    rows, rows_at = written(rows.join(shared.hint("merge"), "run").dropDuplicates(["run", "whole", "text_key", "low"]), "stretches")
+    drop_table(spark, all_at)
+    head = F.struct("text_key", "low", "high", "ahead")
+    strings = rows.groupBy("run", "whole").agg(F.min(head).alias("head"), F.max(place).alias("last"))
+    strings, strings_at = written(strings.select("run", "whole", "head", (F.struct("head.text_key", "head.low") < F.col("last")).alias("twice")), "distinct-stretches")
+    # a run all of whose stretches have two places is settled, as is one with a single stretch
+    open_runs = strings.groupBy("run").agg(F.count("*").alias("strings"), F.min("twice").alias("settled")).filter("not settled and strings > 1").select("run", "strings")
+    heads = strings.join(open_runs.hint("merge"), "run").select("run", "whole", "strings", "twice", "head.*")
     known = texts.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("rep")).join(rows.select("text_key").distinct(), "text_key")
     known = known.select(F.col("text_key").alias("_key"), F.col("rep.doc_id").alias("_rep"))
-    # tables that grow with the input: no side of these joins is small in a large corpus
     held = texts.join(known.hint("merge"), (F.col("text_key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_rep"))).select("text_key", "text")
     held, _ = written(held, "repeating-texts")
-    wanted = rows.filter("is_head and not settled").groupBy("text_key").agg(F.collect_list(F.struct("low", "high", "run", "whole", "strings")).alias("parts"))
+    fields = ("run", "strings", "twice", "low", "high", "ahead")
+    wanted = heads.groupBy("text_key").agg(F.collect_list(F.struct(*fields)).alias("parts"))
     cut = held.dropDuplicates(["text_key"]).join(wanted.hint("merge"), "text_key")
+    schema = pa.schema([("run", pa.int64()), ("strings", pa.int64()), ("twice", pa.bool_()), ("text_key", pa.int64()), ("low", pa.int64()), ("ahead", pa.int64()), ("bytes", pa.binary())])
 
-    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for text, parts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = text.encode()
-                columns = [[p[c] for p in parts] for c in ("run", "whole", "strings")]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64()), pa.array([own[p["low"] : p["high"] + min_len] for p in parts], pa.binary())], names=["run", "whole", "strings", "bytes"])
+            for key, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                raw = text.encode()
+                of = {c: [p[c] for p in own] for c in fields}
+                of |= {"text_key": [key] * len(own), "bytes": [raw[a : b + min_len] for a, b in zip(of["low"], of["high"], strict=True)]}
+                yield pa.RecordBatch.from_pydict({c: of[c] for c in schema.names}, schema)
 
-    cut = cut.select("text", "parts").mapInArrow(strings, "run bigint, whole bigint, strings bigint, bytes binary")
+    cut = cut.select("text_key", "text", "parts").mapInArrow(spelled, "run bigint, strings bigint, twice boolean, text_key bigint, low bigint, ahead bigint, bytes binary")
     cut, cut_at = written(cut, "stretch-bytes")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
-            runs, whole, own = table.column(0).to_numpy(), table.column(1).to_numpy(), table.column(2).to_pylist()
+            runs, key, low, ahead = (table.column(c).to_numpy() for c in ("run", "text_key", "low", "ahead"))
+            twice, own = table.column("twice").to_numpy(), table.column("bytes").to_pylist()
             size = np.cumsum([len(b) for b in own])
-            ends, low = run_ends(runs), 0
-            while low < len(own):
+            ends, a = run_ends(runs), 0
+            while a < len(own):
                 # as many whole groups as a batch holds, one at least
-                full = size[ends - 1] - (size[low - 1] if low else 0) <= BATCH
-                high = max(int(ends[full & (ends > low)].max(initial=0)), int(ends[ends > low][0]))
-                found = repeated_ranges(own[low:high], min_len)
-                at = np.repeat(np.arange(low, high), [len(f) for f in found])
-                flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(runs[at]), pa.array(whole[at]), pa.array(flat[:, 0].copy()), pa.array(flat[:, 1].copy())], names=["run", "whole", "a", "b"])
-                low = high
+                full = size[ends - 1] - (size[a - 1] if a else 0) <= 4 * BATCH
+                b = max(int(ends[full & (ends > a)].max(initial=0)), int(ends[ends > a][0]))
+                row, first, last = ends_of_repeats(own[a:b], ahead[a:b], runs[a:b], twice[a:b], min_len)
+                yield pa.RecordBatch.from_arrays([pa.array(key[a + row]), pa.array(low[a + row] + first), pa.array(low[a + row] + last)], names=["text_key", "low", "high"])
+                a = b
 
-    few = cut.filter(F.col("strings") <= limit).select("run", "whole", "bytes").repartition("run").sortWithinPartitions("run")
-    ranges = few.mapInArrow(search, "run bigint, whole bigint, a bigint, b bigint")
+    few = cut.filter(F.col("strings") <= limit).drop("strings").repartition("run").sortWithinPartitions("run")
+    out = few.mapInArrow(search, "text_key bigint, low bigint, high bigint")
 
     def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for low in range(0, batch.num_rows, 500):
-                part = batch.slice(low, 500)
-                own = part.column(2).to_pylist()
-                data = np.frombuffer(b"".join(own), np.uint8)
-                prefix = prefix_hash(data)
-                size = np.array([len(b) for b in own])
-                begin, n = np.cumsum(size) - size, size - min_len + 1
-                row = np.repeat(np.arange(len(own)), n)
-                a = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-                hashes = mixed64(span_hash(prefix, begin[row] + a, begin[row] + a + min_len)).view(np.int64)
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                row, first, _, key, _ = parts(part.column("bytes").to_pylist(), part.column("ahead").to_numpy(), min_len, 1)
                 at = pa.array(row)
-                yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(a), pa.array(hashes)], names=["run", "whole", "a", "hash"])
+                low = pa.array(part.column("low").to_numpy()[row] + first)
+                yield pa.RecordBatch.from_arrays([part.column("run").take(at), pa.array(key.view(np.int64)), part.column("text_key").take(at), low, part.column("twice").take(at)], names=["run", "window", "text_key", "low", "twice"])
 
-    many = cut.filter(F.col("strings") > limit).select("run", "whole", "bytes").mapInArrow(windows, "run bigint, whole bigint, a bigint, hash bigint")
-    again = many.groupBy("hash").agg(F.min(F.struct("run", "whole", "a")).alias("x"), F.max(F.struct("run", "whole", "a")).alias("y")).filter("x < y").select("hash")
-    ranges = ranges.unionByName(many.join(again, "hash").select("run", "whole", "a", (F.col("a") + min_len).alias("b")))
+    many = cut.filter(F.col("strings") > limit).mapInArrow(windows, "run bigint, window bigint, text_key bigint, low bigint, twice boolean")
+    again = many.groupBy("run", "window").agg(F.min(place).alias("least"), F.max(place).alias("most"), F.max("twice").alias("known")).filter("least < most or known").select("run", "window")
+    many = many.filter("not twice").join(again.hint("merge"), ["run", "window"]).select("text_key", "low", (F.col("low") + min_len).alias("high"))
     # windows of a stretch that is found twice are all repeats, whatever else its run holds
-    plain = rows.filter("twice").select("text_key", "low", (F.col("high") + min_len).alias("high"))
-    ends = rows.filter("not twice").select("run", "whole", "text_key", "low").join(ranges, ["run", "whole"])
-    out = plain.unionByName(ends.select("text_key", (F.col("low") + F.col("a")).alias("low"), (F.col("low") + F.col("b")).alias("high")))
-    out, _ = written(out, "removed-ranges")
-    for path in (rows_at, cut_at):
+    plain = rows.join(strings.filter("twice").select("run", "whole").hint("merge"), ["run", "whole"]).select("text_key", "low", (F.col("high") + min_len).alias("high"))
+    out, _ = written(plain.unionByName(out).unionByName(many), "removed-ranges")
+    for path in (rows_at, strings_at, cut_at):
         drop_table(spark, path)
     return out, held
 
