@@ -41,6 +41,19 @@ def test_agrees_with_brute_force(spark, cell, block):
     assert sorted((-1 if r.vec_id is None else r.vec_id, r.n_links, -1 if r.component_id is None else r.component_id, bool(r.kept)) for r in got) == brute_force(rows)
 
 
+def test_levels_of_cells_and_equal_vectors(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, 1, rng.normal(size=3).tolist()) for i in range(900)]
+    one = [0.25, -1.5, 3.0]
+    rows += [(10_000 + i, 2, one) for i in range(5000)]
+    nodes = spark.createDataFrame([(1, 3, i, 1, bytearray(embedding_dedup.unit(v).tobytes())) for i, _, v in rows[:900]], "label int, dim int, node long, m long, unit binary")
+    depth = {len(r.trail) for r in embedding_dedup.cells(nodes, 0.999, 600, 4, 2048).collect()}
+    assert max(depth) > 1
+    got = {r.vec_id: r for r in embedding_dedup.links(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"), 0.999, 600, 4).collect()}
+    assert all(got[10_000 + i].n_links == 4999 and got[10_000 + i].component_id == 10_000 for i in range(5000))
+    assert sorted((r.vec_id, r.n_links, r.component_id, bool(r.kept)) for r in got.values() if r.vec_id < 900) == brute_force(rows[:900], 0.999)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "vec_id long, label int, embedding array<float>")
     assert embedding_dedup.links(docs).count() == 0
