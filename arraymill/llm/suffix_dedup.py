@@ -258,14 +258,18 @@ def covered(docs: DataFrame, min_len: int = MIN_LEN, limit: int = LIMIT) -> tupl
     # copies of a text are one place each; a run goes on if it has two places
     place = F.struct("text_key", "low")
     shared = rows.groupBy("run").agg(F.min(place).alias("least"), F.max(place).alias("most")).filter("least < most").select("run")
+    # aggregates are written before they are joined, so that Spark can split a hot run's rows in the join;
     # tables that grow with the input: no side of these joins is small in a large corpus
+    shared, shared_at = written(shared, "shared-runs")
     rows, rows_at = written(rows.join(shared.hint("merge"), "run").dropDuplicates(["run", "whole", "text_key", "low"]), "stretches")
     drop_table(spark, all_at)
+    drop_table(spark, shared_at)
     head = F.struct("text_key", "low", "high", "ahead")
     strings = rows.groupBy("run", "whole").agg(F.min(head).alias("head"), F.max(place).alias("last"))
     strings, strings_at = written(strings.select("run", "whole", "head", (F.struct("head.text_key", "head.low") < F.col("last")).alias("twice")), "distinct-stretches")
     # a run all of whose stretches have two places is settled, as is one with a single stretch
     open_runs = strings.groupBy("run").agg(F.count("*").alias("strings"), F.min("twice").alias("settled")).filter("not settled and strings > 1").select("run", "strings")
+    open_runs, open_at = written(open_runs, "open-runs")
     heads = strings.join(open_runs.hint("merge"), "run").select("run", "whole", "strings", "twice", "head.*")
     known = texts.groupBy("text_key").agg(F.min(F.struct("doc_id")).alias("rep")).join(rows.select("text_key").distinct(), "text_key")
     known = known.select(F.col("text_key").alias("_key"), F.col("rep.doc_id").alias("_rep"))
@@ -319,7 +323,7 @@ def covered(docs: DataFrame, min_len: int = MIN_LEN, limit: int = LIMIT) -> tupl
     # windows of a stretch that is found twice are all repeats, whatever else its run holds
     plain = rows.join(strings.filter("twice").select("run", "whole").hint("merge"), ["run", "whole"]).select("text_key", "low", (F.col("high") + min_len).alias("high"))
     out, _ = written(plain.unionByName(out).unionByName(many), "removed-ranges")
-    for path in (rows_at, strings_at, cut_at):
+    for path in (rows_at, strings_at, open_at, cut_at):
         drop_table(spark, path)
     return out, held
 
