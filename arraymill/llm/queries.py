@@ -76,14 +76,30 @@ QUERIES = {
 
 _NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
 _TERM = r"[\p{L}\p{N}]+(?:\.[\p{N}]+)*"
+_MARKED = f"'(?i){license_scan.MARKERS}'"
+_BLANK = r"\s*"
+_ABOUT = ", ".join(f"({s}, {n})" for n in range(2, license_scan.NOTICE_LINES + 1) for s in range(1 - n, 1))
 OP1_SQL = f"""
 WITH docs AS (
     SELECT doc_id, concat_ws('/', source, lang, doc_id || '.txt') AS path, concat_ws('/', source, lang) AS dir, coalesce(text, '') AS text FROM documents
-), lines AS (SELECT doc_id, path, length(text) AS chars, unnest(string_split(text, chr(10))) AS line FROM docs),
-heads AS (
-    SELECT doc_id, path, trim(line, ' ') AS header, length(trim(line, ' ')) / chars AS share FROM lines
-    WHERE regexp_matches(line, '(?i){license_scan.MARKERS}')
-), uniq AS (SELECT header, count(*) AS n FROM heads GROUP BY 1),
+), marked AS (
+    SELECT doc_id, path, length(text) AS chars, text, string_split(text, chr(10)) AS lines,
+           list_sum(list_transform(list_filter(regexp_split_to_array(text, '\n{_BLANK}\n'), lambda p: regexp_matches(p, {_MARKED})), lambda p: length(p))) AS in_marked
+    FROM docs WHERE regexp_matches(text, {_MARKED})
+), places AS (
+    SELECT doc_id, i FROM (SELECT doc_id, lines, unnest(range(0, len(lines))) AS i FROM marked) WHERE regexp_matches(lines[i + 1], {_MARKED})
+), around AS (
+    SELECT DISTINCT doc_id, i + s AS s, n FROM places, (VALUES {_ABOUT}) o(s, n)
+), blocks AS (
+    SELECT doc_id, chars, lines[s + 1 : s + n] AS block FROM around JOIN marked USING (doc_id) WHERE s >= 0 AND s + n <= len(lines)
+), heads AS (
+    SELECT doc_id, 'line' AS kind, trim(lines[i + 1], ' ') AS header, length(lines[i + 1]) / chars AS share FROM places JOIN marked USING (doc_id)
+    UNION ALL
+    SELECT doc_id, 'block', trim(array_to_string(list_transform(block, lambda x: trim(x, ' ')), ' '), ' '), 0 FROM blocks
+    WHERE len(list_filter(block, lambda x: trim(x, ' ') = '' OR (length(x) > {license_scan.LINE_CHARS} AND NOT regexp_matches(x, {_MARKED})))) = 0
+    UNION ALL
+    SELECT doc_id, 'text', trim(text, ' '), 0 FROM marked WHERE len(lines) > 1 AND in_marked >= {license_scan.FILE_SHARE} * chars
+), uniq AS (SELECT header, count(*) FILTER (kind = 'line') AS n FROM heads GROUP BY 1),
 terms AS (
     SELECT header, any_value(n) AS n, term, count(*) AS tf
     FROM (SELECT header, n, unnest(regexp_extract_all(lower(header), '{_TERM}')) AS term FROM uniq) GROUP BY header, term
@@ -103,22 +119,27 @@ scores AS (
 ), best AS (
     SELECT header, license, score FROM (SELECT *, row_number() OVER (PARTITION BY header ORDER BY score DESC, license) AS r FROM scores)
     WHERE r = 1 AND score >= {license_scan.THRESHOLD}
+), said AS (
+    SELECT doc_id, bool_or(kind = 'line' AND regexp_matches(header, '(?i){license_scan.STATED}')) AS stated,
+           CASE WHEN bool_or(kind = 'text' AND license IS NOT NULL) THEN 1 ELSE sum(share) FILTER (kind = 'line') END AS share
+    FROM heads LEFT JOIN best USING (header) GROUP BY doc_id
 ), own AS (
-    SELECT doc_id, path, license, score, share FROM (
-        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license, share DESC) AS r FROM heads JOIN best USING (header)
+    SELECT doc_id, license, score FROM (
+        SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) AS r FROM heads JOIN best USING (header)
     ) WHERE r = 1
 ), files AS (
-    SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, own.path) AS r
-    FROM own JOIN docs USING (doc_id) WHERE share >= {license_scan.FILE_SHARE}
+    SELECT dir, license, row_number() OVER (PARTITION BY dir ORDER BY score DESC, license, path) AS r
+    FROM own JOIN docs USING (doc_id) JOIN said USING (doc_id) WHERE share >= {license_scan.FILE_SHARE}
 ), dirs AS (
     SELECT DISTINCT dir, unnest([dir, regexp_replace(dir, '/?[^/]*$', ''), '']) AS above FROM docs
 ), near AS (
     SELECT dirs.dir, dirs.above, license, row_number() OVER (PARTITION BY dirs.dir ORDER BY length(above) DESC) AS n
     FROM dirs JOIN files ON files.dir = dirs.above AND files.r = 1
 )
-SELECT d.doc_id, d.path, o.license AS own_license, o.score AS own_score, coalesce(o.license, near.license) AS license,
-       CASE WHEN o.license IS NULL THEN near.above END AS inherited_from
-FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN near ON near.dir = d.dir AND near.n = 1
+SELECT d.doc_id, d.path, o.license AS own_license, o.score AS own_score,
+       CASE WHEN o.license IS NULL AND NOT coalesce(stated, false) THEN near.license ELSE o.license END AS license,
+       CASE WHEN o.license IS NULL AND NOT coalesce(stated, false) THEN near.above END AS inherited_from
+FROM docs d LEFT JOIN own o USING (doc_id) LEFT JOIN said USING (doc_id) LEFT JOIN near ON near.dir = d.dir AND near.n = 1
 """
 
 OP2_SQL = """

@@ -6,6 +6,19 @@ from pyspark.sql import functions as F
 
 from arraymill.llm import license_scan as ls
 
+MIT = """The MIT License
+
+Copyright (c) 2001 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in
+all copies or substantial portions of the Software."""
 ROWS = [
     (1, "a/b/c/x.txt", "code\nReleased under the MIT License.\nmore"),
     (2, "a/b/c/y.txt", "nothing here"),
@@ -18,33 +31,60 @@ ROWS = [
     (9, "a/b2/deep/er/w", "Copyright word"),
     (None, "q/s.txt", "x" * 5000),
     (2, "a/b/c/y.txt", "nothing here"),
+    (10, "m/code.c", "int x;\nThis Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0.\nint y;"),
+    (11, "m/deep/other.c", "int z;"),
+    (12, "n/terms.txt", MIT),
+    (13, "n/main.c", "plain"),
+    (14, "a/b/long", "x y " * 20000 + "\nReleased under the MIT License.\n" + "z " * 9),
 ]
 
 
 def brute_force(rows):
     tokens = lambda s: re.findall(r"[^\W_]+(?:\.[0-9]+)*", s.lower())
-    heads = [[h.strip(" ") for h in (t or "").split("\n") if re.search(ls.MARKERS, h, re.I)] for _, _, t in rows]
+    marked = lambda x: re.search(ls.MARKERS, x, re.I)
+    units, heads, shares = [], [], []
+    for _, p, t in rows:
+        t = t or ""
+        lines = t.split("\n")
+        at = [i for i, x in enumerate(lines) if marked(x)]
+        heads.append([lines[i].strip(" ") for i in at])
+        own = list(heads[-1])
+        for s in range(len(lines)):
+            for n in range(2, ls.NOTICE_LINES + 1):
+                block = lines[s : s + n]
+                if len(block) == n and any(s <= i < s + n for i in at) and all(x.strip(" ") and (len(x) <= ls.LINE_CHARS or marked(x)) for x in block):
+                    own.append(" ".join(x.strip(" ") for x in block).strip(" "))
+        named = re.match(ls.FILE_NAMES, (p or "").rpartition("/")[2].lower())
+        whole = at and len(lines) > 1 and (named or sum(len(x) for x in re.split(r"\n\s*\n", t) if marked(x)) >= ls.FILE_SHARE * len(t))
+        units.append((own, [t.strip(" ")] if whole else []))
+        shares.append(sum(len(lines[i]) for i in at) / max(len(t), 1))
     total = sum(map(len, heads))
     df = Counter(w for own in heads for h in own for w in set(tokens(h)))
     idf = lambda w: math.log((1 + total) / (1 + df[w])) + 1
     vec = lambda s: {w: n * idf(w) for w, n in Counter(tokens(s)).items()}
     norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
     cos = lambda a, b: round(sum(a[w] * b.get(w, 0) for w in a) / (norm(a) * norm(b)), 6)
-    own = []
-    for (_, _, t), hs in zip(rows, heads, strict=True):
-        best = min(((-cos(vec(h), vec(n)), name, -len(h) / len(t)) for h in hs for name, n in ls.TEMPLATES), default=None)
+    best_of = lambda own: min(((-cos(vec(h), vec(n)), name) for h in own for name, n in ls.TEMPLATES if tokens(h)), default=None)
+    own, is_file = [], []
+    for (_, p, _), (parts, whole), share in zip(rows, units, shares, strict=True):
+        best = best_of(parts + whole)
         own.append(best if best and -best[0] >= ls.THRESHOLD else None)
+        as_whole = best_of(whole)
+        named = re.match(ls.FILE_NAMES, (p or "").rpartition("/")[2].lower())
+        is_file.append(bool(own[-1] and (named or share >= ls.FILE_SHARE or (as_whole and -as_whole[0] >= ls.THRESHOLD))))
+    stated = [any(re.search(ls.STATED, h, re.I) for h in hs) for hs in heads]
     files = {}
-    for (_, p, _), o in zip(rows, own, strict=True):
-        folder, _, name = (p or "").rpartition("/")
-        if o and (re.match(ls.FILE_NAMES, name.lower()) or -o[2] >= ls.FILE_SHARE):
-            files[folder] = min(files.get(folder, (0, "", "")), (o[0], o[1], p or ""))
+    for (_, p, _), o, f in zip(rows, own, is_file, strict=True):
+        folder = (p or "").rpartition("/")[0]
+        if f:
+            files[folder] = min(files.get(folder, (0, "", "")), (*o, p or ""))
     out = []
-    for (d, p, _), o in zip(rows, own, strict=True):
+    for (d, p, _), o, said in zip(rows, own, stated, strict=True):
         folder = (p or "").rpartition("/")[0]
         parts = folder.split("/") if folder else []
         near = next(("/".join(parts[:k]) for k in range(len(parts), -1, -1) if "/".join(parts[:k]) in files), None)
-        out.append((d, p or "", o and o[1], o and -o[0], o[1] if o else near is not None and files[near][1] or None, None if o else near))
+        near = None if o or said else near
+        out.append((d, p or "", o and o[1], o and -o[0], o[1] if o else near is not None and files[near][1] or None, near))
     return out
 
 
@@ -55,6 +95,8 @@ def test_agrees_with_brute_force(spark):
     found = sorted([tuple(r) for r in got.collect()], key=key)
     assert found == sorted(brute_force(ROWS), key=key)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+    licence = {r[0]: (r[2], r[4], r[5]) for r in found}
+    assert licence[10] == ("MPL-2.0", "MPL-2.0", None) and licence[12][0] == "MIT" and licence[13] == (None, "MIT", "n") and licence[14][0] == "MIT"
     assert any(r[5] == "a" for r in found) and any(r[5] == "a/b/c" for r in found)
 
 
