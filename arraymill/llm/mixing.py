@@ -6,11 +6,15 @@ fractions of a source into zeros and ones while keeping both the words and the n
 each step picks one more undecided document than there are constraints, finds a vector of the
 constraints' null space and moves the probabilities along it until one of them is 0 or 1. The flight
 runs in blocks of a source, whose few undecided documents go on to the next, smaller round of blocks
-until one block a source is left; the landing then decides at most two documents a source.
+until one block a source is left. The landing decides at most two documents a source, often its
+largest, which move least; what is short or over then is made up for by other documents of the block,
+the largest that fit first.
 
 Defined results: a null text has size 0; sizes 0 are taken 0 words whatever their copies. Sources
-run in order of code points with null last. Repeated rows are units of their own. An empty table
-gives an empty result. The order of flight hangs on hashes of the rows alone, so reruns agree.
+run in order of code points with null last. Rows that agree in id, text and source are one unit, whose
+copies they share evenly. A text of any length is one row's work. Columns besides don't matter,
+whatever their names. An empty table gives an empty result. The order of flight hangs on
+hashes of the rows alone, so reruns agree.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import text_key, text_or_empty, written
+from .shared import drop_table, text_key, text_or_empty, written
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MOST_REPEATS = 3
@@ -88,16 +92,26 @@ def flight(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.where(out < _EPS, 0.0, np.where(out > 1 - _EPS, 1.0, out))
 
 
-def land(pi: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Decide what the flight of a whole source has left: the choice whose words come nearest."""
+def land(pi: np.ndarray, size: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """Decide what the flight of a block has left: the choice whose words come nearest to those that the
+    probabilities ``before`` the flight ask for, once other documents have made up for what it lacks.
+    """
     open_ = np.flatnonzero((pi > 0) & (pi < 1))
-    out = pi.copy()
-    if len(open_):
-        want = float((pi[open_] * size[open_]).sum())
-        choices = [[bool(k >> i & 1) for i in range(len(open_))] for k in range(1 << len(open_))]
-        best = min(choices, key=lambda c: (abs(float(size[open_][c].sum()) - want), abs(sum(c) - float(pi[open_].sum())), c))
-        out[open_] = best
-    return out
+    want, free = float((before * size).sum()), np.argsort(-size, kind="stable")
+    free = free[(before[free] > 0) & (size[free] > 0) & ((pi[free] == 0) | (pi[free] == 1))]
+    best: tuple[float, float, int, np.ndarray] | None = None
+    for choice in range(1 << len(open_)):
+        out = pi.copy()
+        out[open_] = [choice >> i & 1 for i in range(len(open_))]
+        short = want - float((out * size).sum())
+        for i in free.tolist():
+            if out[i] == (short < 0) and size[i] <= abs(short):
+                short += size[i] * (1 if out[i] else -1)
+                out[i] = 1 - out[i]
+        key = (abs(short), abs(float(out.sum() - before.sum())), choice)
+        if best is None or key < best[:3]:
+            best = (*key, out)
+    return best[3]
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOST_REPEATS, share: float = 1.0, block: int = BLOCK) -> DataFrame:
@@ -106,50 +120,50 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: float = MOS
     rows, rows_at = written(rows, "mix-sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs")).drop("docs"), weights, most, share)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    # a ratio that is a whole number but for rounding is one
-    whole = F.floor(ratio + _EPS)
-    docs_of = rows.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("source_docs"))
+    same = rows.groupBy("doc_id", "source", "text_key", "size").agg(F.count("*").alias("rows"))
+    docs_of = same.groupBy(F.col("source").alias("s")).agg(F.count("*").alias("source_docs"))
     known = aims.join(docs_of, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumnRenamed("source", "s")
+    wanted = F.col("rows") * ratio
     units = (
-        rows.join(known, F.col("source").eqNullSafe(F.col("s")))
+        same.join(known, F.col("source").eqNullSafe(F.col("s")))
         .drop("s")
-        .withColumn("whole", whole.cast("long"))
-        .withColumn("pi", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), ratio - F.col("whole"))).otherwise(0.0))
+        # a number of copies that is whole but for rounding is so
+        .withColumn("whole", F.floor(wanted + _EPS).cast("long"))
+        .withColumn("pi", F.when(F.col("size") > 0, F.greatest(F.lit(0.0), wanted - F.col("whole"))).otherwise(0.0))
         .withColumn("order", F.xxhash64("doc_id", "text_key"))
         .withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("source_docs") / block)).cast("long"))
         .drop("source_docs")
     )
     columns = units.columns
 
-    def fly(last: bool):
-        def run(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["order", "doc_id", "size"], kind="stable", na_position="first")
-            pi, size = group["pi"].to_numpy(float), group["size"].to_numpy(float)
-            pi = flight(pi, size)
-            group["pi"] = land(pi, size) if last else pi
-            return group[columns]
-
-        return run
+    def fly(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["order", "doc_id", "size"], kind="stable", na_position="first")
+        before, size = group["pi"].to_numpy(float), group["size"].to_numpy(float)
+        pi = flight(before, size)
+        # the last block of a source
+        group["pi"] = land(pi, size, before) if group["blocks"].iloc[0] == 1 else pi
+        return group[columns]
 
-    settled, paths = [], [rows_at]
+    settled = []
     spread = F.pmod(F.xxhash64("order", F.lit(7)), F.col("blocks"))
     left = units.withColumn("cell", spread)
     while True:
         most_blocks = left.agg(F.max("blocks")).first()[0] or 1
-        flown = left.groupBy("source", "cell").applyInPandas(fly(most_blocks == 1), units.schema)
-        flown, path = written(flown, "mix-flight")
-        paths.append(path)
+        flown = left.groupBy("source", "cell").applyInPandas(fly, units.schema)
+        flown, _ = written(flown, "mix-flight")
         if most_blocks == 1:
             settled.append(flown)
             break
         between = (F.col("pi") > 0) & (F.col("pi") < 1)
         settled.append(flown.filter(~between))
         left = flown.filter(between).withColumn("blocks", F.ceil(F.col("blocks") / FAN_IN).cast("long")).withColumn("cell", spread)
+    drop_table(docs.sparkSession, rows_at)
     out = settled[0]
     for more in settled[1:]:
         out = out.unionByName(more)
-    copies = F.col("whole") + F.round("pi").cast("long")
-    return out.select("doc_id", "text_key", "size", "source", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    out = out.withColumn("all", F.col("whole") + F.round("pi").cast("long")).withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), "rows")))
+    copies = F.floor(F.col("all") / F.col("rows")) + (F.col("nth") <= F.col("all") % F.col("rows")).cast("long")
+    return out.withColumn("copies", copies).select("doc_id", "text_key", "size", "source", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:

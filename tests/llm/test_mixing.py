@@ -56,6 +56,21 @@ def test_flight_keeps_both_totals(seed):
     assert abs((out * size).sum() - (pi * size).sum()) < 1e-3
 
 
+def test_targets_are_met_beside_large_documents(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, "w " * int(rng.integers(1, 60) if i % 25 else 4000), f"s{i % 5}") for i in range(1500)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    for _, own in got.groupby("source"):
+        assert abs(own["taken"].sum() - own["target"].iloc[0]) <= 60
+
+
+def test_rows_that_repeat_share_copies(spark):
+    rows = [(1, "one two three", "a")] * 7 + [(2, "w " * 100, "b"), (3, "w " * 90, "b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    own = got[got["doc_id"] == 1]
+    assert len(got) == 9 and own["copies"].max() - own["copies"].min() <= 1 and own["copies"].max() <= 3
+
+
 def test_empty_table(spark):
     docs = documents(spark, np.random.default_rng(1)).limit(0)
     assert mixing.mix(docs).count() == 0
