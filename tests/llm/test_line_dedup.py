@@ -43,6 +43,32 @@ def test_agrees_with_brute_force(spark, min_chars):
     assert line_dedup.without_repeats(table, min_chars).columns == table.columns
 
 
+def test_ranks_are_places_in_suffix_order(spark):
+    texts = ["x\ny\nz\nw", "y\nz\nw", "q\nx\ny", "z\nw"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    ids = line_dedup.line_ids(table, 1)
+    lines = ids.selectExpr("doc_id", "text_key", "posexplode(arrays_zip(a, b)) AS (pos, id)").selectExpr("doc_id", "text_key", "pos", "id.a", "id.b").collect()
+    name = {(r.doc_id, r.pos): (r.a, r.b) for r in lines}
+    once = line_dedup.numbered(spark.createDataFrame(lines), "a", "b")[0].collect()
+    repeated = sorted({n for n in name.values() if list(name.values()).count(n) > 1})
+    assert {(r.doc_id, r.pos): r.rank for r in once} == {p: repeated.index(n) for p, n in name.items() if n in repeated}
+
+
+def test_columns_named_like_counts_keep_their_values(spark):
+    line = "a line that is certainly longer than fifty characters in all"
+    rows = [(1, f"{line}\nown", "mine", 1.5), (2, line, "yours", 2.5), (3, "", "theirs", 3.5)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, n_removed string, n_lines double")
+    assert [tuple(r) for r in line_dedup.without_repeats(table).orderBy("doc_id").collect()] == [rows[0], (2, "", "yours", 2.5), rows[2]]
+    assert [r.doc_id for r in line_dedup.without_repeats(table, keep_emptied=False).orderBy("doc_id").collect()] == [1, 3]
+
+
+def test_very_long_text(spark):
+    lines = [f"line {i} of a long text that goes on for more than fifty characters" for i in range(30_000)]
+    table = spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[100:29_000]) + "\nown line")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.text) for r in line_dedup.deduplicated(table).collect()}
+    assert got[1][0] == 0 and got[2] == (28_900, "own line")
+
+
 def test_no_python_in_the_plan_and_empty_table(spark):
     table = spark.createDataFrame([], "doc_id long, text string")
     out = line_dedup.deduplicated(table)
