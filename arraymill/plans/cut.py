@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
+from pyspark.sql import DataFrame, SparkSession
 
-from pyspark.sql import DataFrame
+
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset one beside the warehouse's tables, which
+    driver and executors share too. A machine's own temporary folder never serves."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_arraymill").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as computed once and kept in the folder of ``spark.checkpoint.dir``.
+    """``df`` as computed once and kept in the checkpoint folder.
 
     Two uses of a plan may sample other ranges and number partitions otherwise; two uses of this
-    don't, and a lost executor costs no more than reading again. A folder of its own is made only
-    where the setting is unset.
+    don't, and a lost executor costs no more than reading again.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or f"file://{tempfile.mkdtemp(prefix='arraymill-')}")
+        context.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
