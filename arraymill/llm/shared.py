@@ -10,7 +10,6 @@ from __future__ import annotations
 import atexit
 import contextlib
 import ctypes
-import tempfile
 import uuid
 import weakref
 
@@ -18,16 +17,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.cut import checkpoint_folder
+
 _open: dict[str, weakref.ref] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; one of our own only where the setting is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.gettempdir()}/arraymill-{spark.sparkContext.applicationId}"
+    """The folder that the cluster names; where the setting is unset one beside the warehouse's tables."""
+    folder = checkpoint_folder(spark)
+    if not spark.conf.get("spark.checkpoint.dir", None):
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    return folder
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
