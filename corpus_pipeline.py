@@ -2,7 +2,13 @@
 sources are mixed to their weights, and the mix is packed into token windows.
 
 Each stage is an operator of ``arraymill.llm`` on all that the stage before it kept; stages pass
-Parquet tables on. The last returns the pieces of the packed sequences, all others documents.
+Parquet tables on. The last returns the pieces of the packed sequences, all others documents. A document
+all of whose lines repeat earlier ones is a copy and goes with them.
+
+Defined results: null texts are empty ones, and empty texts stay until packing, where they are a lone
+end token; rows with the same id and text are copies, of which one stays; ties fall to the smaller id;
+texts of any length pass whole; columns that documents have besides go along, whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ def keep_civil(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_repeats(docs)
+    return line_dedup.without_repeats(docs, keep_emptied=False)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
