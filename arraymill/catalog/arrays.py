@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import reducers
@@ -28,8 +28,22 @@ def _grids(spark: SparkSession, sf_dir: str) -> tuple[Grid, Grid]:
     part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_size")
     rows = part.count() // 20
     key = F.col("p_partkey")
-    place = [F.floor(key / 20).cast("long").alias("row"), (key % 20).alias("col")]
-    return Grid(part.select(*place, (F.col("p_size") - 25).cast("double").alias("value")), rows, 20), Grid(part.select(*place, ((key * 7) % 13).cast("double").alias("value")), rows, 20)
+    cells = part.select(F.floor(key / 20).cast("long").alias("row"), (key % 20).alias("col"), "p_partkey", "p_size")
+    m, b = Grid.columns(cells, rows, 20, (F.col("p_size") - 25).cast("double"), ((key * 7) % 13).cast("double"))
+    return m, b
+
+
+def _sums(x: Grid) -> Grid:
+    """The sum of each column, as a flat grid."""
+    return Grid(reduce.reduce(x, reducers.sum_, Axis.ROW).select(F.lit(0).cast("long").alias("row"), "col", "value"), 1, x.cols)
+
+
+def _number(v: Column) -> Column:
+    return v.cast("double")
+
+
+def _whole(x: Grid) -> Grid:
+    return x.map(lambda v: v.cast("long"))
 
 
 def _df(x: Grid | DataFrame) -> DataFrame:
@@ -181,18 +195,28 @@ for _name, _f, _sql in (
     ("matmul", lambda m, b: products.filled(products.matmul(layout.transpose(m), b)), "SELECT m.col AS row, b.col AS col, sum(m.value * b.value) AS value FROM m JOIN b ON m.row = b.row GROUP BY m.col, b.col"),
     ("dot", lambda m, b: products.dot(layout.flatten(m), layout.flatten(b)), "SELECT sum(m.value * b.value) AS value FROM m JOIN b USING (row, col)"),
     ("inner", lambda m, b: products.inner(m, b), "SELECT sum(m.value * b.value) AS value FROM m JOIN b USING (row, col)"),
-    ("outer", lambda m, b: products.outer(Grid(m.df.filter("row = 0"), 1, 20), layout.rows_between(b, 1, 2)), "SELECT m.col AS row, b.col AS col, m.value * b.value AS value FROM m, b WHERE m.row = 0 AND b.row = 1"),
+    ("outer", lambda m, b: products.outer(_sums(m), _sums(b)), "SELECT x.col AS row, y.col AS col, x.value * y.value AS value FROM (SELECT col, sum(value) AS value FROM m GROUP BY col) x, (SELECT col, sum(value) AS value FROM b GROUP BY col) y"),
+    ("operator_left_scalar", lambda m, b: 2 * m + 1 - (3 - b), "SELECT row, col, 2 * m.value + 1 - (3 - b.value) AS value FROM m JOIN b USING (row, col)"),
+    ("operator_left_divide", lambda m, b: 7 / (b + 1) + 100 % (b + 1), "SELECT row, col, 7 / (value + 1) + 100 % (value + 1) AS value FROM b"),
+    ("operator_equal", lambda m, b: (m == b).map(_number), "SELECT row, col, CAST(m.value = b.value AS DOUBLE) AS value FROM m JOIN b USING (row, col)"),
+    ("operator_not_equal", lambda m, b: (m != 7).map(_number), "SELECT row, col, CAST(value <> 7 AS DOUBLE) AS value FROM m"),
+    ("operator_logical", lambda m, b: m.logical_and(b).logical_or((m > 20).logical_not()).map(_number), "SELECT row, col, CAST((m.value <> 0 AND b.value <> 0) OR NOT m.value > 20 AS DOUBLE) AS value FROM m JOIN b USING (row, col)"),
+    ("operator_step", lambda m, b: m.increment() * b.decrement() - -m, "SELECT row, col, (m.value + 1) * (b.value - 1) + m.value AS value FROM m JOIN b USING (row, col)"),
+    ("operator_and_or_not", lambda m, b: (~(_whole(m) & _whole(b)) | (_whole(b) >> 1)).map(_number), "SELECT row, col, CAST((~(CAST(m.value AS BIGINT) & CAST(b.value AS BIGINT))) | (CAST(b.value AS BIGINT) >> 1) AS DOUBLE) AS value FROM m JOIN b USING (row, col)"),
+    ("operator_less_greater_equal", lambda m, b: (m < b).map(_number) + 2 * (m <= b).map(_number) + 4 * (m >= b).map(_number), "SELECT row, col, CAST(m.value < b.value AS DOUBLE) + 2 * CAST(m.value <= b.value AS DOUBLE) + 4 * CAST(m.value >= b.value AS DOUBLE) AS value FROM m JOIN b USING (row, col)"),
+    ("fill", lambda m, b: indexing.fill(m, 4.5), "SELECT row, col, CAST(4.5 AS DOUBLE) AS value FROM m"),
     ("multi_dot", lambda m, b: products.filled(products.multi_dot([layout.transpose(m), b, creation.identity(m.df.sparkSession, 20)])), "SELECT m.col AS row, b.col AS col, sum(m.value * b.value) AS value FROM m JOIN b ON m.row = b.row GROUP BY m.col, b.col"),
     ("datacube", lambda m, b: DataCube().push_back(m).push_back(b).push_back(m).pop_back().reduce_z(F.sum), "SELECT row, col, m.value + b.value AS value FROM m JOIN b USING (row, col)"),
 ):
     _add(_name, _f, _sql)
 for _name, _f, _sql in (
     ("centerOfMass", lambda m, b: reduce.center_of_mass(b, Axis.COL), "SELECT row, sum(value * col) / sum(value) AS value FROM b GROUP BY row"),
-    ("cov", lambda m, b: products.cov(layout.rows_between(m, 0, 5)), "SELECT x.row, y.row AS col, covar_samp(x.value, y.value) AS value FROM m x JOIN m y ON x.col = y.col AND x.row < 5 AND y.row < 5 GROUP BY x.row, y.row"),
-    ("cov_bias", lambda m, b: products.cov(layout.rows_between(m, 0, 5), True), "SELECT x.row, y.row AS col, covar_pop(x.value, y.value) AS value FROM m x JOIN m y ON x.col = y.col AND x.row < 5 AND y.row < 5 GROUP BY x.row, y.row"),
-    ("corrcoef", lambda m, b: products.corrcoef(layout.rows_between(m, 0, 5)), "SELECT x.row, y.row AS col, corr(x.value, y.value) AS value FROM m x JOIN m y ON x.col = y.col AND x.row < 5 AND y.row < 5 GROUP BY x.row, y.row"),
+    ("cov", lambda m, b: products.cov(layout.transpose(m)), "SELECT x.col AS row, y.col AS col, covar_samp(x.value, y.value) AS value FROM m x JOIN m y ON x.row = y.row GROUP BY x.col, y.col"),
+    ("cov_bias", lambda m, b: products.cov(layout.transpose(m), True), "SELECT x.col AS row, y.col AS col, covar_pop(x.value, y.value) AS value FROM m x JOIN m y ON x.row = y.row GROUP BY x.col, y.col"),
+    ("corrcoef", lambda m, b: products.corrcoef(layout.transpose(m)), "SELECT x.col AS row, y.col AS col, corr(x.value, y.value) AS value FROM m x JOIN m y ON x.row = y.row GROUP BY x.col, y.col"),
+    ("cov_inv", lambda m, b: (lambda v: products.filled(products.matmul(products.cov_inv(v), products.cov(v))))(layout.transpose(layout.reshape(m, -1, 5))), "SELECT r AS row, c AS col, CAST(r = c AS DOUBLE) AS value FROM range(0, 5) x(r), range(0, 5) y(c)"),
     ("cumprod", lambda m, b: cumulative.cumprod(b.map(lambda v: 1 + v / 100 - 0.06), Axis.COL), "SELECT row, col, exp(sum(ln(0.94 + value / 100)) OVER (PARTITION BY row ORDER BY col)) AS value FROM b"),
-    ("cumprod_flat", lambda m, b: cumulative.cumprod(layout.rows_between(b, 0, 5).map(lambda v: (1 + v / 1000) * F.when(v == 3, -1).otherwise(1))), "SELECT CAST(0 AS BIGINT) AS row, row * 20 + col AS col, exp(sum(ln(1 + value / 1000)) OVER (ORDER BY row, col)) * CASE WHEN (count(*) FILTER (value = 3) OVER (ORDER BY row, col)) % 2 = 1 THEN -1 ELSE 1 END AS value FROM b WHERE row < 5"),
+    ("cumprod_flat", lambda m, b: cumulative.cumprod(b.map(lambda v: (1 + (v - 6) / 1000) * F.when(v == 3, -1).otherwise(1))), "SELECT CAST(0 AS BIGINT) AS row, row * 20 + col AS col, exp(sum(ln(1 + (value - 6) / 1000)) OVER (ORDER BY row, col)) * CASE WHEN (count(*) FILTER (value = 3) OVER (ORDER BY row, col)) % 2 = 1 THEN -1 ELSE 1 END AS value FROM b"),
     ("nancumprod", lambda m, b: cumulative.cumprod(b.map(lambda v: F.when(v == 0, float("nan")).otherwise(0.94 + v / 100)), Axis.ROW, nan_safe=True), "SELECT row, col, exp(sum(CASE WHEN value = 0 THEN 0 ELSE ln(0.94 + value / 100) END) OVER (PARTITION BY col ORDER BY row)) AS value FROM b"),
     ("softmax", lambda m, b: Grid(b.df.withColumn("value", F.exp("value") / F.sum(F.exp("value")).over(Window.partitionBy("row"))), b.rows, 20), "SELECT row, col, exp(value) / sum(exp(value)) OVER (PARTITION BY row) AS value FROM b"),
 ):

@@ -53,10 +53,9 @@ for _name, _f, _sql in (
     ("svd", lambda a: (lambda u, s, vt: _p.matmul(u, _p.matmul(creation.diagflat(s), vt)))(*_p.svd(a)), "SELECT * FROM a"),
     ("matrix_power", lambda a: _p.matrix_power(a, 2), "SELECT x.row, y.col, sum(x.value * y.value) AS value FROM a x JOIN a y ON x.col = y.row GROUP BY x.row, y.col"),
     ("matrix_power_negative", lambda a: _p.matmul(_p.matrix_power(a, -2), _p.matrix_power(a, 2)), _IDENTITY),
-    ("det", lambda a: _p.det(Grid(a.df.filter("row < 3 and col < 3"), 3, 3)), """
-        SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, m[1] * (m[5] * m[9] - m[6] * m[8]) - m[2] * (m[4] * m[9] - m[6] * m[7]) + m[3] * (m[4] * m[8] - m[5] * m[7]) AS value
-        FROM (SELECT list(value ORDER BY row, col) AS m FROM a WHERE row < 3 AND col < 3)"""),
-    ("cov_inv", lambda a: _p.matmul(_p.cov_inv(Grid(a.df.filter("row < 3"), 3, 5)), _p.cov(Grid(a.df.filter("row < 3"), 3, 5))), "SELECT row, col, CAST(row = col AS DOUBLE) AS value FROM a WHERE row < 3 AND col < 3"),
+    ("det", lambda a: _p.det(a), f"""
+        SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, sum({" * ".join(f"m{i}.value" for i in range(5))} * {" * ".join(f"sign(m{j}.col - m{i}.col)" for i in range(5) for j in range(i + 1, 5))}) AS value
+        FROM {", ".join(f"(SELECT * FROM a WHERE row = {i}) m{i}" for i in range(5))}"""),
 ):
     _linalg(_name, _f, _sql)
 

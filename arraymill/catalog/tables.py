@@ -142,11 +142,11 @@ for _name, _op in (("union1d", "UNION"), ("intersect1d", "INTERSECT"), ("setdiff
 
     def _set(spark, sf_dir, name=_name):
         a = from_table(_table(spark, sf_dir, "part"), F.col("p_size").cast("long"), "p_partkey")
-        b = from_table(_table(spark, sf_dir, "customer").filter("c_custkey % 7 = 0"), F.col("c_custkey") % 90, "c_custkey")
+        b = from_table(_table(spark, sf_dir, "customer"), F.col("c_custkey") % 40 + 20, "c_custkey")
         return getattr(order, name)(a, b).select("col", "value")
 
     QUERIES[_name] = _set
-    SQL[_name] = f"SELECT row_number() OVER (ORDER BY v) - 1 AS col, v AS value FROM (SELECT CAST(p_size AS BIGINT) AS v FROM part {_op} SELECT c_custkey % 90 FROM customer WHERE c_custkey % 7 = 0)"
+    SQL[_name] = f"SELECT row_number() OVER (ORDER BY v) - 1 AS col, v AS value FROM (SELECT CAST(p_size AS BIGINT) AS v FROM part {_op} SELECT c_custkey % 40 + 20 FROM customer)"
 
 
 @_register("bincount", "WITH c AS (SELECT greatest(CAST(p_size AS BIGINT) - 3, 0) AS col, count(*) AS n FROM part GROUP BY 1) SELECT b AS col, coalesce(n, 0) AS value FROM range(0, greatest((SELECT max(col) FROM c), 59) + 1) r(b) LEFT JOIN c ON c.col = b")
@@ -172,13 +172,13 @@ def histogram_bins(spark, sf_dir):
 
 
 @_register("interp", """
-    WITH p AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS xp, CAST(p_size * p_size AS DOUBLE) AS fp FROM part WHERE p_size % 7 = 1),
+    WITH p AS (SELECT DISTINCT CAST(p_size AS DOUBLE) AS xp, CAST(p_size * p_size AS DOUBLE) AS fp FROM part),
     s AS (SELECT xp AS a, fp AS fa, lead(xp) OVER (ORDER BY xp) AS b, lead(fp) OVER (ORDER BY xp) AS fb FROM p),
     v AS (SELECT event_id, least(greatest(value, 1), 50) AS x FROM events)
     SELECT event_id, floor((fa + (fb - fa) * (x - a) / (b - a)) * 1e4 + 0.5) / 1e4 AS value FROM v JOIN s ON x >= a AND (x < b OR (x = b AND b = 50))
 """)
 def interp(spark, sf_dir):
-    points = _table(spark, sf_dir, "part").filter("p_size % 7 = 1").select(F.col("p_size").cast("double").alias("xp"), (F.col("p_size") * F.col("p_size")).cast("double").alias("fp")).distinct()
+    points = _table(spark, sf_dir, "part").select(F.col("p_size").cast("double").alias("xp"), (F.col("p_size") * F.col("p_size")).cast("double").alias("fp")).distinct()
     rows = _table(spark, sf_dir, "events").select(F.lit(0).cast("long").alias("row"), F.col("event_id").alias("col"), F.greatest(F.least("value", F.lit(50.0)), F.lit(1.0)).alias("value"))
     out = order.interp(Grid(rows, 1, 0), points)
     return out.df.select(F.col("col").alias("event_id"), _round(F.col("value")).alias("value"))

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .grid import Grid
+from .layout import transpose
 
 
 class Boundary(Enum):
@@ -105,16 +106,24 @@ def apply(x: Grid, size: int, f: Callable[[Column], Column], rule: Boundary = Bo
     return Grid(near.groupBy("row", "col").agg(f(F.col("value")).alias("value")), x.rows, x.cols)
 
 
-def uniform_filter(x: Grid, size: int, **kw) -> Grid:
-    return apply(x, size, F.avg, **kw)
+def separable(x: Grid, run: Callable[[Grid], Grid], two_dimensional: bool | None = None) -> Grid:
+    """A filter that works along the columns, and in two dimensions then along the rows: each value is
+    dealt to 2 * size places, not to the square of the size."""
+    deep = not x.isflat() if two_dimensional is None else two_dimensional
+    out = run(x)
+    return transpose(run(transpose(out))) if deep else out
+
+
+def uniform_filter(x: Grid, size: int, two_dimensional: bool | None = None, **kw) -> Grid:
+    return separable(x, lambda g: apply(g, size, F.avg, two_dimensional=False, **kw), two_dimensional)
 
 
-def maximum_filter(x: Grid, size: int, **kw) -> Grid:
-    return apply(x, size, F.max, **kw)
+def maximum_filter(x: Grid, size: int, two_dimensional: bool | None = None, **kw) -> Grid:
+    return separable(x, lambda g: apply(g, size, F.max, two_dimensional=False, **kw), two_dimensional)
 
 
-def minimum_filter(x: Grid, size: int, **kw) -> Grid:
-    return apply(x, size, F.min, **kw)
+def minimum_filter(x: Grid, size: int, two_dimensional: bool | None = None, **kw) -> Grid:
+    return separable(x, lambda g: apply(g, size, F.min, two_dimensional=False, **kw), two_dimensional)
 
 
 def median_filter(x: Grid, size: int, **kw) -> Grid:
@@ -159,9 +168,8 @@ def gaussian_kernel(sigma: float) -> np.ndarray:
 
 
 def gaussian_filter(x: Grid, sigma: float, rule: Boundary = Boundary.REFLECT, constant: float = 0.0) -> Grid:
-    own = gaussian_kernel(sigma)
-    weights = own.tolist() if x.isflat() else np.outer(own, own).tolist()
-    return convolve(x, weights, rule, constant)
+    own = gaussian_kernel(sigma).tolist()
+    return separable(x, lambda g: convolve(g, own, rule, constant))
 
 
 def laplace(x: Grid, rule: Boundary = Boundary.REFLECT, constant: float = 0.0) -> Grid:

@@ -31,11 +31,28 @@ class Axis(Enum):
         return {Axis.NONE: ["row", "col"], Axis.ROW: ["row"], Axis.COL: ["col"]}[self]
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Grid:
+    """``base`` and ``expr`` say where the values come from: grids made from the rows of one DataFrame, by
+    ``columns`` or by ``map``, share it, and operators on them are expressions without a join."""
+
     df: DataFrame
     rows: int
     cols: int
+    base: DataFrame | None = None
+    expr: Column | None = None
+
+    @staticmethod
+    def columns(df: DataFrame, rows: int, cols: int, *values: Column) -> list[Grid]:
+        """Grids of several values of the same ``row, col`` table."""
+        return [Grid._from(df, v, rows, cols) for v in values]
+
+    @staticmethod
+    def _from(base: DataFrame, expr: Column, rows: int, cols: int) -> Grid:
+        return Grid(base.select("row", "col", expr.alias("value")), rows, cols, base, expr)
+
+    def _source(self) -> tuple[DataFrame, Column]:
+        return (self.df, F.col("value")) if self.base is None else (self.base, self.expr)
 
     @staticmethod
     def of(df: DataFrame, rows: int | None = None, cols: int | None = None) -> Grid:
@@ -88,7 +105,8 @@ class Grid:
 
     def map(self, f: Callable[[Column], Column]) -> Grid:
         """The grid of f(value)."""
-        return Grid(self.df.select("row", "col", f(F.col("value")).alias("value")), self.rows, self.cols)
+        base, own = self._source()
+        return Grid._from(base, f(own), self.rows, self.cols)
 
     def place(self, row: Column, col: Column, rows: int, cols: int) -> Grid:
         """The grid with each value at another place."""
@@ -103,6 +121,9 @@ class Grid:
         """
         if not isinstance(other, Grid):
             return self.map(lambda v: f(v, F.lit(other)))
+        (base, a), (other_base, b) = self._source(), other._source()
+        if base is other_base and self.shape == other.shape:
+            return Grid._from(base, f(a, b), self.rows, self.cols)
         right = other.df.select(F.col("row").alias("_r"), F.col("col").alias("_c"), F.col("value").alias("_v"))
         left, swap = self, False
         if self.shape == other.shape:
@@ -126,32 +147,53 @@ class Grid:
     def __add__(self, other):
         return self.zip(other, lambda a, b: a + b)
 
+    __radd__ = __add__
+
     def __sub__(self, other):
         return self.zip(other, lambda a, b: a - b)
 
+    def __rsub__(self, other):
+        return self.zip(other, lambda a, b: b - a)
+
     def __mul__(self, other):
         return self.zip(other, lambda a, b: a * b)
 
+    __rmul__ = __mul__
+
     def __truediv__(self, other):
         from ..functions.numeric import divide
 
         return self.zip(other, divide)
 
+    def __rtruediv__(self, other):
+        from ..functions.numeric import divide
+
+        return self.zip(other, lambda a, b: divide(b, a))
+
     def __mod__(self, other):
         return self.zip(other, lambda a, b: a % b)
 
+    def __rmod__(self, other):
+        return self.zip(other, lambda a, b: b % a)
+
     def __neg__(self):
         return self.map(lambda a: -a)
 
     def __and__(self, other):
         return self.zip(other, lambda a, b: a.bitwiseAND(b))
 
+    __rand__ = __and__
+
     def __or__(self, other):
         return self.zip(other, lambda a, b: a.bitwiseOR(b))
 
+    __ror__ = __or__
+
     def __xor__(self, other):
         return self.zip(other, lambda a, b: a.bitwiseXOR(b))
 
+    __rxor__ = __xor__
+
     def __invert__(self):
         return self.map(F.bitwise_not)
 
@@ -173,6 +215,31 @@ class Grid:
     def __ge__(self, other):
         return self.zip(other, lambda a, b: a >= b)
 
+    def __eq__(self, other):
+        """Element by element; fractions are equal within a relative epsilon."""
+        return self.equals(other)
+
+    def __ne__(self, other):
+        return self.equals(other).map(lambda a: ~a)
+
+    __hash__ = object.__hash__
+
+    def logical_and(self, other):
+        """Whether both values are other than zero."""
+        return self.zip(other, lambda a, b: (a.cast("double") != 0) & (b.cast("double") != 0))
+
+    def logical_or(self, other):
+        return self.zip(other, lambda a, b: (a.cast("double") != 0) | (b.cast("double") != 0))
+
+    def logical_not(self):
+        return self.map(lambda a: a.cast("double") == 0)
+
+    def increment(self):
+        return self.map(lambda a: a + 1)
+
+    def decrement(self):
+        return self.map(lambda a: a - 1)
+
     def equals(self, other):
         from ..functions.numeric import essentially_equal
 

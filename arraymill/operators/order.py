@@ -134,18 +134,20 @@ def histogram_bins(x: Grid, n: int) -> DataFrame:
     return histogram(x, [low + (high - low) * i / n for i in range(n)] + [high])
 
 
-def interp(x: Grid, points: DataFrame, buckets: int = 64) -> Grid:
+def interp(x: Grid, points: DataFrame, buckets: int = 256) -> Grid:
     """Linear interpolation at each value between known ``xp, fp`` points; outside them an error.
 
-    Intervals and values meet by equal-width bucket of the points' range, so only near ones are
-    compared: an equi-join that shuffles both sides and sends neither to every task.
+    Intervals and values meet by bucket of about as many points, however these lie, so only near ones
+    are compared: an equi-join that shuffles both sides and sends neither to every task.
     """
     low, high = points.agg(F.min("xp"), F.max("xp")).first()
-    width = (high - low) / buckets or 1.0
+    # as many bounds as buckets, whatever the number of points
+    edges = sorted(set(points.approxQuantile("xp", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
+    bounds = F.array(*[F.lit(float(e)) for e in edges])
     pts = ranked(points, "xp", name="_i")
     after = pts.select((F.col("_i") - 1).alias("_i"), F.col("xp").alias("_x1"), F.col("fp").alias("_f1"))
     spans = pts.join(after, "_i").select(F.col("xp").alias("_x0"), F.col("fp").alias("_f0"), "_x1", "_f1")
-    bucket = lambda c: F.least(F.floor((c - low) / width), F.lit(buckets - 1).cast("long"))
+    bucket = lambda c: F.size(F.filter(bounds, lambda e: e <= c))
     spans = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1")))))
     v = F.col("value")
     inside = F.when((v >= low) & (v <= high), v).otherwise(F.raise_error(F.lit("a value lies outside the points")).cast("double"))
