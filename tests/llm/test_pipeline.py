@@ -33,7 +33,7 @@ def corpus(spark, tmp_path_factory):
         text = rows[k][1].split(" ")
         text[-1] = "changed"
         rows.append((500 + k, " ".join(text).replace("\n", "\n\n", 1), "en", "s1", 0))
-    rows += [(600, None, "en", "s2", 0), (601, "", "en", "s2", 0), (rows[5][0], *rows[5][1:])]
+    rows += [(602, rows[11][1], "en", "s3", 0), (600, None, "en", "s2", 0), (601, "", "en", "s2", 0), (rows[5][0], *rows[5][1:])]
     rows = [(*r[:4], len(r[1] or "")) for r in rows]
     path = str(tmp_path_factory.mktemp("sf"))
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"file://{path}/documents.parquet")
@@ -53,6 +53,9 @@ def test_stages(spark, corpus):
     civil = [r for r in rows if r[0] not in toxic]
     cleaned = plain_lines([(r[0], r[1]) for r in civil], line_dedup.MIN_CHARS)
     lined = [(r[0], cleaned[True, r[0], r[1] or ""][0], r[3]) for r in civil]
+    # copies that lose all lines go
+    lined = [own for own, r in zip(lined, civil, strict=True) if own[1] or not r[1]]
+    assert len(lined) < len(civil)
     sets = [plain_shingles(t) for _, t, _ in lined]
     group = list(range(len(lined)))
     for i in range(len(lined)):
