@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays, domains, elements, tables
+from . import arrays, domains, elements, special, tables
 
-QUERIES = {**elements.QUERIES, **tables.QUERIES, **arrays.QUERIES, **domains.QUERIES}
-ORACLE_SQL = {**elements.SQL, **tables.SQL, **arrays.SQL, **domains.SQL}
+QUERIES = {**elements.QUERIES, **tables.QUERIES, **arrays.QUERIES, **domains.QUERIES, **special.QUERIES}
+ORACLE_SQL = {**elements.SQL, **tables.SQL, **arrays.SQL, **domains.SQL, **special.SQL}

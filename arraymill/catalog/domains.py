@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,6 +14,8 @@ from ..functions import geometry, special
 from ..operators import creation, images, integrate, layout, products, roots
 from ..operators.grid import Grid
 from ..operators.random import RNG
+from ..plans.cut import checkpoint_folder
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,6 +54,11 @@ for _name, _f, _sql in (
     ("lu_decomposition", lambda a: _p.matmul(*_p.lu_decomposition(a)), "SELECT * FROM a"),
     ("pivotLU_decomposition", lambda a: (lambda low, up, p: _p.matmul(layout.transpose(p), _p.matmul(low, up)))(*_p.pivot_lu_decomposition(a)), "SELECT * FROM a"),
     ("svd", lambda a: (lambda u, s, vt: _p.matmul(u, _p.matmul(creation.diagflat(s), vt)))(*_p.svd(a)), "SELECT * FROM a"),
+    ("lu_lower", lambda a: _p.lu_decomposition(a)[0].zip(creation.triangle(_p.lu_decomposition(a)[0], 0), lambda v, w: v - w), "SELECT row, col, CAST(0 AS DOUBLE) AS value FROM a"),
+    ("lu_upper", lambda a: _p.lu_decomposition(a)[1].zip(creation.triangle(_p.lu_decomposition(a)[1], 0, upper=True), lambda v, w: v - w), "SELECT row, col, CAST(0 AS DOUBLE) AS value FROM a"),
+    ("svd_u", lambda a: (lambda u: _p.matmul(layout.transpose(u), u))(_p.svd(a)[0]), _IDENTITY),
+    ("svd_v", lambda a: (lambda vt: _p.matmul(vt, layout.transpose(vt)))(_p.svd(a)[2]), _IDENTITY),
+    ("svd_s", lambda a: (lambda s: _p.matmul(s, layout.transpose(s)))(_p.svd(a)[1]), "SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, sum(value * value) AS value FROM a"),
     ("matrix_power", lambda a: _p.matrix_power(a, 2), "SELECT x.row, y.col, sum(x.value * y.value) AS value FROM a x JOIN a y ON x.col = y.row GROUP BY x.row, y.col"),
     ("matrix_power_negative", lambda a: _p.matmul(_p.matrix_power(a, -2), _p.matrix_power(a, 2)), _IDENTITY),
     ("det", lambda a: _p.det(a), f"""
@@ -248,15 +256,38 @@ def airy(spark, sf_dir):
 @_register("fromstring", "SELECT p_partkey, [CAST(p_size AS DOUBLE), p_retailprice] AS value FROM part".replace("[CAST(p_size AS DOUBLE), p_retailprice] AS value", "p_size + p_retailprice AS value"))
 def fromstring(spark, sf_dir):
     """Numbers to text and back, up to the first part that is none."""
-    from ..sources.files import from_string
-
     text = F.concat_ws(" ", F.col("p_size").cast("string"), F.col("p_retailprice").cast("string"), F.lit("x"), F.lit("9"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.aggregate(from_string(text), F.lit(0.0), lambda a, b: a + b).alias("value"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", F.aggregate(files.from_string(text), F.lit(0.0), lambda a, b: a + b).alias("value"))
+
+
+def _folder(spark: SparkSession) -> str:
+    return f"{checkpoint_folder(spark)}/arraymill/array-{uuid.uuid4().hex}"
+
+
+@_register("dump_load", "SELECT p_partkey // 20 AS row, p_partkey % 20 AS col, CAST(p_size AS DOUBLE) AS value FROM part")
+def dump_load(spark, sf_dir):
+    """A table of raw chunks, written and read again."""
+    path = _folder(spark)
+    files.to_binary(_image(spark, sf_dir), path)
+    return files.from_binary(spark, path).df
+
+
+@_register("tofile_fromfile", "SELECT p_partkey // 20 AS row, p_partkey % 20 AS col, CAST(p_size AS DOUBLE) AS value FROM part")
+def tofile_fromfile(spark, sf_dir):
+    """Raw big-endian floats without any header, written and read again."""
+    x, path = _image(spark, sf_dir), _folder(spark)
+    files.to_raw_files(x, path, ">f4", 500)
+    return files.from_raw(spark, path, x.rows, x.cols, ">f4").df
+
+
+@_register("totext_fromtext", "SELECT p_partkey // 20 AS row, p_partkey % 20 AS col, CAST(p_size AS DOUBLE) AS value FROM part")
+def totext_fromtext(spark, sf_dir):
+    path = _folder(spark)
+    files.to_text(_image(spark, sf_dir), path, ",")
+    return files.from_text(spark, path, ",").df
 
 
 @_register("frombuffer", "SELECT p_partkey, CAST(p_partkey AS DOUBLE) AS value FROM part")
 def frombuffer(spark, sf_dir):
-    from ..sources.files import from_buffer
-
     big = F.unhex(F.lpad(F.hex("p_partkey"), 16, "0"))
-    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", from_buffer(big, ">i8")[0].alias("value"))
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", files.from_buffer(big, ">i8")[0].alias("value"))

@@ -13,7 +13,7 @@ from ..operators import order, products
 from ..operators.grid import Grid
 from ..plans.ordered import ranked, running_sum
 from ..sources.files import from_table
-from ..streaming.running import windowed
+from ..streaming.running import sessions, settled, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -212,3 +212,24 @@ def windowed_stream(spark, sf_dir):
     """The streaming operator on a bounded table: event-time windows have the same rows there."""
     out = windowed(_table(spark, sf_dir, "events").select("ts", "event_type", "value"), "ts", F.col("value"), "1 hour", "event_type")
     return out.select("start", "event_type", "n", _round(F.col("sum")).alias("total"), "max")
+
+
+@_register("stream_windows", SQL["windowed_stream"])
+def stream_windows(spark, sf_dir):
+    """The same windows from a stream that reads the table's files."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    out = settled(windowed(stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "ts", F.col("value"), "1 hour", "event_type"), "stream-windows")
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _round(F.col("sum")).alias("total"), "max")
+
+
+@_register("session_stream", """
+    WITH e AS (SELECT ts, event_type, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
+    s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)
+    SELECT min(ts) AS start, max(ts) + INTERVAL 5 MINUTE AS "end", event_type, count(*) AS n, floor(sum(value) * 1e4 + 0.5) / 1e4 AS total FROM s GROUP BY event_type, session
+""")
+def session_stream(spark, sf_dir):
+    """Sessions of events of a type with pauses below five minutes."""
+    rows = _table(spark, sf_dir, "events").select("ts", "event_type", "value")
+    out = sessions(rows, "ts", F.col("value"), "5 minutes", "event_type")
+    return out.select("start", "end", "event_type", "n", _round(F.col("sum")).alias("total"))

@@ -87,7 +87,8 @@ class RNG:
         for w in weights[:-1]:
             done += w / total
             bounds.append(F.lit(done))
-        return F.size(F.filter(F.array(*bounds), lambda b: b <= u)).cast("long") if bounds else F.lit(0).cast("long")
+        # bound once: each bound would else be held against a draw of its own
+        return F.transform(F.array(u), lambda v: F.size(F.filter(F.array(*bounds), lambda b: b <= v)))[0].cast("long") if bounds else F.lit(0).cast("long")
 
     def on_sphere(self, dims: int = 2) -> Column:
         """A point of the unit sphere as an array."""

@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyarrow import fs
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.grid import Grid
@@ -66,6 +67,41 @@ def from_raw_files(spark: SparkSession, path: str, dtype: str = "<f8") -> DataFr
     return files.select("path", F.posexplode(from_buffer(F.col("content"), dtype)).alias("idx", "value"))
 
 
+def to_raw_files(x: Grid, path: str, dtype: str = "<f8", chunk: int = 1 << 20) -> int:
+    """The flattened values as raw bytes; returns how many there are.
+
+    Files of ``chunk`` values each, ``000000000000.bin`` and so on, that joined in the order of their names
+    are the array's bytes and nothing else. Tasks write them straight to the store, which all of them reach;
+    a task that runs again writes the same file again.
+    """
+
+    def write(key: tuple, rows: pa.Table) -> pa.Table:
+        store, folder = fs.FileSystem.from_uri(path)
+        data = rows.sort_by("at").column("value").to_numpy().astype(dtype).tobytes()
+        store.create_dir(folder)
+        with store.open_output_stream(f"{folder}/{key[0].as_py():012d}.bin") as out:
+            out.write(data)
+        return pa.table({"bytes": pa.array([len(data)], pa.int64())})
+
+    cells = x.df.select(F.floor(x.idx / chunk).cast("long").alias("chunk"), x.idx.alias("at"), F.col("value").cast("double").alias("value"))
+    return cells.groupBy("chunk").applyInArrow(write, "bytes bigint").agg(F.sum("bytes")).first()[0] or 0
+
+
+def from_raw(spark: SparkSession, path: str, rows: int, cols: int, dtype: str = "<f8") -> Grid:
+    """A grid from the raw bytes of a file, or of all files of a folder in the order of their names.
+
+    A file is one task's work, so a large array is best in many.
+    """
+    files = spark.read.format("binaryFile").load(path)
+    # a row a file; only sizes are read here
+    before = F.sum("length").over(Window.partitionBy(F.lit(0)).orderBy("path").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = files.select("path", F.coalesce(before, F.lit(0)).alias("before"))
+    values = files.select("path", F.posexplode(from_buffer(F.col("content"), dtype)).alias("pos", "value")).join(sizes, "path")
+    at = F.floor(F.col("before") / np.dtype(dtype).itemsize) + F.col("pos")
+    cells = values.select(at.cast("long").alias("at"), "value").filter(F.col("at") < rows * cols)
+    return Grid(cells.select(F.floor(F.col("at") / cols).cast("long").alias("row"), (F.col("at") % cols).alias("col"), "value"), rows, cols)
+
+
 def to_text(x: Grid, path: str, sep: str = " ") -> None:
     """Lines of ``row<TAB>values``, one for each row of the grid, with values between separators."""
     lines = x.df.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("col", "value"))).alias("cells"))

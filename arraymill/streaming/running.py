@@ -2,8 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..plans.cut import checkpoint_folder
+
+
+def _reduced(windows: DataFrame, value: Column, keys: tuple[str, ...]) -> DataFrame:
+    return (
+        windows.agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"))
+        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "sum", "min", "max", "mean", "stdev")
+    )
 
 
 def windowed(stream: DataFrame, ts: str, value: Column, width: str, *keys: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -11,9 +25,40 @@ def windowed(stream: DataFrame, ts: str, value: Column, width: str, *keys: str,
 
     State is bounded by the windows that the watermark still keeps open.
     """
-    return (
-        stream.withWatermark(ts, late)
-        .groupBy(F.window(ts, width, slide) if slide else F.window(ts, width), *keys)
-        .agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"))
-        .select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", "sum", "min", "max", "mean", "stdev")
-    )
+    window = F.window(ts, width, slide) if slide else F.window(ts, width)
+    return _reduced(stream.withWatermark(ts, late).groupBy(window.alias("window"), *keys), value, keys)
+
+
+def sessions(stream: DataFrame, ts: str, value: Column, gap: str, *keys: str, late: str = "10 minutes") -> DataFrame:
+    """The same of each key's values that follow one another with no longer pause than ``gap``."""
+    return _reduced(stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("window"), *keys), value, keys)
+
+
+def totals(stream: DataFrame, value: Column, key: str) -> DataFrame:
+    """``key, n, sum``: of each key that a batch brings values of, the count and sum over the whole stream.
+
+    The cumulative sum of a stream that never ends. State is one row a key; a batch's rows of a key are
+    read in pieces, so a key may have any number of them. A null value adds nothing; a null key is a key.
+    """
+
+    def add(own: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        n, total = state.get if state.exists else (0, 0.0)
+        for piece in pieces:
+            n, total = n + int(piece["_total"].count()), total + float(piece["_total"].sum())
+        state.update((n, total))
+        yield pd.DataFrame({key: [own[0]], "n": [n], "sum": [total]})
+
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.select(key, value.cast("double").alias("_total"))
+    return rows.groupBy(key).applyInPandasWithState(add, f"`{key}` {kind}, n bigint, sum double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
+
+
+def settled(stream: DataFrame, name: str) -> DataFrame:
+    """The rows that an aggregated stream has once all input that is there now is read, as a table."""
+    spark = stream.sparkSession
+    place = f"{checkpoint_folder(spark)}/arraymill/{name}-{uuid.uuid4().hex}"
+    rows = f"{place}/rows"
+    spark.createDataFrame([], stream.schema).write.parquet(rows)
+    run = stream.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/log").foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(rows))
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(rows)
