@@ -218,7 +218,8 @@ def windowed_stream(spark, sf_dir):
 def stream_windows(spark, sf_dir):
     """The same windows from a stream that reads the table's files."""
     path = f"{sf_dir}/events.parquet"
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    # a pattern, which may name a file or a folder of files
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
     out = settled(windowed(stream.select(F.col("ts").cast("timestamp").alias("ts"), "event_type", "value"), "ts", F.col("value"), "1 hour", "event_type"), "stream-windows")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _round(F.col("sum")).alias("total"), "max")
 
