@@ -128,28 +128,29 @@ def headers(rows: DataFrame) -> DataFrame:
 
 
 def scores(found: DataFrame, templates=TEMPLATES) -> DataFrame:
-    """``header, license, score``: each distinct header's best template.
+    """``digest, license, score``: each distinct header's best template, from rows of ``digest, kind, header``.
 
     A term that no header line has weighs most; a line in n documents counts n times in frequencies.
+    Rows of terms name their header by its digest, for a header may be a long text.
     """
     spark = found.sparkSession
-    distinct = found.groupBy("header").agg(F.count_if(F.col("kind") == "line").alias("n"))
-    by_term = distinct.select("header", "n", F.explode(terms(F.col("header"))).alias("term")).groupBy("header", "n", "term").agg(F.count("*").alias("tf"))
+    distinct = found.groupBy("digest").agg(F.count_if(F.col("kind") == "line").alias("n"), F.min("header").alias("header"))
+    by_term = distinct.select("digest", "n", F.explode(terms(F.col("header"))).alias("term")).groupBy("digest", "n", "term").agg(F.count("*").alias("tf"))
     total = distinct.agg(F.sum("n").cast("double").alias("total"))
     df = by_term.groupBy("term").agg(F.sum("n").alias("df"))
     notices = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "t int, license string, notice string")
     notice_terms = notices.select("t", F.explode(terms(F.col("notice"))).alias("term")).groupBy("t", "term").agg(F.count("*").alias("ntf"))
     idf = F.log((1 + F.coalesce("total", F.lit(0.0))) / (1 + F.coalesce("df", F.lit(0)))) + 1
-    weighed = by_term.join(df, "term").join(F.broadcast(total)).select("header", "term", (F.col("tf") * idf).alias("w"))
-    norms = weighed.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    weighed = by_term.join(df, "term").join(F.broadcast(total)).select("digest", "term", (F.col("tf") * idf).alias("w"))
+    norms = weighed.groupBy("digest").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     # the templates' terms are a fixed few hundred rows
     notice_w = notice_terms.join(df, "term", "left").join(F.broadcast(total)).select("t", "term", (F.col("ntf") * idf).alias("nw"))
     notice_norm = notice_w.groupBy("t").agg(F.sqrt(F.sum(F.col("nw") * F.col("nw"))).alias("nnorm"))
     notice_w = notice_w.join(notice_norm, "t").join(notices.select("t", "license"), "t")
-    dots = weighed.join(F.broadcast(notice_w), "term").groupBy("header", "t", "license", "nnorm").agg(F.sum(F.col("w") * F.col("nw")).alias("dot"))
+    dots = weighed.join(F.broadcast(notice_w), "term").groupBy("digest", "t", "license", "nnorm").agg(F.sum(F.col("w") * F.col("nw")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("norm") * F.col("nnorm")), 6)
-    by_license = dots.join(norms, "header").select("header", "license", cosine.alias("score"))
-    return by_license.groupBy("header").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")).select("header", "best.license", (-F.col("best.s")).alias("score"))
+    by_license = dots.join(norms, "digest").select("digest", "license", cosine.alias("score"))
+    return by_license.groupBy("digest").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")).select("digest", "best.license", (-F.col("best.s")).alias("score"))
 
 
 def scan(docs: DataFrame, path: Column, templates=TEMPLATES, threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
@@ -158,7 +159,7 @@ def scan(docs: DataFrame, path: Column, templates=TEMPLATES, threshold: float =
     license is the document's own one or the inherited one; inherited_from is the directory.
     """
     rows = docs.select("doc_id", F.coalesce(path, F.lit("")).alias("path"), text_key().alias("text_key"), text_or_empty().alias("text"))
-    found, found_at = written(headers(rows.select(F.struct("doc_id", "path", "text_key").alias("key"), "path", "text")), "licence-headers")
+    found, found_at = written(headers(rows.select(F.struct("doc_id", "path", "text_key").alias("key"), "path", "text")).withColumn("digest", F.md5("header")), "licence-headers")
     best = scores(found, templates).filter(F.col("score") >= threshold)
     ranked = F.when(F.col("score").isNotNull(), F.struct((-F.col("score")).alias("s"), "license"))
     is_line = F.col("kind") == "line"
@@ -167,7 +168,7 @@ def scan(docs: DataFrame, path: Column, templates=TEMPLATES, threshold: float =
     share = F.sum(F.when(is_line, F.col("share")).otherwise(0.0))
     as_whole = F.max((F.col("kind") == "text") & F.col("score").isNotNull())
     stated = F.max(is_line & F.col("header").rlike("(?i)" + STATED))
-    own = found.join(best, "header", "left").groupBy("key").agg(F.min(ranked).alias("best"), stated.alias("stated"), share.alias("share"), as_whole.alias("as_whole"))
+    own = found.join(best, "digest", "left").groupBy("key").agg(F.min(ranked).alias("best"), stated.alias("stated"), share.alias("share"), as_whole.alias("as_whole"))
     own = own.join(rows_of, "key", "left").withColumn("share", F.when(F.col("as_whole"), 1.0).otherwise(F.col("share") / F.coalesce("times", F.lit(1))))
     own = own.select(F.col("key.doc_id").alias("_d"), F.col("key.path").alias("_p"), F.col("key.text_key").alias("_k"), F.col("best.license").alias("own_license"), (-F.col("best.s")).alias("own_score"), "share", "stated")
     own, _ = written(own, "licence-own")
