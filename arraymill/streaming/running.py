@@ -30,7 +30,10 @@ def windowed(stream: DataFrame, ts: str, value: Column, width: str, *keys: str,
 
 
 def sessions(stream: DataFrame, ts: str, value: Column, gap: str, *keys: str, late: str = "10 minutes") -> DataFrame:
-    """The same of each key's values that follow one another with no longer pause than ``gap``."""
+    """The same of each key's values that follow one another with no longer pause than ``gap``.
+
+    A stream's sessions need a key.
+    """
     return _reduced(stream.withWatermark(ts, late).groupBy(F.session_window(ts, gap).alias("window"), *keys), value, keys)
 
 

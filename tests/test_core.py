@@ -14,6 +14,7 @@ from arraymill.operators.grid import Axis, Grid, Slice
 from arraymill.operators.random import RNG
 from arraymill.plans.ordered import ranked
 from arraymill.sources import files
+from arraymill.streaming import running
 
 A = np.random.default_rng(0).integers(-9, 9, (5, 4)).astype(float)
 
@@ -134,3 +135,74 @@ def test_hamming_code(spark):
         bad = rows.select("id", hamming_decode(F.col("w").bitwiseXOR(F.lit(1 << k)), 11).alias("d")).filter("d.value <> id or d.status <> 1")
         assert bad.limit(1).count() == 0 or k == 15
     assert rows.select(hamming_decode(F.col("w"), 11).alias("d"), "id").filter("d.value <> id or d.status <> 0").count() == 0
+
+
+def test_operators_of_grids(spark, a):
+    to = files.to_numpy
+    b = Grid.local(spark, (A.T.reshape(A.shape) + 0.5).tolist())
+    B = A.T.reshape(A.shape) + 0.5
+    assert np.allclose(to(2 * a), 2 * A) and np.allclose(to(1 - a), 1 - A) and np.allclose(to(3 / b), 3 / B)
+    assert np.allclose(to(7 % b), np.fmod(7, B)) and np.allclose(to(2 + a - b), 2 + A - B)
+    number = lambda v: v.cast("double")
+    assert (to((a == a.map(lambda v: v + 0)).map(number)) == 1).all()
+    assert (to((a == b).map(number)) == (A == B)).all() and (to((a != 3).map(number)) == (A != 3)).all()
+    assert (to(a.logical_and(b).map(number)) == ((A != 0) & (B != 0))).all()
+    assert (to(a.logical_or(b - b).logical_not().map(number)) == (A == 0)).all()
+    assert len({a, b}) == 2
+
+
+def test_grids_of_one_table_need_no_join(spark):
+    cells = spark.range(12).select(F.floor(F.col("id") / 4).alias("row"), (F.col("id") % 4).alias("col"), F.col("id").alias("v"))
+    m, n = Grid.columns(cells, 3, 4, F.col("v") * 1.0, F.col("v") % 5)
+    out = (m * 2 + n) / (m + 1)
+    assert "Join" not in out.df._jdf.queryExecution().optimizedPlan().toString()
+    v = np.arange(12.0).reshape(3, 4)
+    assert np.allclose(files.to_numpy(out), (v * 2 + v % 5) / (v + 1))
+
+
+def test_separable_filters(spark, a):
+    padded = np.pad(A, 1, constant_values=2.0)
+    near = np.stack([padded[i : i + 5, j : j + 4] for i in range(3) for j in range(3)])
+    for f, g in ((filters.uniform_filter, np.mean), (filters.maximum_filter, np.max), (filters.minimum_filter, np.min)):
+        assert np.allclose(files.to_numpy(f(a, 3, rule=filters.Boundary.CONSTANT, constant=2.0)), g(near, axis=0))
+
+
+def test_interpolation_of_crowded_points(spark):
+    rng = np.random.default_rng(4)
+    xs = np.unique(np.concatenate([rng.normal(0, 1e-3, 900), [-50.0, 50.0]]))
+    points = spark.createDataFrame([(float(x), float(np.sin(x))) for x in xs], "xp double, fp double")
+    at = np.concatenate([xs, rng.uniform(-50, 50, 200)])
+    got = files.to_numpy(order.interp(Grid.local(spark, at.tolist()), points))[0]
+    assert np.allclose(got, np.interp(at, xs, np.sin(xs)))
+
+
+def test_raw_files(spark, a, tmp_path):
+    assert files.to_raw_files(a, f"file://{tmp_path}/raw", "<f4", 7) == 4 * A.size
+    parts = sorted((tmp_path / "raw").glob("*.bin"))
+    assert len(parts) == 3 and b"".join(p.read_bytes() for p in parts) == A.astype("<f4").tobytes()
+    assert np.allclose(files.to_numpy(files.from_raw(spark, f"file://{tmp_path}/raw", *A.shape, "<f4")), A)
+
+
+def test_streams(spark, tmp_path):
+    """Five batches; one value of the fourth comes after the watermark has passed its window."""
+    place, shape = f"file://{tmp_path}/in", "ts timestamp, k string, v double"
+    batches = (["2024-01-01 10:00", "2024-01-01 10:30"], ["2024-01-01 13:00", "2024-01-01 13:01"], ["2024-01-01 13:03"], ["2024-01-01 10:05", "2024-01-01 13:02"], ["2024-01-01 18:00"])
+    for n, times in enumerate(batches):
+        rows = spark.createDataFrame([(t, "a" if i else "b", float(n + 1)) for i, t in enumerate(times)], "ts string, k string, v double")
+        rows.select(F.col("ts").cast("timestamp").alias("ts"), "k", "v").coalesce(1).write.mode("append").parquet(place)
+
+    def run(f, mode, name):
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(place)
+        out = f(stream).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"file://{tmp_path}/{name}")
+        out.trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+
+    hours = run(lambda s: running.windowed(s, "ts", F.col("v"), "1 hour"), "append", "hours").collect()
+    # the late value is in no window
+    assert sorted((r.start.hour, r.n, r.sum) for r in hours) == [(10, 2, 2.0), (13, 4, 11.0)]
+    pauses = run(lambda s: running.sessions(s, "ts", F.col("v"), "5 minutes", "k"), "append", "pauses").collect()
+    assert sorted((r.start.hour, r.start.minute, r.n) for r in pauses) == [(10, 0, 1), (10, 30, 1), (13, 0, 2), (13, 1, 2)]
+    sums = run(lambda s: running.totals(s, F.col("v"), "k"), "update", "sums").groupBy("k").agg(F.max("n").alias("n"), F.max("sum").alias("sum")).collect()
+    assert {(r.k, r.n, r.sum) for r in sums} == {("b", 5, 15.0), ("a", 3, 7.0)}
+    table = running.settled(running.windowed(spark.readStream.schema(shape).parquet(place), "ts", F.col("v"), "1 hour"), "test-windows")
+    assert table.agg(F.sum("n")).first()[0] == 8
