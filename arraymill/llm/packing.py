@@ -29,7 +29,7 @@ from .shared import give_back, text_or_empty, written
 END_ID = 1
 WINDOW = 2048
 #: Entries of a worker's word cache; it is emptied beyond.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 400_000
 _NEAR_SPACE = re.compile(r"\s[ \n]|[ \n]\s|\A\s|\s\Z|\x00")
 
 
