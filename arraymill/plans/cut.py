@@ -6,10 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset one beside the warehouse's tables, which
-    driver and executors share too. A machine's own temporary folder never serves."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, one beside the warehouse's tables.
+
+    The setting is static, so it is read and never set. A warehouse in a machine's own file system serves
+    only where all tasks run on that machine; elsewhere an error asks for the setting.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    return (folder or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_arraymill").rstrip("/")
+    if folder:
+        return folder.rstrip("/")
+    place = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_arraymill"
+    scheme = spark._jvm.org.apache.hadoop.fs.Path(place).getFileSystem(spark._jsc.hadoopConfiguration()).getScheme()
+    if scheme == "file" and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("executors do not share the warehouse's folder: set spark.checkpoint.dir to one that they do")
+    return place
 
 
 def cut(df: DataFrame) -> DataFrame:

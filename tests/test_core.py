@@ -206,3 +206,13 @@ def test_streams(spark, tmp_path):
     assert {(r.k, r.n, r.sum) for r in sums} == {("b", 5, 15.0), ("a", 3, 7.0)}
     table = running.settled(running.windowed(spark.readStream.schema(shape).parquet(place), "ts", F.col("v"), "1 hour"), "test-windows")
     assert table.agg(F.sum("n")).first()[0] == 8
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
+    from arraymill.plans.cut import checkpoint_folder
+
+    monkeypatch.setattr(type(spark.conf), "get", lambda conf, key, *other: other[0] if key == "spark.checkpoint.dir" else "file:/tmp/warehouse")
+    assert checkpoint_folder(spark) == "file:/tmp/warehouse/_arraymill"
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_folder(spark)
