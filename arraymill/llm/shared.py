@@ -22,14 +22,6 @@ from ..plans.cut import checkpoint_folder
 _open: dict[str, weakref.ref] = {}
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names; where the setting is unset one beside the warehouse's tables."""
-    folder = checkpoint_folder(spark)
-    if not spark.conf.get("spark.checkpoint.dir", None):
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a written table; a path that is already gone is no error."""
     _open.pop(path, None)
@@ -53,7 +45,7 @@ atexit.register(_at_exit)
 def written(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """``df`` written as a compressed table in the shared folder and read back, with its path."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/arraymill/{name}-{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark)}/arraymill/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _open[path] = weakref.ref(spark)
     return spark.read.schema(df.schema).parquet(path), path
