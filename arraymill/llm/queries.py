@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, embedding_dedup, filter_audit, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity
+from . import chat_quotes, embedding_dedup, filter_audit, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,6 +65,10 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
@@ -77,6 +81,7 @@ QUERIES = {
     "op9_chat_quotes": op9_chat_quotes,
     "op10_embedding_dedup": op10_embedding_dedup,
     "op12_filter_audit": op12_filter_audit,
+    "op13_whitening": op13_whitening,
 }
 
 _NOTICES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
