@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_quotes, embedding_dedup, filter_audit, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity, whitening
+from . import chat_quotes, embedding_dedup, exact_dedup, filter_audit, fingerprints, license_scan, line_dedup, mixing, ngram_join, packing, suffix_dedup, toxicity, whitening
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,10 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.links(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.groups(_table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.interactions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -80,6 +84,7 @@ QUERIES = {
     "op8_suffix_dedup": op8_suffix_dedup,
     "op9_chat_quotes": op9_chat_quotes,
     "op10_embedding_dedup": op10_embedding_dedup,
+    "op11_exact_dedup": op11_exact_dedup,
     "op12_filter_audit": op12_filter_audit,
     "op13_whitening": op13_whitening,
 }
@@ -190,6 +195,12 @@ SELECT e.vec_id, coalesce(c.n, 0) AS n_links, least(e.vec_id, coalesce(l.m, e.ve
 FROM embeddings e LEFT JOIN counts c ON c.u = e.vec_id LEFT JOIN least l ON l.u = e.vec_id
 """
 
+OP11_SQL = """
+WITH texts AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+kept AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM texts GROUP BY t)
+SELECT DISTINCT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM texts JOIN kept USING (t)
+"""
+
 OP12_SQL = r"""
 WITH docs AS (
     SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
@@ -229,5 +240,6 @@ ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op10_embedding_dedup": OP10_SQL,
+    "op11_exact_dedup": OP11_SQL,
     "op12_filter_audit": OP12_SQL,
 }
