@@ -11,6 +11,7 @@ from ..functions import polynomials, reducers
 from ..functions.numeric import NAN
 from ..operators import order, products
 from ..operators.grid import Grid
+from ..plans.asof import bracket
 from ..plans.ordered import ranked, running_sum
 from ..sources.files import from_table
 from ..streaming.running import sessions, settled, windowed
@@ -81,9 +82,10 @@ def _column(spark: SparkSession, sf_dir: str, table: str, value: str, key: str)
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("l_extendedprice")
     cents = lambda c: F.floor(c * 100 + 0.5) / 100
-    return _table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(
-        cents(_R.mean(v)).alias("mean"), cents(_R.stdev(v)).alias("stdev"), cents(_R.median(v)).alias("median"), cents(_R.percentile(v, 90)).alias("p90"), cents(_R.ptp(v)).alias("ptp"), cents(_R.rms(v)).alias("rms"),
-    )
+    lines = _table(spark, sf_dir, "lineitem").select("l_returnflag", "l_extendedprice")
+    sums = lines.groupBy("l_returnflag").agg(cents(_R.mean(v)).alias("mean"), cents(_R.stdev(v)).alias("stdev"), cents(_R.ptp(v)).alias("ptp"), cents(_R.rms(v)).alias("rms"))
+    ranked_values = order.percentiles(lines, ["l_returnflag"], "l_extendedprice", {"median": 50, "p90": 90})
+    return sums.join(ranked_values, "l_returnflag").select("l_returnflag", "mean", "stdev", cents(F.col("median")).alias("median"), cents(F.col("p90")).alias("p90"), "ptp", "rms")
 
 
 @_register("cumsum_orders", "SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderdate, o_orderkey) AS BIGINT) AS cents FROM orders")
@@ -126,6 +128,27 @@ def percentile_midpoint(spark, sf_dir):
     return order.percentile(_column(spark, sf_dir, "customer", "c_acctbal", "c_custkey"), 37, mode="midpoint").select(_round(F.col("value")).alias("value"))
 
 
+for _mode, _low, _high in (("linear", "floor(x)", "ceil(x)"), ("lower", "floor(x)", "floor(x)"), ("higher", "ceil(x)", "ceil(x)"), ("nearest", "round_even(x, 0)", "round_even(x, 0)"), ("midpoint", "floor(x)", "ceil(x)")):
+
+    def _by_group(spark, sf_dir, mode=_mode):
+        found = order.percentiles(_table(spark, sf_dir, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", {"p10": 10, "p37": 37, "p99": 99}, mode)
+        return found.select("l_returnflag", "l_linestatus", *[_round(F.col(c)).alias(c) for c in ("p10", "p37", "p99")])
+
+    QUERIES[f"percentiles_by_group_{_mode}"] = _by_group
+    _one = lambda p, low=_low, high=_high, share="x - floor(x)" if _mode == "linear" else "0.5": f"floor((max(v) FILTER (r = {low.replace('x', f'((n - 1) * {p})')}) * (1 - ({share.replace('x', f'((any_value(n) - 1) * {p})')})) + max(v) FILTER (r = {high.replace('x', f'((n - 1) * {p})')}) * ({share.replace('x', f'((any_value(n) - 1) * {p})')})) * 1e4 + 0.5) / 1e4"
+    SQL[f"percentiles_by_group_{_mode}"] = f"""
+        WITH k AS (SELECT l_returnflag, l_linestatus, l_extendedprice AS v, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) - 1 AS r, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem)
+        SELECT l_returnflag, l_linestatus, {_one(0.1)} AS p10, {_one(0.37)} AS p37, {_one(0.99)} AS p99 FROM k GROUP BY l_returnflag, l_linestatus
+    """
+
+
+@_register("nth_element", "SELECT l_shipdate_month AS month, v AS value FROM (SELECT month(l_shipdate) AS l_shipdate_month, l_extendedprice AS v, row_number() OVER (PARTITION BY month(l_shipdate) ORDER BY l_extendedprice) AS r FROM lineitem) WHERE r = 101")
+def nth_element(spark, sf_dir):
+    """The value of rank 100 of each month, ties counted one by one."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.month("l_shipdate").cast("long").alias("month"), "l_extendedprice")
+    return order.nth_element(lines, ["month"], "l_extendedprice", 100).filter("value IS NOT NULL")
+
+
 @_register("nanmedian", "SELECT v AS value FROM (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal) - 1 AS r, count(*) OVER () AS n FROM customer WHERE c_nationkey <> 3) WHERE r = n // 2")
 def nanmedian(spark, sf_dir):
     rows = _table(spark, sf_dir, "customer").withColumn("v", F.when(F.col("c_nationkey") == 3, F.lit(NAN)).otherwise(F.col("c_acctbal")))
@@ -184,6 +207,55 @@ def interp(spark, sf_dir):
     return out.df.select(F.col("col").alias("event_id"), _round(F.col("value")).alias("value"))
 
 
+_EDGES = "WITH e AS (SELECT x, row_number() OVER (ORDER BY x) AS n FROM (SELECT DISTINCT o_totalprice AS x FROM orders))"
+
+
+@_register("digitize_by_table", f"{_EDGES} SELECT l_orderkey, l_linenumber, coalesce(e.n, 0) AS bin FROM lineitem l ASOF LEFT JOIN e ON l.l_extendedprice >= e.x")
+def digitize_by_table(spark, sf_dir):
+    """Bins of line prices between all order prices."""
+    lines = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"), F.col("l_extendedprice").alias("value"))
+    edges = _table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("edge"))
+    return order.digitize_by(Grid(lines, 0, 0), edges).df.select(F.col("row").alias("l_orderkey"), F.col("col").cast("int").alias("l_linenumber"), F.col("value").alias("bin"))
+
+
+@_register("histogram_by_table", f"""{_EDGES}, b AS (SELECT n - 1 AS bin, x AS low, lead(x) OVER (ORDER BY x) AS high, count(*) OVER () AS m FROM e),
+    c AS (SELECT CASE WHEN l_extendedprice = (SELECT max(x) FROM e) THEN (SELECT max(n) FROM e) - 2 ELSE e.n - 1 END AS bin, count(*) AS value FROM lineitem l ASOF JOIN e ON l.l_extendedprice >= e.x WHERE l_extendedprice <= (SELECT max(x) FROM e) GROUP BY 1)
+    SELECT bin, low, high, coalesce(value, 0) AS value FROM b LEFT JOIN c USING (bin) WHERE high IS NOT NULL""")
+def histogram_by_table(spark, sf_dir):
+    lines = _table(spark, sf_dir, "lineitem").select(F.lit(0).alias("row"), F.lit(0).alias("col"), F.col("l_extendedprice").alias("value"))
+    return order.histogram_by(Grid(lines, 1, 1), _table(spark, sf_dir, "orders").select(F.col("o_totalprice").alias("edge")))
+
+
+@_register("interp_by_table", """
+    WITH p AS (SELECT CAST(epoch(o_orderdate) / 86400 AS DOUBLE) AS xp, avg(o_totalprice) AS fp FROM orders GROUP BY 1),
+    s AS (SELECT xp AS a, fp AS fa, lead(xp) OVER (ORDER BY xp) AS b, lead(fp) OVER (ORDER BY xp) AS fb FROM p),
+    v AS (SELECT l_orderkey, l_linenumber, least(greatest(CAST(epoch(l_shipdate) / 86400 AS DOUBLE), (SELECT min(xp) FROM p)), (SELECT max(xp) FROM p)) AS x FROM lineitem)
+    SELECT l_orderkey, l_linenumber, floor(CASE WHEN x = a THEN fa ELSE fa * (1 - (x - a) / (b - a)) + fb * ((x - a) / (b - a)) END * 1e4 + 0.5) / 1e4 AS value FROM v ASOF JOIN s ON v.x >= s.a
+""")
+def interp_by_table(spark, sf_dir):
+    """The average order price of days, interpolated at the days lines were shipped."""
+    day = lambda c: F.unix_timestamp(F.col(c).cast("timestamp")) / 86400
+    points = _table(spark, sf_dir, "orders").groupBy(day("o_orderdate").alias("xp")).agg(F.avg("o_totalprice").alias("fp"))
+    ends = points.agg(F.min("xp").alias("_first"), F.max("xp").alias("_last"))
+    lines = _table(spark, sf_dir, "lineitem").join(F.broadcast(ends))
+    lines = lines.select(F.col("l_orderkey").alias("row"), F.col("l_linenumber").cast("long").alias("col"), F.least(F.greatest(day("l_shipdate"), "_first"), "_last").alias("value"))
+    return order.interp(Grid(lines, 0, 0), points).df.select(F.col("row").alias("l_orderkey"), F.col("col").cast("int").alias("l_linenumber"), _round(F.col("value")).alias("value"))
+
+
+@_register("asof_orders", """
+    WITH o AS (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL),
+    b AS (SELECT event_id, o_orderkey AS before FROM events e ASOF LEFT JOIN o ON e.user_id = o.o_custkey AND e.ts >= o.o_orderdate),
+    n AS (SELECT o_custkey, o_orderdate, min(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL),
+    a AS (SELECT event_id, o_orderkey AS after FROM events e ASOF LEFT JOIN n ON e.user_id = n.o_custkey AND e.ts < n.o_orderdate)
+    SELECT event_id, coalesce(before, -1) AS before, coalesce(after, -1) AS after FROM b JOIN a USING (event_id)
+""")
+def asof_orders(spark, sf_dir):
+    """For each event the last order of its user before it and the first after it."""
+    events = _table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("custkey"), F.col("ts").alias("at"))
+    orders = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey"), F.col("o_orderdate").alias("at"), "o_orderkey")
+    return bracket(events, orders, "at", ["custkey"]).select("event_id", *[F.coalesce(c, F.lit(-1)).alias(n) for n, c in (("before", F.col("below.o_orderkey")), ("after", F.col("above.o_orderkey")))])
+
+
 @_register("poly1d_fit", "SELECT floor((avg(y) - covar_pop(x, y) / var_pop(x) * avg(x)) * 1e4 + 0.5) / 1e4 AS c0, floor(covar_pop(x, y) / var_pop(x) * 1e4 + 0.5) / 1e4 AS c1 FROM (SELECT l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem)")
 def poly1d_fit(spark, sf_dir):
     rows = _table(spark, sf_dir, "lineitem")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.asof import bracket
 from ..plans.ordered import ranked
+from ..plans.select import ranks
 from .grid import Axis, Grid
 
 
@@ -36,42 +40,48 @@ def partition(x: Grid, kth: int, axis: Axis = Axis.NONE) -> Grid:
     return sort(x, axis)
 
 
-def percentile(x: Grid, p: float, axis: Axis = Axis.NONE, mode: str = "linear", nan_safe: bool = False) -> DataFrame:
-    """p-th percentile with linear, lower, higher, nearest or midpoint interpolation.
+#: Rank or ranks between which each mode of a percentile lies, of n values at p per cent.
+MODES: dict[str, Callable[[Column, float], list[Column]]] = {
+    "linear": lambda n, p: [F.floor((n - 1) * (p / 100)), F.ceil((n - 1) * (p / 100))],
+    "lower": lambda n, p: [F.floor((n - 1) * (p / 100))],
+    "higher": lambda n, p: [F.ceil((n - 1) * (p / 100))],
+    "nearest": lambda n, p: [F.rint((n - 1) * (p / 100))],
+    "midpoint": lambda n, p: [F.floor((n - 1) * (p / 100)), F.ceil((n - 1) * (p / 100))],
+}
 
-    linear uses the built-in aggregate; the others pick values by rank in an ordered pass.
-    """
-    if not 0 <= p <= 100:
+
+def percentiles(df: DataFrame, keys: list[str], value: str, wanted: dict[str, float], mode: str = "linear") -> DataFrame:
+    """``keys`` and, for each name, a percentile of the group's values; groups of any size, all at once."""
+    if mode not in MODES:
+        raise ValueError(f"no interpolation named {mode}")
+    if any(not 0 <= p <= 100 for p in wanted.values()):
         raise ValueError("a percentile lies in 0 to 100")
+    sides = {f"_{name}_{i}": (lambda n, p=p, i=i: MODES[mode](n, p)[i]) for name, p in wanted.items() for i in range(len(MODES[mode](F.lit(1), p)))}
+    found = ranks(df, keys, value, sides, count="_n")
+
+    def between(name: str, p: float) -> Column:
+        low, high = F.col(f"_{name}_0"), F.col(f"_{name}_{len(MODES[mode](F.lit(1), p)) - 1}")
+        part = (F.col("_n") - 1) * (p / 100)
+        share = part - F.floor(part) if mode == "linear" else F.lit(0.5)
+        return F.when(low == high, low).otherwise(low + (high - low) * share)
+
+    return found.select(*keys, *[between(name, p).alias(name) for name, p in wanted.items()])
+
+
+def percentile(x: Grid, p: float, axis: Axis = Axis.NONE, mode: str = "linear", nan_safe: bool = False) -> DataFrame:
+    """p-th percentile with linear, lower, higher, nearest or midpoint interpolation."""
     df = x.df.filter(~F.isnan("value")) if nan_safe else x.df
-    if mode == "linear":
-        return df.groupBy(*axis.keys).agg(F.percentile("value", p / 100).alias("value"))
-    keys = axis.keys
-    if keys:
-        own = Window.partitionBy(*keys)
-        rows = df.withColumn("_rank", F.row_number().over(own.orderBy("value")) - 1).withColumn("_n", F.count("*").over(own))
-    else:
-        rows = ranked(df, "value", "row", "col", name="_rank").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
-    exact = (F.col("_n") - 1) * (p / 100)
-    low, high = F.floor(exact), F.ceil(exact)
-    picks = {"lower": [low], "higher": [high], "nearest": [F.rint(exact)], "midpoint": [low, high]}
-    if mode not in picks:
-        raise ValueError(f"no interpolation named {mode}")
-    wanted = [F.col("_rank") == w for w in picks[mode]]
-    hit = wanted[0] if len(wanted) == 1 else wanted[0] | wanted[1]
-    return rows.filter(hit).groupBy(*keys).agg(F.avg("value").alias("value"))
+    return percentiles(df, axis.keys, "value", {"value": p}, mode)
 
 
 def nanmedian(x: Grid, axis: Axis = Axis.NONE) -> DataFrame:
     """Of n numbers in order the one of index n // 2: the upper middle, without averaging."""
-    df = x.df.filter(~F.isnan("value"))
-    keys = axis.keys
-    if keys:
-        own = Window.partitionBy(*keys)
-        rows = df.withColumn("_rank", F.row_number().over(own.orderBy("value")) - 1).withColumn("_n", F.count("*").over(own))
-    else:
-        rows = ranked(df, "value", "row", "col", name="_rank").crossJoin(F.broadcast(df.agg(F.count("*").alias("_n"))))
-    return rows.filter(F.col("_rank") == F.floor(F.col("_n") / 2)).groupBy(*keys).agg(F.max("value").alias("value"))
+    return ranks(x.df.filter(~F.isnan("value")), axis.keys, "value", {"value": lambda n: F.floor(n / 2)})
+
+
+def nth_element(df: DataFrame, keys: list[str], value: str, n: int) -> DataFrame:
+    """``keys, value``: the value that is n-th, from 0, of each group in rising order, null where there are fewer."""
+    return ranks(df, keys, value, {"value": lambda _: F.lit(n)})
 
 
 def _line(values: DataFrame) -> DataFrame:
@@ -134,25 +144,38 @@ def histogram_bins(x: Grid, n: int) -> DataFrame:
     return histogram(x, [low + (high - low) * i / n for i in range(n)] + [high])
 
 
-def interp(x: Grid, points: DataFrame, buckets: int = 256) -> Grid:
+def digitize_by(x: Grid, edges: DataFrame) -> Grid:
+    """Number of distinct edges at or below each value; edges are a table's column ``edge`` of any length.
+
+    NaN is above all edges, null has none at or below it.
+    """
+    met = bracket(x.df.withColumnRenamed("value", "edge"), edges.select(F.col("edge").cast("double").alias("edge")).distinct(), "edge")
+    return Grid(met.select("row", "col", F.col("edges").alias("value")), x.rows, x.cols)
+
+
+def histogram_by(x: Grid, edges: DataFrame) -> DataFrame:
+    """``bin, low, high, value``: counts between the distinct edges of a table's column ``edge``, the last bin closed."""
+    own = edges.select(F.col("edge").cast("double").alias("edge")).filter(F.col("edge").isNotNull() & ~F.isnan("edge")).distinct()
+    bins = ranked(own, "edge", name="bin")
+    n = bins.count() - 1
+    after = bins.select((F.col("bin") - 1).alias("bin"), F.col("edge").alias("high"))
+    bins = bins.withColumnRenamed("edge", "low").join(after, "bin")
+    met = bracket(x.df.select(F.col("value").cast("double").alias("edge")), own, "edge").filter(F.col("below").isNotNull())
+    # at the last edge the count is that of all edges, beyond it there is no edge above either
+    last = (F.col("edges") > n) & (F.col("edge") == F.col("below.edge"))
+    counts = met.filter(F.col("above").isNotNull() | last).groupBy((F.least("edges", F.lit(n)) - 1).alias("bin")).agg(F.count(F.lit(1)).alias("value"))
+    return bins.join(counts, "bin", "left").select("bin", "low", "high", F.coalesce("value", F.lit(0)).alias("value"))
+
+
+def interp(x: Grid, points: DataFrame) -> Grid:
     """Linear interpolation at each value between known ``xp, fp`` points; outside them an error.
 
-    Intervals and values meet by bucket of about as many points, however these lie, so only near ones
-    are compared: an equi-join that shuffles both sides and sends neither to every task.
+    One ordered pass over values and points together, so neither side's size or spread matters.
     """
-    low, high = points.agg(F.min("xp"), F.max("xp")).first()
-    # as many bounds as buckets, whatever the number of points
-    edges = sorted(set(points.approxQuantile("xp", [i / buckets for i in range(1, buckets)], 1 / (4 * buckets))))
-    bounds = F.array(*[F.lit(float(e)) for e in edges])
-    pts = ranked(points, "xp", name="_i")
-    after = pts.select((F.col("_i") - 1).alias("_i"), F.col("xp").alias("_x1"), F.col("fp").alias("_f1"))
-    spans = pts.join(after, "_i").select(F.col("xp").alias("_x0"), F.col("fp").alias("_f0"), "_x1", "_f1")
-    bucket = lambda c: F.size(F.filter(bounds, lambda e: e <= c))
-    spans = spans.withColumn("_b", F.explode(F.sequence(bucket(F.col("_x0")), bucket(F.col("_x1")))))
-    v = F.col("value")
-    inside = F.when((v >= low) & (v <= high), v).otherwise(F.raise_error(F.lit("a value lies outside the points")).cast("double"))
-    rows = x.df.withColumn("value", inside).withColumn("_b", bucket(F.col("value")))
-    hit = (v >= F.col("_x0")) & ((v < F.col("_x1")) | ((v == F.col("_x1")) & (v == high)))
-    share = (v - F.col("_x0")) / (F.col("_x1") - F.col("_x0"))
-    out = rows.join(spans, "_b").filter(hit).select("row", "col", (F.col("_f0") * (1 - share) + F.col("_f1") * share).alias("value"))
-    return Grid(out, x.rows, x.cols)
+    known = points.select(F.col("xp").cast("double").alias("xp"), F.col("fp").cast("double").alias("fp"))
+    met = bracket(x.df.withColumn("xp", F.col("value").cast("double")), known, "xp")
+    x0, f0, x1, f1 = F.col("below.xp"), F.col("below.fp"), F.col("above.xp"), F.col("above.fp")
+    share = (F.col("xp") - x0) / (x1 - x0)
+    value = F.when(F.col("xp") == x0, f0).when(x0.isNotNull() & x1.isNotNull(), f0 * (1 - share) + f1 * share)
+    outside = F.when(F.col("value").isNotNull(), F.raise_error(F.lit("a value lies outside the points")).cast("double"))
+    return Grid(met.select("row", "col", F.coalesce(value, outside).alias("value")), x.rows, x.cols)
