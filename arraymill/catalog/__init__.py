@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import arrays, domains, elements, ndarrays, special, tables
+from . import arrays, domains, elements, matrices, ndarrays, special, tables
 
-QUERIES = {**elements.QUERIES, **tables.QUERIES, **arrays.QUERIES, **domains.QUERIES, **special.QUERIES, **ndarrays.QUERIES}
-ORACLE_SQL = {**elements.SQL, **tables.SQL, **arrays.SQL, **domains.SQL, **special.SQL, **ndarrays.SQL}
+QUERIES = {**elements.QUERIES, **tables.QUERIES, **arrays.QUERIES, **domains.QUERIES, **special.QUERIES, **ndarrays.QUERIES, **matrices.QUERIES}
+ORACLE_SQL = {**elements.SQL, **tables.SQL, **arrays.SQL, **domains.SQL, **special.SQL, **ndarrays.SQL, **matrices.SQL}

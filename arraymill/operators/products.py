@@ -1,20 +1,22 @@
 """Products of vectors and matrices, covariance and small dense linear algebra.
 
-Products are join-aggregates over non-zero cells: the inner dimension is the join key and partial
-sums are combined before the shuffle. Decompositions work on one small matrix per key, many keys at
+Products are join-aggregates over the cells that are there: the inner dimension is the join key and
+partial sums are combined before the shuffle; an absent cell is a zero that meets nothing. Matrices with
+all their cells multiply in tiles, in ``blocks``. Decompositions work on one small matrix per key, many keys at
 once, with ``per_matrix``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce as fold
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.cut import cut
+from . import blocks, tall
 from .grid import Axis, Grid
 from .layout import transpose
 
@@ -22,8 +24,8 @@ from .layout import transpose
 def matmul(a: Grid, b: Grid) -> Grid:
     if a.cols != b.rows:
         raise ValueError("inner dimensions differ")
-    left = a.df.filter("value <> 0").select("row", F.col("col").alias("_k"), F.col("value").alias("_a"))
-    right = b.df.filter("value <> 0").select(F.col("row").alias("_k"), "col", F.col("value").alias("_b"))
+    left = a.df.select("row", F.col("col").alias("_k"), F.col("value").alias("_a"))
+    right = b.df.select(F.col("row").alias("_k"), "col", F.col("value").alias("_b"))
     sums = left.join(right, "_k").groupBy("row", "col").agg(F.sum(F.col("_a") * F.col("_b")).alias("value"))
     return Grid(sums, a.rows, b.cols)
 
@@ -69,36 +71,29 @@ def array_dot(a: Column, b: Column) -> Column:
 
 
 def multi_dot(grids: list[Grid]) -> Grid:
-    return fold(matmul, grids)
+    """The product of several matrices, in tiles and in the sequence with the fewest multiplications."""
+    return blocks.chain([blocks.BlockMatrix.from_grid(g) for g in grids]).to_grid()
 
 
 def matrix_power(x: Grid, n: int) -> Grid:
-    """Repeated products by squaring; a negative power inverts first."""
-    from .creation import identity
-
+    """Repeated products by squaring, in tiles; a negative power inverts first."""
     if not x.issquare():
         raise ValueError("a power needs a square matrix")
-    if n == 0:
-        return identity(x.df.sparkSession, x.rows)
-    base, n, out = inverse(x) if n < 0 else x, abs(n), None
-    while n:
-        if n & 1:
-            out = base if out is None else matmul(out, base)
-        n >>= 1
-        base = matmul(base, base) if n else base
-    return out
+    return blocks.power(blocks.BlockMatrix.from_grid(inverse(x) if n < 0 else x), abs(n)).to_grid()
 
 
 def cov(x: Grid, bias: bool = False) -> Grid:
-    """Covariance of the rows as variables, from sums over their columns."""
-    pairs = x.df.select("col", F.col("row").alias("_i"), F.col("value").alias("_a")).join(x.df.select("col", F.col("row").alias("_j"), F.col("value").alias("_b")), "col")
-    f = F.covar_pop if bias else F.covar_samp
-    return Grid(pairs.groupBy(F.col("_i").alias("row"), F.col("_j").alias("col")).agg(f("_a", "_b").alias("value")), x.rows, x.rows)
+    """Covariance of the rows as variables, in tiles of the columns centred before they are multiplied."""
+    return blocks.BlockMatrix.from_grid(transpose(x)).covariance(bias).to_grid()
 
 
 def corrcoef(x: Grid) -> Grid:
-    pairs = x.df.select("col", F.col("row").alias("_i"), F.col("value").alias("_a")).join(x.df.select("col", F.col("row").alias("_j"), F.col("value").alias("_b")), "col")
-    return Grid(pairs.groupBy(F.col("_i").alias("row"), F.col("_j").alias("col")).agg(F.corr("_a", "_b").alias("value")), x.rows, x.rows)
+    """Covariance over the product of deviations; there are as many of these as variables."""
+    own = cut(cov(x, bias=True).df)
+    spread = own.filter("row = col").select(F.col("row").alias("_i"), F.sqrt("value").alias("_s"))
+    down = own.join(spread, F.col("row") == F.col("_i")).withColumnRenamed("_s", "_down").drop("_i")
+    both = down.join(spread, F.col("col") == F.col("_i"))
+    return Grid(both.select("row", "col", (F.col("value") / F.col("_down") / F.col("_s")).alias("value")), x.rows, x.rows)
 
 
 def cov_inv(x: Grid, bias: bool = False) -> Grid:
@@ -191,22 +186,17 @@ def svd(x: Grid) -> tuple[Grid, Grid, Grid]:
     return _small(x, part(0), x.rows, k), _small(x, part(1), 1, k), _small(x, part(2), k, x.cols)
 
 
-def normal_equations(a: Grid, b: Grid) -> tuple[np.ndarray, np.ndarray]:
-    """A'A and A'b, summed where the rows are; their size is that of the columns."""
-    at = transpose(a)
-    left, right = matmul(at, a).df.collect(), matmul(at, b).df.collect()
-    m, v = np.zeros((a.cols, a.cols)), np.zeros((a.cols, b.cols))
-    for r in left:
-        m[r["row"], r["col"]] = r["value"]
-    for r in right:
-        v[r["row"], r["col"]] = r["value"]
-    return m, v
-
-
-def lstsq(a: Grid, b: Grid, tolerance: float = 1e-12) -> np.ndarray:
-    """Least-squares solution of a tall system by its normal equations."""
-    m, v = normal_equations(a, b)
-    return np.linalg.lstsq(m, v, rcond=tolerance)[0]
+def lstsq(a: Grid, b: Grid, tolerance: float | None = None) -> np.ndarray:
+    """Least-squares solution of a tall system, by orthogonal factors of its rows; absent cells are zeros."""
+    if a.rows != b.rows:
+        raise ValueError("the sides differ in rows")
+    if a.cols + b.cols > tall.MOST_COLUMNS:
+        raise ValueError("the system has too many columns")
+    both = a.df.select("row", "col", "value").unionByName(b.df.select("row", (F.col("col") + a.cols).alias("col"), "value"))
+    cell = lambda c: F.coalesce(F.sum(F.when(F.col("col") == c, F.col("value"))), F.lit(0.0)).alias(f"c{c}")
+    rows = both.groupBy("row").agg(*[cell(c) for c in range(a.cols + b.cols)])
+    columns = [F.col(f"c{c}") for c in range(a.cols + b.cols)]
+    return tall.lstsq(rows, columns[: a.cols], columns[a.cols :], tolerance)[0]
 
 
 def solve(a: Grid, b: Grid) -> Grid:
