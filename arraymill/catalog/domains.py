@@ -178,9 +178,19 @@ def centroids(spark, sf_dir):
     return out.select("cluster", _r(F.col("row")).alias("row"), _r(F.col("col")).alias("col"), "intensity")
 
 
-@_register("generateCentroids", None)
+_TENTH = "h AS (SELECT floor(value) AS v, count(*) AS c FROM m GROUP BY 1), t AS (SELECT min(v) AS t FROM (SELECT v, sum(c) OVER (ORDER BY v DESC) / (SELECT count(*) FROM m) AS s FROM h) WHERE s <= 0.1), "
+
+
+@_register("generateCentroids", _CLUSTERS.replace("px AS", f"{_TENTH} px AS").replace("value > 40", "value > (SELECT t FROM t)") + """
+    , grown AS (SELECT DISTINCT cluster, m.row, m.col, m.value AS v FROM px JOIN label USING (p) JOIN num USING (l) JOIN m ON abs(m.row - px.row) <= 1 AND abs(m.col - px.col) <= 1),
+    c AS (SELECT cluster, sum(v) AS intensity, max(v) / sum(v) AS eod, sum(v * row) / sum(v) AS r, sum(v * col) / sum(v) AS c, sum(v * row * row) / sum(v) AS rr, sum(v * col * col) / sum(v) AS cc, sum(v * row * col) / sum(v) AS rc FROM grown GROUP BY cluster),
+    ell AS (SELECT *, (cc - c * c + rr - r * r) / 2 AS half, sqrt(4 * (rc - r * c) * (rc - r * c) + (cc - c * c - rr + r * r) * (cc - c * c - rr + r * r)) / 2 AS gap FROM c)
+    SELECT cluster, intensity, floor(r * 1e6 + 0.5) / 1e6 AS row, floor(c * 1e6 + 0.5) / 1e6 AS col, floor(eod * 1e6 + 0.5) / 1e6 AS eod, floor(2 * sqrt(greatest(half + gap, 0)) * 1e4 + 0.5) / 1e4 AS a, floor(2 * sqrt(greatest(half - gap, 0)) * 1e4 + 0.5) / 1e4 AS b FROM ell
+""")
 def generate_centroids(spark, sf_dir):
-    return images.generate_centroids(_image(spark, sf_dir), 0.1, "post", 1)
+    out = images.generate_centroids(_image(spark, sf_dir), 0.1, "post", 1)
+    axis = lambda c: (F.floor(F.col(c) * 1e4 + 0.5) / 1e4).alias(c)
+    return out.select("cluster", "intensity", *[_r(F.col(c)).alias(c) for c in ("row", "col", "eod")], axis("a"), axis("b"))
 
 
 # ---- scalars that several methods give alike

@@ -1,7 +1,9 @@
 """Boundaries and neighbourhood filters of one- and two-dimensional grids.
 
-Every value is dealt to the places whose neighbourhood it lies in, the boundary rule having turned
-places outside the grid into values inside; one aggregation by place then gives the filter. No
+Extremes and means deal every value to the places whose neighbourhood it lies in, the boundary rule having
+turned places outside the grid into values inside, and aggregate by place. Order statistics and
+convolutions work on tiles: a tile gets its own cells and a halo of half a kernel's width from the
+tiles around it, so what is shuffled grows by the halo only and a window slides inside the task. No
 operator needs the whole signal in a task.
 """
 
@@ -12,6 +14,7 @@ from collections.abc import Callable
 from enum import Enum
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +117,78 @@ def separable(x: Grid, run: Callable[[Grid], Grid], two_dimensional: bool | None
     return transpose(run(transpose(out))) if deep else out
 
 
+#: Places along each axis of a tile of a plane, and along the only axis of a tile of lines.
+TILE, LINE_TILE = 256, 16_384
+#: numpy's names of the boundary rules.
+PADS = {Boundary.REFLECT: "symmetric", Boundary.CONSTANT: "constant", Boundary.NEAREST: "edge", Boundary.MIRROR: "reflect", Boundary.WRAP: "wrap"}
+
+
+def _places(at: str, n: int, tile: int, half: int, wrap: bool) -> Column:
+    """The tiles that a place belongs to or lies in the halo of, with its position as the tile sees it."""
+    last = -(-n // tile) - 1
+    c = F.col(at)
+
+    def seen(p: Column) -> Column:
+        tiles = [F.call_function("div", x, F.lit(tile).cast("long")) for x in (F.greatest(p - half, F.lit(0)), F.least(p + half, F.lit(n - 1)))]
+        return F.transform(F.sequence(*tiles), lambda t: F.struct(t.alias("tile"), p.alias("p")))
+
+    own = seen(c)
+    if not wrap or not last:
+        return own
+    # beyond an end the other end follows
+    none = F.filter(own, lambda _: F.lit(False))
+    start = F.when(c < half, F.transform(F.array(F.lit(last).cast("long")), lambda t: F.struct(t.alias("tile"), (c + n).alias("p")))).otherwise(none)
+    end = F.when(c >= n - half, F.transform(F.array(F.lit(0).cast("long")), lambda t: F.struct(t.alias("tile"), (c - n).alias("p")))).otherwise(none)
+    return F.concat(own, start, end)
+
+
+def sliding(x: Grid, size: int, f: Callable[[np.ndarray], np.ndarray], rule: Boundary = Boundary.REFLECT, constant: float = 0.0, two_dimensional: bool | None = None, tile: int | None = None) -> Grid:
+    """f over the windows of every place, a window's values as a row; absent cells of the grid are zeros."""
+    _odd(size)
+    deep = not x.isflat() if two_dimensional is None else two_dimensional
+    half, rows, cols = size // 2, x.rows, x.cols
+    down = half if deep else 0
+    # a halo reaches no further than the next tile
+    height = max(tile or TILE, down + 1)
+    width = max(tile or (TILE if deep or rows > 1 else LINE_TILE), half + 1)
+    wrap, mode = rule is Boundary.WRAP, PADS[rule]
+    around = {"constant_values": constant} if rule is Boundary.CONSTANT else {}
+    placed = x.df.withColumn("_r", F.explode(_places("row", rows, height, down, wrap))).withColumn("_c", F.explode(_places("col", cols, width, half, wrap)))
+    dealt = placed.select(F.col("_r.tile").alias("tr"), F.col("_c.tile").alias("tc"), F.col("_r.p").alias("r"), F.col("_c.p").alias("c"), F.col("value").cast("double").alias("value"))
+
+    def span(at: int, length: int, n: int, reach: int) -> tuple[int, int, int, int]:
+        """A tile's first and last place, and those of its values."""
+        first, last = at * length, min((at + 1) * length, n)
+        whole = wrap and n > length
+        return first, last, first - reach if whole else max(first - reach, 0), last + reach if whole else min(last + reach, n)
+
+    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        (r0, r1, top, bottom), (c0, c1, left, right) = span(int(key[0]), height, rows, down), span(int(key[1]), width, cols, half)
+        cells = np.zeros((bottom - top, right - left))
+        cells[group["r"].to_numpy() - top, group["c"].to_numpy() - left] = group["value"].to_numpy(float, na_value=np.nan)
+        cells = np.pad(cells, ((top - r0 + down, r1 + down - bottom), (left - c0 + half, c1 + half - right)), mode, **around)
+        out = np.empty((r1 - r0, c1 - c0))
+        for i in range(len(out)):
+            near = np.lib.stride_tricks.sliding_window_view(cells[i : i + 2 * down + 1], size, axis=1)
+            out[i] = f(near.transpose(1, 0, 2).reshape(c1 - c0, -1))
+        r, c = np.indices(out.shape)
+        return pd.DataFrame({"row": r.ravel() + r0, "col": c.ravel() + c0, "value": out.ravel()})
+
+    return Grid(dealt.groupBy("tr", "tc").applyInPandas(run, "row long, col long, value double"), rows, cols)
+
+
+def ranked_value(share: float | None = None, rank: int | None = None) -> Callable[[np.ndarray], np.ndarray]:
+    """The value of a rank, or of a share of the ranks between two of them, of each row; NaN is the largest."""
+
+    def run(windows: np.ndarray) -> np.ndarray:
+        exact = (windows.shape[1] - 1) * share if rank is None else rank
+        low, high = math.floor(exact), math.ceil(exact)
+        ordered = np.partition(windows, sorted({low, high}), axis=1)
+        return ordered[:, low] if low == high else ordered[:, low] * (high - exact) + ordered[:, high] * (exact - low)
+
+    return run
+
+
 def uniform_filter(x: Grid, size: int, two_dimensional: bool | None = None, **kw) -> Grid:
     return separable(x, lambda g: apply(g, size, F.avg, two_dimensional=False, **kw), two_dimensional)
 
@@ -127,16 +202,21 @@ def minimum_filter(x: Grid, size: int, two_dimensional: bool | None = None, **kw
 
 
 def median_filter(x: Grid, size: int, **kw) -> Grid:
-    return apply(x, size, lambda v: F.percentile(v, 0.5), **kw)
+    return sliding(x, size, ranked_value(0.5), **kw)
 
 
 def percentile_filter(x: Grid, size: int, p: float, **kw) -> Grid:
-    return apply(x, size, lambda v: F.percentile(v, p / 100), **kw)
+    if not 0 <= p <= 100:
+        raise ValueError("a percentile lies in 0 to 100")
+    return sliding(x, size, ranked_value(p / 100), **kw)
 
 
 def rank_filter(x: Grid, size: int, rank: int, **kw) -> Grid:
-    """The value of a rank among the neighbourhood, which has at most size * size values."""
-    return apply(x, size, lambda v: F.element_at(F.sort_array(F.collect_list(v)), rank + 1), **kw)
+    """The value of a rank, from 0, among the neighbourhood."""
+    deep = kw.get("two_dimensional")
+    if not 0 <= rank < size ** (1 + (not x.isflat() if deep is None else deep)):
+        raise ValueError("a rank is below the number of values")
+    return sliding(x, size, ranked_value(rank=rank), **kw)
 
 
 def complementary_median_filter(x: Grid, size: int, **kw) -> Grid:
@@ -150,12 +230,8 @@ def convolve(x: Grid, weights: list, rule: Boundary = Boundary.REFLECT, constant
     size = len(table[0])
     if deep and len(table) != size:
         raise ValueError("a kernel must be square")
-    near = neighbourhood(x, size, rule, constant, deep)
-    flat = F.array(*[F.lit(float(w)) for own in table for w in own])
-    half = size // 2
-    at = ((half if deep else 0) - F.col("dr")) * size + (half - F.col("dc"))
-    weighed = near.withColumn("value", F.col("value") * F.element_at(flat, (at + 1).cast("int")))
-    return Grid(weighed.groupBy("row", "col").agg(F.sum("value").alias("value")), x.rows, x.cols)
+    turned = np.array([w for own in table for w in own], float)[::-1]
+    return sliding(x, size, lambda windows: windows @ turned, rule, constant, two_dimensional=deep)
 
 
 def gaussian_kernel(sigma: float) -> np.ndarray:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..plans.cut import cut
 from ..plans.ordered import ranked
 from .grid import Grid
@@ -35,31 +38,57 @@ def window_exceedances(mask: Grid, width: int, compat: bool = False) -> Grid:
     return Grid(mask.df.select("row", "col").join(near, ["row", "col"], "left").select("row", "col", F.coalesce("_hit", F.lit(False)).alias("value")), mask.rows, mask.cols)
 
 
-def cluster_pixels(x: Grid, mask: Grid) -> DataFrame:
+#: Pixels along each side of a tile that one task labels.
+TILE = 512
+
+
+def _tile_labels(row: np.ndarray, col: np.ndarray) -> np.ndarray:
+    """For each pixel, in order of rows and columns, the number of the first one of its group."""
+    n, width = len(row), int(col.max()) - int(col.min()) + 3
+    place = (row - row.min()) * width + (col - col.min() + 1)
+    pairs = []
+    for step in (1, width - 1, width, width + 1):
+        at = np.searchsorted(place, place + step)
+        hit = np.flatnonzero((at < n) & (place[np.minimum(at, n - 1)] == place + step))
+        pairs.append(np.column_stack([hit, at[hit]]))
+    links = np.concatenate(pairs)
+    root = np.arange(n)
+    while len(links):
+        low, high = root[links].min(axis=1), root[links].max(axis=1)
+        np.minimum.at(root, high, low)
+        while (root != root[root]).any():
+            root = root[root]
+        links = links[root[links[:, 0]] != root[links[:, 1]]]
+    return root
+
+
+def cluster_pixels(x: Grid, mask: Grid, tile: int = TILE) -> DataFrame:
     """``cluster, row, col, intensity``: eight-connected groups of pixels in the mask.
 
-    Labels spread to neighbours until none changes. A label also takes that of the pixel it names, so
-    rounds follow the logarithm of a group's length where it winds little. Each round is checkpointed.
+    A task labels the groups inside a tile; links between pixels on both sides of a tile's border then join
+    labels, in rounds that touch these links only. Clusters are numbered in order of their first pixels.
     """
-    pixels = mask.df.filter("value").select((F.col("row") * x.cols + F.col("col")).alias("p"), "row", "col")
-    offsets = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in offsets])
-    reach = pixels.withColumn("s", F.explode(steps)).select("p", (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
-    edges = cut(reach.join(pixels.withColumnRenamed("p", "q"), ["row", "col"]).select("p", "q"))
-    labels = cut(pixels.select("p", F.col("p").alias("label")))
-    while True:
-        near = edges.join(labels.withColumnRenamed("p", "q"), "q").groupBy("p").agg(F.min("label").alias("_near"))
-        new = labels.join(near, "p", "left").select("p", "label", F.least("label", F.coalesce("_near", "label")).alias("_new"))
-        named = labels.select(F.col("p").alias("_new"), F.col("label").alias("_jump"))
-        new = cut(new.join(named, "_new").select("p", F.least("_new", "_jump").alias("_label"), "label"))
-        changed = new.filter("_label <> label").limit(1).count()
-        labels = new.select("p", F.col("_label").alias("label"))
-        if not changed:
-            break
-    ids = labels.select("label").distinct()
-    numbered = ranked(ids, "label", name="cluster")
-    at = x.df.select((F.col("row") * x.cols + F.col("col")).alias("p"), "row", "col", F.col("value").alias("intensity"))
-    return labels.join(numbered, "label").join(at, "p").select("cluster", "row", "col", "intensity")
+    pixels = mask.df.filter("value").select("row", "col")
+    cols = x.cols
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.sort_values(["row", "col"], ignore_index=True)
+        row, col = own["row"].to_numpy(), own["col"].to_numpy()
+        first = _tile_labels(row, col)
+        return pd.DataFrame({"p": row * cols + col, "row": row, "col": col, "label": (row * cols + col)[first]})
+
+    at = lambda c: F.call_function("div", F.col(c), F.lit(tile).cast("long"))
+    labels = cut(pixels.groupBy(at("row").alias("tr"), at("col").alias("tc")).applyInPandas(run, "p long, row long, col long, label long"))
+    outer = (F.col("row") % tile).isin(0, tile - 1) | (F.col("col") % tile).isin(0, tile - 1)
+    border = labels.filter(outer)
+    # half of the eight directions: the other half finds the same links
+    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))])
+    reach = border.withColumn("s", F.explode(steps)).select(F.col("label").alias("u"), (F.col("row") + F.col("s.a")).alias("row"), (F.col("col") + F.col("s.b")).alias("col"))
+    links = reach.join(border.select("row", "col", F.col("label").alias("v")), ["row", "col"]).filter("u <> v").select("u", "v").distinct()
+    joined = labels.join(components(links), F.col("label") == F.col("node"), "left").select("row", "col", F.coalesce("root", "label").alias("label"))
+    numbered = ranked(joined.select("label").distinct(), "label", name="cluster")
+    values = x.df.select("row", "col", F.col("value").alias("intensity"))
+    return joined.join(numbered, "label").join(values, ["row", "col"]).select("cluster", "row", "col", "intensity")
 
 
 def cluster_stats(clusters: DataFrame) -> DataFrame:
