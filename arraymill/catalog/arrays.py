@@ -15,6 +15,7 @@ from ..operators import creation, cumulative, filters, indexing, layout, order,
 from ..operators.cube import DataCube
 from ..operators.filters import Boundary
 from ..operators.grid import Axis, Grid, Slice
+from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -60,51 +61,59 @@ def _add(name: str, f: Callable[[Grid, Grid], Grid | DataFrame], sql: str, round
     SQL[name] = f"SELECT * REPLACE (floor(value * 1e{round_to} + 0.5) / 1e{round_to} AS value) FROM ({text})" if round_to else text
 
 
-def _new(name: str, f: Callable[[SparkSession], Grid | DataFrame], sql: str) -> None:
-    """Arrays made from nothing, to six decimals."""
+_c = creation
+#: The grid's values in one line, with their number n; a signal that windows and ranges are laid over.
+_LINE = "SELECT CAST(0 AS BIGINT) AS row, row * 20 + col AS col, {} AS value FROM (SELECT *, CAST(row * 20 + col AS DOUBLE) AS i, (SELECT R * 20 FROM d) AS n, (SELECT min(value) FROM m) AS low, (SELECT max(value) FROM m) AS high FROM m)"
+_PLANE = "SELECT row, col, {} AS value FROM m"
+#: Sums of the columns and of the rows.
+_TOTALS = "x AS (SELECT col AS i, sum(value) AS v FROM m GROUP BY col), y AS (SELECT row AS j, sum(value) AS v FROM m GROUP BY row) "
 
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _df(f(spark)).withColumn("value", F.floor(F.col("value") * 1e6 + 0.5) / 1e6)
 
-    QUERIES[name] = run
-    SQL[name] = f"SELECT row, col, floor(CAST(value AS DOUBLE) * 1e6 + 0.5) / 1e6 AS value FROM ({sql})"
+def _over(made: Callable[[SparkSession, int], Grid], f: Callable[[Column, Column], Column] = lambda v, w: v + w) -> Callable[[Grid, Grid], Grid]:
+    """An array of the line's length, and f of the line and of it."""
+    return lambda m, b: layout.flatten(m).zip(made(m.df.sparkSession, m.size), f)
 
 
-def _cells(rows: int, cols: int, value: str) -> str:
-    return f"SELECT row, col, {value} AS value FROM range(0, {rows}) a(row), range(0, {cols}) c(col)"
+def _row_sums(x: Grid) -> Grid:
+    return Grid(reduce.reduce(x, reducers.sum_, Axis.COL).select(F.lit(0).cast("long").alias("row"), F.col("row").alias("col"), "value"), 1, x.rows)
+
+
+def _between(m: Grid, num: int, endpoint: bool = True) -> Grid:
+    """Numbers from the grid's least value to its greatest."""
+    low, high = m.df.agg(F.min("value"), F.max("value")).first()
+    return _c.linspace(m.df.sparkSession, low, high, num, endpoint)
 
 
-_c = creation
 for _name, _f, _sql in (
-    ("arange", lambda s: _c.arange(s, 0, 5, 0.5), _cells(1, 10, "col * 0.5")),
-    ("arange_int", lambda s: _c.arange(s, 0, 5, 0.5, integer=True), _cells(1, 10, "0")),
-    ("linspace", lambda s: _c.linspace(s, 2, 3, 5), _cells(1, 5, "2 + col * 0.25")),
-    ("linspace_noend", lambda s: _c.linspace(s, 2, 3, 5, False), _cells(1, 5, "2 + col * 0.2")),
-    ("logspace", lambda s: _c.logspace(s, 0, 2, 5), _cells(1, 5, "pow(10, col * 0.5)")),
-    ("geomspace", lambda s: _c.geomspace(s, 1, 81, 5), _cells(1, 5, "pow(3, col)")),
-    ("full", lambda s: _c.full(s, 3, 3, 3.14), _cells(3, 3, "3.14")),
-    ("ones", lambda s: _c.ones(s, 7, 7), _cells(7, 7, "1")),
-    ("zeros", lambda s: _c.zeros(s, 3, 3), _cells(3, 3, "0")),
-    ("empty", lambda s: _c.empty(s, 2, 3), _cells(2, 3, "NULL")),
-    ("eye", lambda s: _c.eye(s, 4, 5, 1), _cells(4, 5, "col - row = 1")),
-    ("eye_negative", lambda s: _c.eye(s, 3, 3, -1), _cells(3, 3, "col - row = -1")),
-    ("identity", lambda s: _c.identity(s, 5), _cells(5, 5, "row = col")),
-    ("meshgrid", lambda s: _c.meshgrid(_c.arange(s, 8), _c.arange(s, 4))[0], _cells(4, 8, "col")),
-    ("meshgrid_j", lambda s: _c.meshgrid(_c.arange(s, 8), _c.arange(s, 4))[1], _cells(4, 8, "row")),
-    ("diagflat", lambda s: _c.diagflat(_c.asarray(s, [1.41, 2.16, 3.14]), 1), _cells(4, 4, "CASE WHEN col - row = 1 THEN [1.41, 2.16, 3.14][col] ELSE 0 END")),
-    ("asarray", lambda s: _c.asarray(s, [[1, 2], [3, 4]]), _cells(2, 2, "row * 2 + col + 1")),
-    ("fromiter", lambda s: _c.fromiter(s, (k * k for k in range(6))), _cells(1, 6, "col * col")),
-    ("fromfunction", lambda s: _c.from_function(s, lambda r, c: r * 10 + c, 3, 4), _cells(3, 4, "row * 10 + col")),
-    ("tri", lambda s: _c.tri(s, 4, 1), _cells(4, 4, "col <= row + 1")),
-    ("tri_upper", lambda s: _c.tri(s, 4, -1, upper=True), _cells(4, 4, "col >= row - 1")),
-    ("vander", lambda s: _c.vander(_c.arange(s, 1, 5), 3), _cells(4, 3, "pow(row + 1, col)")),
-    ("bartlett", lambda s: _c.bartlett(s, 9), _cells(1, 9, "1 - abs(col / 4.0 - 1)")),
-    ("blackman", lambda s: _c.blackman(s, 9), _cells(1, 9, "0.42 - 0.5 * cos(2 * pi() * col / 8) + 0.08 * cos(4 * pi() * col / 8)")),
-    ("hamming", lambda s: _c.hamming(s, 9), _cells(1, 9, "0.54 - 0.46 * cos(2 * pi() * col / 8)")),
-    ("hanning", lambda s: _c.hanning(s, 9), _cells(1, 9, "0.5 - 0.5 * cos(2 * pi() * col / 8)")),
-    ("kaiser", lambda s: _c.kaiser(s, 3, 2.0), _cells(1, 3, "CASE col WHEN 1 THEN 1 ELSE 1 / (SELECT sum(1 / pow(gamma(k + 1), 2)) FROM range(0, 30) r(k)) END")),
+    ("arange", _over(lambda s, n: _c.arange(s, 0, n * 0.5, 0.5)), _LINE.format("value + i * 0.5")),
+    ("arange_int", _over(lambda s, n: _c.arange(s, 3.9, n * 1.9 + 3, 1.9, integer=True)), _LINE.format("value + 3 + i")),
+    ("linspace", lambda m, b: layout.flatten(m) - _between(m, m.size), _LINE.format("value - (low + i * (high - low) / (n - 1))")),
+    ("linspace_noend", lambda m, b: layout.flatten(m) - _between(m, m.size, False), _LINE.format("value - (low + i * (high - low) / n)")),
+    ("logspace", _over(lambda s, n: _c.logspace(s, 0, 2, n)), _LINE.format("value + pow(10, 2 * i / (n - 1))")),
+    ("geomspace", _over(lambda s, n: _c.geomspace(s, 1, 81, n)), _LINE.format("value + pow(81, i / (n - 1))")),
+    ("full", lambda m, b: m + _c.full(m.df.sparkSession, *m.shape, 3.14), _PLANE.format("value + 3.14")),
+    ("ones", lambda m, b: m - _c.ones(m.df.sparkSession, *m.shape), _PLANE.format("value - 1")),
+    ("zeros", lambda m, b: m + _c.zeros(m.df.sparkSession, *m.shape), _PLANE.format("value")),
+    ("empty", lambda m, b: m.zip(_c.empty(m.df.sparkSession, *m.shape), lambda v, e: F.coalesce(e, -v)), _PLANE.format("-value")),
+    ("eye", lambda m, b: m * _c.eye(m.df.sparkSession, *m.shape, 1), _PLANE.format("value * CAST(col - row = 1 AS INT)")),
+    ("eye_negative", lambda m, b: m * _c.eye(m.df.sparkSession, *m.shape, -1), _PLANE.format("value * CAST(col - row = -1 AS INT)")),
+    ("identity", lambda m, b: products.matmul(_c.identity(m.df.sparkSession, m.rows), m), _PLANE.format("value")),
+    ("meshgrid", lambda m, b: _c.meshgrid(_sums(m), _row_sums(m))[0], f", {_TOTALS} SELECT j AS row, i AS col, x.v AS value FROM x, y"),
+    ("meshgrid_j", lambda m, b: _c.meshgrid(_sums(m), _row_sums(m))[1], f", {_TOTALS} SELECT j AS row, i AS col, y.v AS value FROM x, y"),
+    ("diagflat", lambda m, b: _c.diagflat(_sums(m), 1), f", {_TOTALS} SELECT r AS row, c AS col, CASE WHEN c = r + 1 THEN (SELECT v FROM x WHERE i = r) ELSE 0 END AS value FROM range(0, 21) p(r), range(0, 21) q(c)"),
+    ("asarray", lambda m, b: m - _c.asarray(m.df.sparkSession, files.to_list(_sums(m))), _PLANE.format("value - sum(value) OVER (PARTITION BY col)")),
+    ("fromiter", lambda m, b: m - _c.fromiter(m.df.sparkSession, (v / 2 for v in files.to_list(_sums(m)))), _PLANE.format("value - sum(value) OVER (PARTITION BY col) / 2")),
+    ("fromfunction", lambda m, b: m + _c.from_function(m.df.sparkSession, lambda r, c: r * 10 + c, *m.shape), _PLANE.format("value + row * 10 + col")),
+    ("tri", lambda m, b: products.matmul(m, _c.tri(m.df.sparkSession, 20, 1)), "SELECT m.row, c.col, sum(CASE WHEN c.col <= m.col + 1 THEN value ELSE 0 END) AS value FROM m, range(0, 20) c(col) GROUP BY m.row, c.col"),
+    ("tri_upper", lambda m, b: products.matmul(m, _c.tri(m.df.sparkSession, 20, -1, upper=True)), "SELECT m.row, c.col, sum(CASE WHEN c.col >= m.col - 1 THEN value ELSE 0 END) AS value FROM m, range(0, 20) c(col) GROUP BY m.row, c.col"),
+    ("vander", lambda m, b: _c.vander(layout.flatten(m), 3), "SELECT row * 20 + col AS row, p AS col, pow(value, p) AS value FROM m, range(0, 3) q(p)"),
+    ("bartlett", _over(_c.bartlett, lambda v, w: v * w), _LINE.format("value * (1 - abs(2 * i / (n - 1) - 1))")),
+    ("blackman", _over(_c.blackman, lambda v, w: v * w), _LINE.format("value * (0.42 - 0.5 * cos(2 * pi() * i / (n - 1)) + 0.08 * cos(4 * pi() * i / (n - 1)))")),
+    ("hamming", _over(_c.hamming, lambda v, w: v * w), _LINE.format("value * (0.54 - 0.46 * cos(2 * pi() * i / (n - 1)))")),
+    ("hanning", _over(_c.hanning, lambda v, w: v * w), _LINE.format("value * (0.5 - 0.5 * cos(2 * pi() * i / (n - 1)))")),
+    ("kaiser", _over(lambda s, n: _c.kaiser(s, n, 2.0), lambda v, w: v * w), _LINE.format("value * (SELECT sum(pow(1 - pow(2 * i / (n - 1) - 1, 2), k) / pow(gamma(k + 1), 2)) FROM range(0, 30) r(k)) / (SELECT sum(1 / pow(gamma(k + 1), 2)) FROM range(0, 30) r(k))")),
 ):
-    _new(_name, _f, _sql)
+    _add(_name, lambda m, b, f=_f: f(m, b).map(_number), _sql, 6)
 _flat = "SELECT CAST(0 AS BIGINT) AS row, row * 20 + col AS col, value FROM m"
 for _name, _f, _sql in (
     ("full_like", lambda m, b: _c.full_like(m, 2.5), "SELECT row, col, CAST(2.5 AS DOUBLE) AS value FROM m"),

@@ -193,16 +193,15 @@ def generate_centroids(spark, sf_dir):
     return out.select("cluster", "intensity", *[_r(F.col(c)).alias(c) for c in ("row", "col", "eod")], axis("a"), axis("b"))
 
 
-# ---- scalars that several methods give alike
-@_register("integrate", "SELECT * FROM (VALUES ('trapazoidal', 2.0), ('simpson', 2.0), ('romberg', 2.0), ('gauss_legendre', 2.0)) t(method, value)".replace("2.0", "CAST(2 AS DOUBLE)"))
+@_register("integrate", "SELECT p_partkey, " + ", ".join(f"floor((1 - cos(p_size / 10)) * 1e5 + 0.5) / 1e5 AS {k}" for k in ("trapazoidal", "simpson", "romberg", "gauss_legendre")) + " FROM part")
 def integrals(spark, sf_dir):
-    """The area below the sine's arch."""
-    f, pi = F.sin, math.pi
+    """For each part the area below the sine up to a tenth of its size."""
+    low, high = F.lit(0.0), F.col("p_size") / 10
     found = {
-        "trapazoidal": integrate.trapezoidal(spark, 0, pi, 20_000, f), "simpson": integrate.simpson(spark, 0, pi, 200, f),
-        "romberg": integrate.romberg(spark, 0, pi, 8, f), "gauss_legendre": integrate.gauss_legendre(spark, 0, pi, 12, f),
+        "trapazoidal": integrate.trapezoidal_of(low, high, 4000, F.sin), "simpson": integrate.simpson_of(low, high, 60, F.sin),
+        "romberg": integrate.romberg_of(low, high, 7, F.sin), "gauss_legendre": integrate.gauss_legendre_of(low, high, 10, F.sin),
     }
-    return spark.createDataFrame([(k, round(v, 6)) for k, v in found.items()], "method string, value double")
+    return spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", *[(F.floor(v * 1e5 + 0.5) / 1e5).alias(k) for k, v in found.items()])
 
 
 @_register("roots", "SELECT p_partkey, " + ", ".join(f"floor(cbrt(p_size) * 1e6 + 0.5) / 1e6 AS {m}" for m in ("bisection", "secant", "newton", "dekker", "brent")) + " FROM part")
@@ -218,7 +217,7 @@ def cube_roots(spark, sf_dir):
     return part.select("p_partkey", *[_r(roots.column(f, y, low, high)).alias(k) for k, f in by.items()])
 
 
-#: Means of the distributions at the parameters below, and how near 40,000 draws come.
+#: Means of the distributions at the parameters below.
 _MEANS = {
     "bernoulli": (lambda g: g.bernoulli(0.3).cast("double"), 0.3), "beta": (lambda g: g.beta(2, 3), 0.4), "binomial": (lambda g: g.binomial(10, 0.2), 2.0), "cauchy": (lambda g: (g.cauchy(1, 2) < 1).cast("double"), 0.5),
     "chiSquare": (lambda g: g.chi_square(3), 3.0), "discrete": (lambda g: g.discrete([1, 1, 2]).cast("double"), 1.25), "exponential": (lambda g: g.exponential(2), 0.5), "extremeValue": (lambda g: g.extreme_value(1, 1), 1.577216),
@@ -232,10 +231,11 @@ _MEANS = {
 
 @_register("random_means", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', true)" for k in _MEANS) + ") t(distribution, near)")
 def random_means(spark, sf_dir):
-    g = RNG(7)
-    draws = spark.range(0, 40_000, 1, 4).select(*[f(g).alias(k) for k, (f, _) in _MEANS.items()])
-    means = draws.agg(*[F.avg(k).alias(k) for k in _MEANS])
-    near = F.array(*[F.struct(F.lit(k).alias("distribution"), (F.abs(F.col(k) - m) < 0.06).alias("near")) for k, (_, m) in _MEANS.items()])
+    """The means of all distributions, drawn for every line."""
+    g = RNG(7, "l_orderkey", "l_linenumber")
+    draws = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(*[f(g).alias(k) for k, (f, _) in _MEANS.items()])
+    means = draws.agg(F.count(F.lit(1)).alias("n"), *[F.avg(k).alias(k) for k in _MEANS])
+    near = F.array(*[F.struct(F.lit(k).alias("distribution"), (F.abs(F.col(k) - m) < 20 / F.sqrt("n")).alias("near")) for k, (_, m) in _MEANS.items()])
     return means.select(F.inline(near))
 
 

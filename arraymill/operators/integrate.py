@@ -44,3 +44,34 @@ def gauss_legendre(spark: SparkSession, low: float, high: float, n: int, f: Fn)
     rows = spark.createDataFrame([(float(x), float(w)) for x, w in zip(nodes, weights, strict=True)], "x double, w double")
     half = (high - low) / 2
     return float(rows.agg(F.sum(F.col("w") * f(low + half * (F.col("x") + 1)))).first()[0]) * half
+
+
+def _over_steps(n: int, term: Callable[[Column], Column]) -> Column:
+    return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0.0), lambda total, i: total + term(i.cast("double")))
+
+
+def trapezoidal_of(low: Column, high: Column, n: int, f: Fn) -> Column:
+    """The integral between two columns of each row, by n steps."""
+    h = (high - low) / n
+    return _over_steps(n, lambda i: (f(low + i * h) + f(low + (i + 1) * h)) * (h / 2))
+
+
+def simpson_of(low: Column, high: Column, n: int, f: Fn) -> Column:
+    h = (high - low) / n
+    return _over_steps(n, lambda i: (f(low + i * h) + 4 * f(low + (i + 0.5) * h) + f(low + (i + 1) * h)) * (h / 6))
+
+
+def romberg_of(low: Column, high: Column, n: int, f: Fn) -> Column:
+    """Richardson's scheme as one sum: the trapezoidal rules of 1, 2, 4, ... steps with fixed weights."""
+    weights = [np.eye(n)[k] for k in range(n)]
+    for m in range(1, n):
+        weights = [w + (w - before) / (4**m - 1) for before, w in zip(weights, weights[1:], strict=False)]
+    rules = [float(w) * trapezoidal_of(low, high, 1 << k, f) for k, w in enumerate(weights[0])]
+    return sum(rules[1:], rules[0])
+
+
+def gauss_legendre_of(low: Column, high: Column, n: int, f: Fn) -> Column:
+    nodes, weights = np.polynomial.legendre.leggauss(n)
+    half = (high - low) / 2
+    terms = [float(w) * f(low + half * (float(x) + 1)) for x, w in zip(nodes, weights, strict=True)]
+    return half * sum(terms[1:], terms[0])
