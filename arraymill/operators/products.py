@@ -2,8 +2,8 @@
 
 Products are join-aggregates over the cells that are there: the inner dimension is the join key and
 partial sums are combined before the shuffle; an absent cell is a zero that meets nothing. Matrices with
-all their cells multiply in tiles, in ``blocks``. Decompositions work on one small matrix per key, many keys at
-once, with ``per_matrix``.
+all their cells multiply in tiles, in ``blocks``, and are factored in tiles, in ``factor``, or along their
+rows, in ``tall``. Many small matrices, one a key, go through ``per_matrix``.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
-from . import blocks, tall
+from . import blocks, factor, tall
 from .grid import Axis, Grid
 from .layout import transpose
 
@@ -125,84 +125,91 @@ def per_matrix(df: DataFrame, f: Callable[[np.ndarray], np.ndarray], keys: list[
     return df.groupBy(*keys).applyInPandas(run, schema)
 
 
-def _small(x: Grid, f: Callable[[np.ndarray], np.ndarray], rows: int, cols: int) -> Grid:
-    if x.size > MOST_CELLS:
-        raise ValueError("the matrix is too large for one task")
-    corner = x.df.sparkSession.createDataFrame([(x.rows - 1, x.cols - 1, 0.0)], "row long, col long, value double")
-    whole = x.df.select("row", "col", F.col("value").cast("double").alias("value")).unionByName(corner).groupBy("row", "col").agg(F.sum("value").alias("value"))
-    return Grid(per_matrix(whole, f), rows, cols)
+def _tiled(x: Grid) -> blocks.BlockMatrix:
+    if not x.issquare():
+        raise ValueError("a square matrix is needed")
+    return blocks.BlockMatrix.from_grid(x)
 
 
 def inverse(x: Grid) -> Grid:
-    if not x.issquare():
-        raise ValueError("an inverse needs a square matrix")
-    return _small(x, np.linalg.inv, x.rows, x.cols)
+    """By factors in tiles, with pivots."""
+    return factor.inverse(_tiled(x)).to_grid()
 
 
-def pinv(x: Grid) -> Grid:
-    return _small(x, np.linalg.pinv, x.cols, x.rows)
+def solve(a: Grid, b: Grid) -> Grid:
+    """X with a times X equal to b."""
+    return factor.lu(_tiled(a)).solve(blocks.BlockMatrix.from_grid(b)).to_grid()
 
 
 def det(x: Grid) -> Grid:
-    if not x.issquare():
-        raise ValueError("a determinant needs a square matrix")
-    return _small(x, lambda m: np.array([[np.linalg.det(m)]]), 1, 1)
+    sign, log = factor.lu(_tiled(x)).determinant()
+    return Grid.local(x.df.sparkSession, [sign * float(np.exp(log))])
 
 
 def cholesky(x: Grid) -> Grid:
     """Lower factor of a positive definite matrix; an error for others."""
-    return _small(x, np.linalg.cholesky, x.rows, x.cols)
-
-
-def lu(m: np.ndarray, pivot: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """L, U and P with P m = L U; P is the identity without pivoting."""
-    n = len(m)
-    u, low, p = m.astype(float).copy(), np.eye(n), np.eye(n)
-    for k in range(n):
-        if pivot:
-            best = k + int(np.argmax(np.abs(u[k:, k])))
-            u[[k, best]], p[[k, best]] = u[[best, k]], p[[best, k]]
-            low[[k, best], :k] = low[[best, k], :k]
-        if u[k, k] == 0:
-            raise ValueError("a pivot is zero")
-        factor = u[k + 1 :, k] / u[k, k]
-        low[k + 1 :, k] = factor
-        u[k + 1 :] -= factor[:, None] * u[k]
-    return low, u, p
+    return factor.cholesky(_tiled(x)).to_grid()
 
 
 def lu_decomposition(x: Grid) -> tuple[Grid, Grid]:
-    return tuple(_small(x, lambda m, i=i: lu(m, False)[i], x.rows, x.cols) for i in (0, 1))
+    made = factor.lu(_tiled(x), pivot=False)
+    return made.lower.to_grid(), made.upper.to_grid()
 
 
 def pivot_lu_decomposition(x: Grid) -> tuple[Grid, Grid, Grid]:
-    return tuple(_small(x, lambda m, i=i: lu(m, True)[i], x.rows, x.cols) for i in (0, 1, 2))
+    """L, U and P with P times the matrix equal to L times U."""
+    made = factor.lu(_tiled(x))
+    swapped = x.df.sparkSession.createDataFrame([(new, old, 1.0) for new, old in enumerate(made.rows)], "row long, col long, value double")
+    return made.lower.to_grid(), made.upper.to_grid(), Grid(swapped, x.rows, x.rows)
+
+
+def _wide_rows(x: Grid) -> tuple[DataFrame, list[Column]]:
+    """A row of cells ``c0, c1, ...`` for each of the grid's; absent cells are zeros."""
+    if x.cols > tall.MOST_COLUMNS:
+        raise ValueError("the matrix has too many columns")
+    cell = lambda c: F.coalesce(F.sum(F.when(F.col("col") == c, F.col("value").cast("double"))), F.lit(0.0)).alias(f"c{c}")
+    every = x.df.select("row", "col", "value").unionByName(x.df.sparkSession.range(x.rows).select(F.col("id").alias("row")), allowMissingColumns=True)
+    return every.groupBy("row").agg(*[cell(c) for c in range(x.cols)]), [F.col(f"c{c}") for c in range(x.cols)]
+
+
+def _local(x: Grid, m: np.ndarray) -> Grid:
+    return Grid.local(x.df.sparkSession, m.tolist())
 
 
 def svd(x: Grid) -> tuple[Grid, Grid, Grid]:
-    """U, the singular values as a flat grid, and V transposed."""
-    k = min(x.shape)
-    part = lambda i: lambda m: np.linalg.svd(m, full_matrices=False)[i]
-    return _small(x, part(0), x.rows, k), _small(x, part(1), 1, k), _small(x, part(2), k, x.cols)
+    """U, the singular values as a flat grid, and V transposed, by orthogonal factors along the longer side.
+
+    Directions without length are left out.
+    """
+    if x.rows < x.cols:
+        u, s, vt = svd(transpose(x))
+        return transpose(vt), s, transpose(u)
+    rows, columns = _wide_rows(x)
+    out, s, vt = tall.svd(rows, columns)
+    cells = out.select("row", F.posexplode(F.array(*[F.col(f"u{i}") for i in range(len(s))])).alias("at", "value"))
+    return Grid(cells.select("row", F.col("at").cast("long").alias("col"), "value"), x.rows, len(s)), _local(x, s), _local(x, vt)
+
+
+def pinv(x: Grid) -> Grid:
+    """By singular values: V over them times U transposed, row by row of U."""
+    if x.rows < x.cols:
+        return transpose(pinv(transpose(x)))
+    rows, columns = _wide_rows(x)
+    out, s, vt = tall.svd(rows, columns)
+    cell = lambda j: sum((F.col(f"u{i}") * float(vt[i, j] / s[i]) for i in range(len(s))), F.lit(0.0))
+    cells = out.select("row", F.posexplode(F.array(*[cell(j) for j in range(x.cols)])).alias("at", "value"))
+    return Grid(cells.select(F.col("at").cast("long").alias("row"), F.col("row").alias("col"), "value"), x.cols, x.rows)
 
 
 def lstsq(a: Grid, b: Grid, tolerance: float | None = None) -> np.ndarray:
     """Least-squares solution of a tall system, by orthogonal factors of its rows; absent cells are zeros."""
     if a.rows != b.rows:
         raise ValueError("the sides differ in rows")
-    if a.cols + b.cols > tall.MOST_COLUMNS:
-        raise ValueError("the system has too many columns")
-    both = a.df.select("row", "col", "value").unionByName(b.df.select("row", (F.col("col") + a.cols).alias("col"), "value"))
-    cell = lambda c: F.coalesce(F.sum(F.when(F.col("col") == c, F.col("value"))), F.lit(0.0)).alias(f"c{c}")
-    rows = both.groupBy("row").agg(*[cell(c) for c in range(a.cols + b.cols)])
-    columns = [F.col(f"c{c}") for c in range(a.cols + b.cols)]
+    both = Grid(a.df.select("row", "col", "value").unionByName(b.df.select("row", (F.col("col") + a.cols).alias("col"), "value")), a.rows, a.cols + b.cols)
+    rows, columns = _wide_rows(both)
     return tall.lstsq(rows, columns[: a.cols], columns[a.cols :], tolerance)[0]
 
 
-def solve(a: Grid, b: Grid) -> Grid:
-    return matmul(inverse(a), b)
-
-
 def hat(x: Column, y: Column, z: Column) -> Column:
     """Skew-symmetric matrix of a vector."""
     zero = F.lit(0.0)
