@@ -15,57 +15,81 @@ from ..operators import creation, images, integrate, layout, products, roots
 from ..operators.grid import Grid
 from ..operators.random import RNG
 from ..plans.cut import checkpoint_folder
+from ..plans.ordered import ranked
 from ..sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
-#: A well-conditioned 5 by 5 matrix from the 25 nations, and its symmetric, positive definite form.
-_A = "SELECT CAST(n_nationkey // 5 AS BIGINT) AS row, CAST(n_nationkey % 5 AS BIGINT) AS col, CAST((n_nationkey * 7 + 3) % 11 AS DOUBLE) + CASE WHEN n_nationkey // 5 = n_nationkey % 5 THEN 20 ELSE 0 END AS value FROM nation"
+#: A square matrix with a row and a column for each supplier, u v' on a diagonal d: with w = 1 + sum(u v / d)
+#: its inverse is 1/d less u v' / (d d' w), and its determinant that of the diagonal times w.
+_A = """s AS (SELECT row_number() OVER (ORDER BY s_suppkey) - 1 AS i, s_acctbal / 1e4 AS u, 1.0 / (1 + s_suppkey % 7) AS v, CAST(2 + s_suppkey % 5 AS DOUBLE) AS d FROM supplier),
+a AS (SELECT x.i AS row, y.i AS col, x.u * y.v + CASE WHEN x.i = y.i THEN x.d ELSE 0 END AS value FROM s x, s y), w AS (SELECT 1 + sum(u * v / d) AS w FROM s),
+inv AS (SELECT x.i AS row, y.i AS col, CASE WHEN x.i = y.i THEN 1 / x.d ELSE 0 END - x.u * y.v / (x.d * y.d * w) AS value FROM s x, s y, w),
+g AS (SELECT x.row, y.row AS col, sum(x.value * y.value) AS value FROM a x JOIN a y ON x.col = y.col GROUP BY x.row, y.row)"""
 
 
-def _matrix(spark: SparkSession, sf_dir: str) -> Grid:
-    k = F.col("n_nationkey")
-    rows = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.floor(k / 5).cast("long").alias("row"), (k % 5).cast("long").alias("col"), k.alias("k"))
-    value = ((F.col("k") * 7 + 3) % 11).cast("double") + F.when(F.col("row") == F.col("col"), 20).otherwise(0)
-    return Grid(rows.select("row", "col", value.alias("value")), 5, 5)
+def _suppliers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    key = F.col("s_suppkey")
+    rows = ranked(spark.read.parquet(f"{sf_dir}/supplier.parquet"), "s_suppkey", name="i")
+    return rows.select("i", (F.col("s_acctbal") / 1e4).alias("u"), (1.0 / (1 + key % 7)).alias("v"), (2 + key % 5).cast("double").alias("d")), rows.count()
 
 
-def _gram(a: Grid) -> Grid:
-    return products.matmul(layout.transpose(a), a)
+def _matrix(spark: SparkSession, sf_dir: str) -> Grid:
+    rows, n = _suppliers(spark, sf_dir)
+    line = lambda c: Grid(rows.select(F.lit(0).cast("long").alias("row"), F.col("i").alias("col"), F.col(c).alias("value")), 1, n)
+    diagonal = rows.select(F.col("i").alias("row"), F.col("i").alias("col"), F.col("d").alias("value"))
+    cells = products.outer(line("u"), line("v")).df.unionByName(diagonal).groupBy("row", "col").agg(F.sum("value").alias("value"))
+    return Grid(cells, n, n)
 
 
-def _linalg(name: str, f: Callable[[Grid], Grid], sql: str) -> None:
+def _linalg(name: str, f: Callable[[Grid], Grid], sql: str, digits: int = 6) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = f(_matrix(spark, sf_dir))
-        return products.filled(out).df.withColumn("value", F.floor(F.col("value") * 1e6 + 0.5) / 1e6)
+        out = f(_matrix(spark, sf_dir)).df
+        return out.withColumn("value", F.floor(F.col("value") * 10.0**digits + 0.5) / 10.0**digits)
 
     QUERIES[name] = run
-    SQL[name] = f"WITH a AS ({_A}), g AS (SELECT x.col AS row, y.col, sum(x.value * y.value) AS value FROM a x JOIN a y ON x.row = y.row GROUP BY x.col, y.col) SELECT * REPLACE (floor(value * 1e6 + 0.5) / 1e6 AS value) FROM ({sql})"
+    SQL[name] = f"WITH {_A} SELECT row, col, floor(value * 1e{digits} + 0.5) / 1e{digits} AS value FROM ({sql})"
 
 
-_IDENTITY = "SELECT row, col, CAST(row = col AS DOUBLE) AS value FROM a"
 _p = products
+_INVERSE_SQUARED = "SELECT x.row, y.col, sum(x.value * y.value) AS value FROM inv x JOIN inv y ON x.col = y.row GROUP BY x.row, y.col"
 for _name, _f, _sql in (
-    ("inv", lambda a: _p.matmul(_p.inverse(a), a), _IDENTITY),
-    ("pinv", lambda a: _p.matmul(a, _p.pinv(a)), _IDENTITY),
-    ("solve", lambda a: _p.matmul(a, _p.solve(a, creation.identity(a.df.sparkSession, 5))), _IDENTITY),
-    ("cholesky", lambda a: (lambda low: _p.matmul(low, layout.transpose(low)))(_p.cholesky(_gram(a))), "SELECT * FROM g"),
+    ("inv", lambda a: _p.inverse(a), "SELECT * FROM inv"),
+    ("solve", lambda a: _p.solve(a, Grid(a.df.filter("col < 2"), a.rows, 2)), "SELECT row, col, CAST(row = col AS INT) AS value FROM a WHERE col < 2"),
+    ("solve_ones", lambda a: _p.solve(a, Grid(a.df.filter("col = 0").withColumn("value", F.lit(1.0)), a.rows, 1)), "SELECT row, 0 AS col, sum(value) AS value FROM inv GROUP BY row"),
+    ("det", lambda a: _p.det(a).map(lambda v: F.log(v) / a.rows), "SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, (sum(ln(d)) + ln(any_value(w))) / count(*) AS value FROM s, w"),
+    ("cholesky", lambda a: (lambda low: _p.matmul(low, layout.transpose(low)))(_p.cholesky(_p.matmul(a, layout.transpose(a)))), "SELECT * FROM g"),
     ("lu_decomposition", lambda a: _p.matmul(*_p.lu_decomposition(a)), "SELECT * FROM a"),
     ("pivotLU_decomposition", lambda a: (lambda low, up, p: _p.matmul(layout.transpose(p), _p.matmul(low, up)))(*_p.pivot_lu_decomposition(a)), "SELECT * FROM a"),
-    ("svd", lambda a: (lambda u, s, vt: _p.matmul(u, _p.matmul(creation.diagflat(s), vt)))(*_p.svd(a)), "SELECT * FROM a"),
-    ("lu_lower", lambda a: _p.lu_decomposition(a)[0].zip(creation.triangle(_p.lu_decomposition(a)[0], 0), lambda v, w: v - w), "SELECT row, col, CAST(0 AS DOUBLE) AS value FROM a"),
-    ("lu_upper", lambda a: _p.lu_decomposition(a)[1].zip(creation.triangle(_p.lu_decomposition(a)[1], 0, upper=True), lambda v, w: v - w), "SELECT row, col, CAST(0 AS DOUBLE) AS value FROM a"),
-    ("svd_u", lambda a: (lambda u: _p.matmul(layout.transpose(u), u))(_p.svd(a)[0]), _IDENTITY),
-    ("svd_v", lambda a: (lambda vt: _p.matmul(vt, layout.transpose(vt)))(_p.svd(a)[2]), _IDENTITY),
-    ("svd_s", lambda a: (lambda s: _p.matmul(s, layout.transpose(s)))(_p.svd(a)[1]), "SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, sum(value * value) AS value FROM a"),
+    ("lu_lower", lambda a: (lambda low: low.zip(creation.triangle(low, 0), lambda v, w: v - w))(_p.lu_decomposition(a)[0]), "SELECT row, col, CAST(0 AS DOUBLE) AS value FROM a"),
+    ("lu_upper", lambda a: (lambda up: up.zip(creation.triangle(up, 0, upper=True), lambda v, w: v - w))(_p.lu_decomposition(a)[1]), "SELECT row, col, CAST(0 AS DOUBLE) AS value FROM a"),
     ("matrix_power", lambda a: _p.matrix_power(a, 2), "SELECT x.row, y.col, sum(x.value * y.value) AS value FROM a x JOIN a y ON x.col = y.row GROUP BY x.row, y.col"),
-    ("matrix_power_negative", lambda a: _p.matmul(_p.matrix_power(a, -2), _p.matrix_power(a, 2)), _IDENTITY),
-    ("det", lambda a: _p.det(a), f"""
-        SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, sum({" * ".join(f"m{i}.value" for i in range(5))} * {" * ".join(f"sign(m{j}.col - m{i}.col)" for i in range(5) for j in range(i + 1, 5))}) AS value
-        FROM {", ".join(f"(SELECT * FROM a WHERE row = {i}) m{i}" for i in range(5))}"""),
+    ("matrix_power_negative", lambda a: _p.matrix_power(a, -2), _INVERSE_SQUARED),
+):
+    # products of decimals are held to more digits than they have
+    _linalg(_name, _f, _sql, 8 if "decomposition" in _name else 6)
+
+
+def _of_image(name: str, f: Callable[[Grid], Grid], sql: str) -> None:
+    """An operator of the tall matrix with a row of sizes for each 20 parts."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return f(_image(spark, sf_dir)).df.withColumn("value", F.floor(F.col("value") * 1e4 + 0.5) / 1e4)
+
+    QUERIES[name] = run
+    SQL[name] = f"WITH m AS (SELECT p_partkey // 20 AS row, p_partkey % 20 AS col, CAST(p_size AS DOUBLE) AS value FROM part) SELECT row, col, floor(value * 1e4 + 0.5) / 1e4 AS value FROM ({sql})"
+
+
+_UNIT = "SELECT r AS row, c AS col, CAST(r = c AS INT) AS value FROM range(0, (SELECT least(20, max(row) + 1) FROM m)) x(r), range(0, (SELECT least(20, max(row) + 1) FROM m)) y(c)"
+for _name, _f, _sql in (
+    ("pinv", lambda m: _p.matmul(m, _p.matmul(_p.pinv(m), m)), "SELECT * FROM m"),
+    ("svd", lambda m: (lambda u, s, vt: _p.matmul(u, _p.matmul(creation.diagflat(s), vt)))(*_p.svd(m)), "SELECT * FROM m"),
+    ("svd_u", lambda m: (lambda u: _p.matmul(layout.transpose(u), u))(_p.svd(m)[0]), _UNIT),
+    ("svd_v", lambda m: (lambda vt: _p.matmul(vt, layout.transpose(vt)))(_p.svd(m)[2]), _UNIT),
+    ("svd_s", lambda m: (lambda s: _p.matmul(s, layout.transpose(s)))(_p.svd(m)[1]), "SELECT CAST(0 AS BIGINT) AS row, CAST(0 AS BIGINT) AS col, sum(value * value) AS value FROM m"),
 ):
-    _linalg(_name, _f, _sql)
+    _of_image(_name, _f, _sql)
 
 
 def _register(name: str, sql: str | None):

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.cut import cut
+from ..plans.small import computed
 from .blocks import SCHEMA, BlockMatrix, _batch, _packed, _rows
 
 #: Offers that one task compares in a round of a tournament.
@@ -38,6 +39,14 @@ def small_lu(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return low, u
 
 
+def _split(tile: np.ndarray) -> tuple[np.ndarray, ...]:
+    """L and U of a tile and their inverses."""
+    low, up = small_lu(tile)
+    if (np.diag(up) == 0).any():
+        raise ValueError("a pivot is zero")
+    return low, up, np.linalg.inv(low), np.linalg.inv(up)
+
+
 def best_rows(m: np.ndarray) -> np.ndarray:
     """Which rows partial pivoting takes, in its order; as many as there are columns."""
     work, left, chosen = m.astype(float).copy(), list(range(len(m))), []
@@ -184,8 +193,7 @@ def lu(x: BlockMatrix, pivot: bool = True) -> Factors:
             before = rows[:]
             for row, new in moves.items():
                 rows[new] = before[row]
-        low, up = small_lu(_tile(rest.df, k, k, size))
-        into_low, into_up = np.linalg.inv(low), np.linalg.inv(up)
+        low, up, into_low, into_up = computed(x.df.sparkSession, _split, _tile(rest.df, k, k, size))
         below, beside = F.col("brow") > k, F.col("bcol") > k
         # tiles left of the column hold what the rounds before made of the lower factor, and move along with their rows
         column = _mapped(rest.df.filter(below & (F.col("bcol") == k)), lambda r, c, d, inv=into_up: np.frombuffer(d).reshape(-1, len(inv)) @ inv)
@@ -216,7 +224,7 @@ def _substituted(triangle: BlockMatrix, right: BlockMatrix, lower: bool) -> Bloc
     rest, solved = cut(right.df), None
     for k in blocks if lower else reversed(blocks):
         size = min(side, n - k * side)
-        inverse = np.linalg.inv(_tile(triangle.df, k, k, size))
+        (inverse,) = computed(right.df.sparkSession, lambda t: (np.linalg.inv(t),), _tile(triangle.df, k, k, size))
         own = cut(_mapped(rest.filter(F.col("brow") == k), lambda r, c, d, inv=inverse: inv @ _shaped(d, len(inv))))
         solved = own if solved is None else solved.unionByName(own)
         ahead = F.col("brow") > k if lower else F.col("brow") < k
@@ -229,6 +237,12 @@ def inverse(x: BlockMatrix) -> BlockMatrix:
     return lu(x).solve(BlockMatrix.identity(x.df.sparkSession, x.rows, x.side))
 
 
+def _root(tile: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The lower factor of a tile and its inverse, transposed."""
+    low = np.linalg.cholesky(tile)
+    return low, np.linalg.inv(low).T
+
+
 def cholesky(x: BlockMatrix) -> BlockMatrix:
     """The lower factor of a symmetric, positive definite matrix; an error for others."""
     if x.rows != x.cols:
@@ -236,8 +250,8 @@ def cholesky(x: BlockMatrix) -> BlockMatrix:
     side, n = x.side, x.rows
     rest, made = cut(x.df.filter("brow >= bcol")), None
     for k in range(-(-n // side)):
-        low = np.linalg.cholesky(_tile(rest, k, k, min(side, n - k * side)))
-        turned, size = np.linalg.inv(low).T, len(low)
+        low, turned = computed(x.df.sparkSession, _root, _tile(rest, k, k, min(side, n - k * side)))
+        size = len(low)
         column = cut(_mapped(rest.filter((F.col("bcol") == k) & (F.col("brow") > k)), lambda r, c, d, inv=turned: np.frombuffer(d).reshape(-1, len(inv)) @ inv))
         corner = x.df.sparkSession.createDataFrame([(k, k, bytearray(_packed(low)))], SCHEMA)
         made = corner.unionByName(column) if made is None else made.unionByName(corner).unionByName(column)

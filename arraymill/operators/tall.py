@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 
 from ..plans.cut import cut
+from ..plans.small import computed
 
 #: Triangles that a task folds into one.
 FAN_IN = 32
@@ -60,17 +61,20 @@ def triangle(rows: DataFrame, *columns: Column) -> np.ndarray:
                 held = _folded(held, np.frombuffer(data.as_py()).reshape(-1, width))
         yield from _triangle(held)
 
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column(1):
+                yield from _triangle(np.linalg.qr(np.frombuffer(data.as_py()).reshape(-1, width), mode="r"))
+
     parts = cut(cells.mapInArrow(fold, "width long, data binary"))
     n = parts.count()
     while n > FAN_IN:
         n = -(-n // FAN_IN)
         parts = cut(parts.repartition(n).mapInArrow(again, "width long, data binary"))
-    held = None
-    for r in parts.toLocalIterator():
-        held = _folded(held, np.frombuffer(r["data"]).reshape(-1, width))
+    last = parts.coalesce(1).mapInArrow(again, "width long, data binary").mapInArrow(final, "width long, data binary").first()
     out = np.zeros((width, width))
-    if held is not None:
-        own = np.linalg.qr(held, mode="r")
+    if last is not None:
+        own = np.frombuffer(last["data"]).reshape(-1, width)
         out[: len(own)] = own
     return out
 
@@ -92,12 +96,14 @@ def lstsq(rows: DataFrame, features: Sequence[Column], targets: Sequence[Column]
     """
     n = len(features)
     r = triangle(rows, *features, *targets)
-    return scaled_pinv(r[:n, :n], tolerance) @ r[:n, n:], np.linalg.norm(r[n:, n:], axis=0)
+    own = lambda m: (scaled_pinv(m[:n, :n], tolerance) @ m[:n, n:], np.linalg.norm(m[n:, n:], axis=0))
+    coefficients, residual = computed(rows.sparkSession, own, r)
+    return coefficients, residual
 
 
 def singular_values(rows: DataFrame, *columns: Column) -> tuple[np.ndarray, np.ndarray]:
     """Singular values of the rows, falling, and the right vectors as rows."""
-    _, s, vt = np.linalg.svd(triangle(rows, *columns))
+    s, vt = computed(rows.sparkSession, lambda r: np.linalg.svd(r)[1:], triangle(rows, *columns))
     return s, vt
 
 
