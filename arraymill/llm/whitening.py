@@ -7,7 +7,7 @@ basis gives eigenvalues and components with their residuals; where a residual is
 after the last pass, the basis is expanded to the full dimension, where the step is exact.
 
 A pass yields some sums a partition, added up by place before and after a shuffle; the driver gets a
-matrix of the dimension's size, never rows.
+matrix of the dimension's size, never rows, and one task decomposes it.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.small import computed
+
 COMPONENTS = 8
 OVERSAMPLING = 8
 POWER_PASSES = 3
@@ -101,6 +103,19 @@ def _products(model: Whitening, block: np.ndarray) -> Callable[[np.ndarray], np.
     return run
 
 
+def _orthonormal(m: np.ndarray) -> tuple[np.ndarray, ...]:
+    return (np.linalg.qr(m)[0],)
+
+
+def _ritz(block: np.ndarray, image: np.ndarray, components: int) -> tuple[np.ndarray, ...]:
+    """Eigenvalues, falling, components and residuals of the covariance on a basis, given its image."""
+    small = block.T @ image
+    values, turn = np.linalg.eigh((small + small.T) / 2)
+    values, turn = values[::-1][:components], turn[:, ::-1][:, :components]
+    basis = block @ turn
+    return values, basis, np.linalg.norm(image @ turn - basis * values, axis=0)
+
+
 def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS, oversampling: int = OVERSAMPLING, power_passes: int = POWER_PASSES, seed: int = 0) -> Whitening:
     """The whitening of all usable vectors of a table.
 
@@ -117,23 +132,20 @@ def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS,
     n = int(sums[d])
     model = Whitening(n, sums[:d] + n * SHIFT, np.zeros((0, d)), np.zeros(0), 0.0, 0.0, False, 1)
     width = min(d, components + oversampling)
-    block = np.linalg.qr(np.random.default_rng(seed).standard_normal((d, width)))[0] if width < d else np.eye(d)
+    block = np.random.default_rng(seed).standard_normal((d, width))
+    block = computed(df.sparkSession, _orthonormal, block)[0] if width < d else np.eye(d)
     expanded, passes = width == d, 1
     while True:
         out = _summed(vectors, _products(model, block), d * block.shape[1] + 1, d, "double") / n
         image, total, passes = out[:-1].reshape(d, -1), float(out[-1]), passes + 1
-        small = block.T @ image
-        values, turn = np.linalg.eigh((small + small.T) / 2)
-        values, turn = values[::-1][:components], turn[:, ::-1][:, :components]
-        basis = block @ turn
-        residual = np.linalg.norm(image @ turn - basis * values, axis=0)
+        values, basis, residual = computed(df.sparkSession, lambda b, i: _ritz(b, i, components), block, image)
         rounding = 4 * d * np.finfo(float).eps * max(float(values[0]), 0.0)
         if expanded or (residual <= rounding / (2 * np.sqrt(d))).all():
             break
         if passes - 1 > power_passes:
             block, expanded = np.eye(d), True
         else:
-            block = np.linalg.qr(image)[0]
+            block = computed(df.sparkSession, _orthonormal, image)[0]
     kept = values > rounding
     model = Whitening(n, model.sums, basis.T[kept], values[kept], total, 0.0, expanded, passes)
     k = int(kept.sum())
