@@ -10,8 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import reducers
-from ..operators import creation, cumulative, filters, indexing, layout, order, products, reduce
+from ..functions import numeric, reducers
+from ..operators import creation, cumulative, filters, indexing, layout, multiset, order, products, reduce
 from ..operators.cube import DataCube
 from ..operators.filters import Boundary
 from ..operators.grid import Axis, Grid, Slice
@@ -280,3 +280,50 @@ for _rule in Boundary:
     )
 _add("trimBoundary", lambda m, b: _f.trim_boundary(m, 1), "SELECT row - 1 AS row, col - 1 AS col, value FROM m, d WHERE row BETWEEN 1 AND R - 2 AND col BETWEEN 1 AND 18")
 _add("fillCorners", lambda m, b: _f.fill_corners(m, 2, 0.5), "SELECT row, col, CASE WHEN (row < 2 OR row >= R - 2) AND (col < 2 OR col >= 18) THEN 0.5 ELSE value END AS value FROM m, d")
+for _rule in Boundary:
+    _add(
+        f"boundary1d_{_rule.value}",
+        lambda m, b, rule=_rule: _f.add_boundary_1d(m, rule, 7, 0.0),
+        f"SELECT r AS row, c AS col, coalesce(value, 0) AS value FROM range(0, (SELECT R FROM d)) x(r) CROSS JOIN range(0, 26) y(c) LEFT JOIN m ON row = r AND col = {_PLACE[_rule].format(p='(c - 3)', n='20')}",
+    )
+_add("addBoundary1d", lambda m, b: reduce.reduce(_f.add_boundary_1d(m, Boundary.REFLECT, 5), reducers.sum_, Axis.ROW), "SELECT c AS col, sum(value) AS value FROM range(0, 24) y(c) JOIN m ON col = CASE WHEN c < 2 THEN 1 - c WHEN c > 21 THEN 41 - c ELSE c - 2 END GROUP BY c")
+_add("trimBoundary1d", lambda m, b: _f.trim_boundary(m, 2, two_dimensional=False), "SELECT row, col - 2 AS col, value FROM m WHERE col BETWEEN 2 AND 17")
+
+
+# ---- facts of a grid, updates and exports
+def _fact(name: str, f: Callable[[Grid], float | bool], sql: str) -> None:
+    """A fact of the grid, beside the sum of its values."""
+    _add(name, lambda m, b: m.df.agg(F.sum("value").alias("total")).select(F.lit(float(f(m))).alias("value"), "total"), f"SELECT CAST({sql} AS DOUBLE) AS value, (SELECT sum(value) FROM m) AS total FROM d")
+
+
+for _name, _fact_of, _sql in (
+    ("numRows", lambda m: m.shape[0], "R"), ("numCols", lambda m: m.shape[1], "20"), ("shape", lambda m: m.shape[0] * 1000 + m.shape[1], "R * 1000 + 20"), ("alen", layout.alen, "R"),
+    ("dimSize", lambda m: m.dim_size(Axis.NONE) + m.dim_size(Axis.ROW) + m.dim_size(Axis.COL), "R * 20 + R + 20"), ("nbytes", lambda m: m.nbytes(), "R * 20 * 8"),
+    ("isempty", lambda m: m.isempty(), "R = 0"), ("isflat", lambda m: layout.flatten(m).isflat() and not m.isflat(), "R > 1"), ("isscalar", lambda m: m.isscalar(), "R * 20 = 1"), ("issquare", lambda m: m.issquare(), "R = 20"),
+    ("item", lambda m: indexing.item(Grid.of(reduce.reduce(m, reducers.amax).select(F.lit(0).alias("row"), F.lit(0).alias("col"), "value"), 1, 1)), "(SELECT max(value) FROM m)"),
+):
+    _fact(_name, _fact_of, _sql)
+_fact("DtypeInfo", lambda m: sum(numeric.dtype_info(m.df.schema["value"].dataType.simpleString())[k] for k in ("bits", "is_integer", "is_signed")), "64 + 0 + 1")
+_add("toIndices", lambda m, b: indexing.take(m, Slice(1, -1, 3).to_indices(m.rows), Axis.ROW), "SELECT (row - 1) // 3 AS row, col, value FROM m, d WHERE row >= 1 AND row < R - 1 AND (row - 1) % 3 = 0")
+_add("copyto", lambda m, b: layout.copyto(m, b, m > 0), "SELECT row, col, CASE WHEN m.value > 0 THEN b.value ELSE m.value END AS value FROM m JOIN b USING (row, col)")
+_add("swap", lambda m, b: (lambda x, y: x - y * 2)(*layout.swap(m, b)), "SELECT row, col, b.value - m.value * 2 AS value FROM m JOIN b USING (row, col)")
+_add("resizeFast", lambda m, b: layout.resize_fast(m, m.cols, m.rows) + layout.transpose(m), "SELECT col AS row, row AS col, value FROM m")
+_add("toStlVector", lambda m, b: m.df.sparkSession.createDataFrame(list(enumerate(files.to_list(_sums(m)))), "col long, value double"), "SELECT col, sum(value) AS value FROM m GROUP BY col")
+_add("print", lambda m, b: m.df.sparkSession.createDataFrame(list(enumerate(files.show(_sums(m)).split("\n"))), "row long, value string"), "SELECT CAST(0 AS BIGINT) AS row, '[' || string_agg(CAST(v AS VARCHAR), ', ' ORDER BY col) || ']' AS value FROM (SELECT col, sum(value) AS v FROM m GROUP BY col)")
+
+
+def _bits_in_place(m: Grid, b: Grid) -> Grid:
+    x = _whole(m)
+    x |= 5
+    x &= _whole(b) + 64
+    x >>= 1
+    return x.map(_number)
+
+
+_add("operator_in_place", _bits_in_place, "SELECT row, col, CAST(((CAST(m.value AS BIGINT) | 5) & (CAST(b.value AS BIGINT) + 64)) >> 1 AS DOUBLE) AS value FROM m JOIN b USING (row, col)")
+
+_COUNTS = "w AS (SELECT value, sum(a) AS a, sum(b) AS b FROM (SELECT value, 1 AS a, 0 AS b FROM m UNION ALL SELECT value, 0, 1 FROM b) GROUP BY value)"
+for _name, _times in (("set_union", "greatest(a, b)"), ("set_intersection", "least(a, b)"), ("set_difference", "greatest(a - b, 0)"), ("set_symmetric_difference", "abs(a - b)"), ("merge", "a + b")):
+    _add(f"multi{_name}", lambda m, b, f=getattr(multiset, _name): f(m, b).df.select("col", "value"), f", {_COUNTS} SELECT row_number() OVER (ORDER BY value) - 1 AS col, value FROM (SELECT value, unnest(range(0, CAST({_times} AS BIGINT))) FROM w)")
+_add("minmax_element", lambda m, b: multiset.minmax_element(m).withColumn("value", F.lit(0.0)), "SELECT (SELECT row * 20 + col FROM m ORDER BY value, row, col LIMIT 1) AS first_min, (SELECT row * 20 + col FROM m ORDER BY value DESC, row DESC, col DESC LIMIT 1) AS last_max, CAST(0 AS DOUBLE) AS value")
+_add("rotate", lambda m, b: multiset.rotate(layout.flatten(m), 33), "SELECT CAST(0 AS BIGINT) AS row, (row * 20 + col - 33 + R * 20) % (R * 20) AS col, value FROM m, d")

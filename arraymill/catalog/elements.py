@@ -210,6 +210,7 @@ _BOOLEANS = {
     "logical_not": (lambda: _L.logical_not("d"), "d = 0"),
     "signbit": (lambda: _N.signbit("s"), "s < 0"),
     "complex_less": (lambda: complexes.less(complexes.complex_("q", "s"), complexes.complex_("n", "u")), "q < n OR (q = n AND s < u)"),
+    "essentiallyEqualComplex": (lambda: complexes.essentially_equal_complex(complexes.complex_("s", "n"), complexes.complex_("w", F.col("n") + F.when(F.col("n") == 3, 1).otherwise(0))), "s = w AND n <> 3"),
     "dcm_isValid": (lambda: geometry.is_rotation(geometry.euler_dcm("s", "u", "q")), "true"),
     "hamming_two_errors": (lambda: _B.hamming_decode(_B.hamming_encode("i", 26).bitwiseXOR(F.lit(5)), 26)["status"] == 2, "true"),
 }

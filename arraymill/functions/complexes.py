@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .numeric import INF, Value, col, copysign, divide
+from .numeric import INF, Value, col, copysign, divide, essentially_equal
 
 
 def complex_(re: Value, im: Value = 0.0) -> Column:
     return F.struct(col(re).cast("double").alias("re"), col(im).cast("double").alias("im"))
 
 
+def essentially_equal_complex(a: Column, b: Column, epsilon: float = 2.0**-52) -> Column:
+    """Equality of both parts within a relative epsilon."""
+    return essentially_equal(a["re"], b["re"], epsilon) & essentially_equal(a["im"], b["im"], epsilon)
+
+
 def real(z: Column) -> Column:
     return z["re"]
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -236,6 +237,15 @@ def to_text(x: Value) -> Column:
     return col(x).cast("string")
 
 
+def dtype_info(kind: str) -> dict[str, float | int | bool]:
+    """Bits, sign, wholeness, epsilon and range of an element type, by Spark's or the array's name for it."""
+    named = {"tinyint": "int8", "smallint": "int16", "int": "int32", "bigint": "int64", "float": "float32", "double": "float64"}
+    own = np.dtype(named.get(kind, kind))
+    whole = own.kind in "iu"
+    limits = np.iinfo(own) if whole else np.finfo(own)
+    return {"bits": own.itemsize * 8, "is_integer": whole, "is_signed": own.kind != "u", "epsilon": 0.0 if whole else float(limits.eps), "min": int(limits.min) if whole else float(limits.min), "max": int(limits.max) if whole else float(limits.max)}
+
+
 def epsilon_of(kind: str) -> float:
     return {"float": 2.0**-23, "double": 2.0**-52}.get(kind, 0.0)
 

@@ -271,6 +271,11 @@ class Slice:
         own = self.resolved(size)
         return (position >= own.start) & (position < own.stop) & ((position - own.start) % own.step == 0)
 
+    def to_indices(self, size: int) -> list[int]:
+        """The positions in rising order; a slice is a bounded request, so they fit the driver."""
+        own = self.resolved(size)
+        return list(range(own.start, own.stop, own.step))
+
     def count(self, size: int) -> int:
         own = self.resolved(size)
         return -(-(own.stop - own.start) // own.step)

@@ -169,3 +169,25 @@ def diag(x: Grid, k: int = 0) -> Grid:
     from .indexing import diagonal
 
     return diagonal(x, k)
+
+
+def copyto(x: Grid, source: Grid | float, where: Grid | None = None) -> Grid:
+    """The first grid with the other's values, under its broadcasting rules; with a mask only where that holds."""
+    if where is None:
+        return x.zip(source, lambda _, v: v)
+    return x.zip(source, lambda v, w: F.struct(v.alias("v"), w.cast("double").alias("w"))).zip(where, lambda p, m: F.when(m, p["w"]).otherwise(p["v"]))
+
+
+def swap(a: Grid, b: Grid) -> tuple[Grid, Grid]:
+    """Both grids, each under the other's name."""
+    return b, a
+
+
+def resize_fast(x: Grid, rows: int, cols: int) -> Grid:
+    """Another shape with new cells, all of them zero."""
+    return from_function(x.df.sparkSession, lambda r, c: F.lit(0.0), rows, cols)
+
+
+def alen(x: Grid) -> int:
+    """Length of the first axis."""
+    return x.rows
