@@ -110,3 +110,12 @@ def test_own_statements_hold_before_inheritance(spark):
     assert (got[2].own_license, got[2].own_score, got[2].license) == ("CC-BY-NC-4.0", 1.0, "CC-BY-NC-4.0")
     assert (got[3].own_license, got[3].license, got[3].inherited_from) == (None, None, None)
     assert all((got[i].license, got[i].inherited_from) == ("MIT", "d") for i in (4, 5))
+
+
+def test_notices_that_differ_in_few_words_are_told_apart(spark):
+    """Each template of several lines, wrapped and with its blanks as publishers have them, as a file of its own."""
+    notices = [(name, " ".join(text.split())) for name, text in ls.TEMPLATES if "\n" in text]
+    assert {"GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "BSD-2-Clause", "BSD-3-Clause"} <= {n for n, _ in notices}
+    rows = [(i, f"p{i}/x.txt", re.sub(r"(.{60,75}) ", r"\1\n", text)) for i, (_, text) in enumerate(notices)]
+    got = {r.doc_id: r.own_license for r in ls.scan(spark.createDataFrame(rows, "doc_id long, path string, text string"), F.col("path")).collect()}
+    assert got == {i: name for i, (name, _) in enumerate(notices)}
