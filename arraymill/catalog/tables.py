@@ -14,7 +14,7 @@ from ..operators.grid import Grid
 from ..plans.asof import bracket
 from ..plans.ordered import ranked, running_sum
 from ..sources.files import from_table
-from ..streaming.running import sessions, settled, windowed
+from ..streaming.running import appended, cumulative, sessions, settled, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -296,6 +296,21 @@ def stream_windows(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", _round(F.col("sum")).alias("total"), "max")
 
 
+@_register("stream_cumulative", """
+    WITH e AS (SELECT event_type, ts, value FROM events WHERE ts <= (SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 10 MINUTE FROM events)),
+    r AS (SELECT *, row_number() OVER w AS n, sum(value) OVER w AS s, value - lag(value) OVER w AS d, max(value) OVER w AS m, coalesce(value > max(value) OVER (PARTITION BY event_type ORDER BY ts, value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS top
+          FROM e WINDOW w AS (PARTITION BY event_type ORDER BY ts, value ROWS UNBOUNDED PRECEDING))
+    SELECT event_type, ts, n, floor(s * 1e4 + 0.5) / 1e4 AS sum, floor(coalesce(d, 0) * 1e4 + 0.5) / 1e4 AS diff, m AS largest, last_value(CASE WHEN top THEN ts END IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY ts, value ROWS UNBOUNDED PRECEDING) AS largest_at FROM r
+""")
+def stream_cumulative(spark, sf_dir):
+    """Running sums, differences and greatest values of a stream's events by type, up to the watermark."""
+    path = f"{sf_dir}/events.parquet"
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[t]")
+    out = appended(cumulative(stream, "ts", F.col("value"), "event_type"), "stream-cumulative")
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return out.select("event_type", at("ts"), "n", _round(F.col("sum")).alias("sum"), _round(F.coalesce("diff", F.lit(0.0))).alias("diff"), "largest", at("largest_at"))
+
+
 @_register("session_stream", """
     WITH e AS (SELECT ts, event_type, value, CASE WHEN ts - lag(ts) OVER w < INTERVAL 5 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts)),
     s AS (SELECT *, sum(fresh) OVER (PARTITION BY event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM e)

@@ -56,6 +56,53 @@ def totals(stream: DataFrame, value: Column, key: str) -> DataFrame:
     return rows.groupBy(key).applyInPandasWithState(add, f"`{key}` {kind}, n bigint, sum double", "n bigint, total double", "update", GroupStateTimeout.NoTimeout)
 
 
+def cumulative(stream: DataFrame, ts: str, value: Column, key: str, late: str = "10 minutes") -> DataFrame:
+    """``key, ts, value, n, sum, diff, largest, largest_at``: running figures of each key's values in event time.
+
+    n and sum go up to and with the row, ``diff`` is what the value adds to the one before it, ``largest``
+    the greatest value so far, the first of equals, and ``largest_at`` its time. Rows wait in the state
+    until the watermark, ``late`` behind the newest event, has passed them, and leave it in order of time,
+    then value, so rows that come out of order within that delay count where they belong; rows that
+    come later still are dropped. An event-time timer lets a key's last rows go when nothing more of the key
+    comes. State is a key's waiting rows and five numbers. Null times are dropped, null values too.
+    """
+
+    def run(own: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        waiting, n, total, last, largest, at = state.get if state.exists else ([], 0, 0.0, None, None, None)
+        waiting = [tuple(w) for w in waiting]
+        for piece in pieces:
+            if len(piece):
+                waiting += list(zip((int(t.value // 1000) for t in piece["_ts"]), map(float, piece["_v"]), strict=True))
+        line = state.getCurrentWatermarkMs() * 1000
+        ready, waiting = sorted(w for w in waiting if w[0] <= line), sorted(w for w in waiting if w[0] > line)
+        out = []
+        for t, v in ready:
+            n, total, step = n + 1, total + v, None if last is None else v - last
+            last = v
+            if largest is None or v > largest:
+                largest, at = v, t
+            out.append((own[0], pd.Timestamp(t, unit="us"), v, n, total, step, largest, pd.Timestamp(at, unit="us")))
+        state.update((waiting, n, total, last, largest, at))
+        if waiting:
+            state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
+        yield pd.DataFrame(out, columns=[key, ts, "value", "n", "sum", "diff", "largest", "largest_at"])
+
+    kind = stream.schema[key].dataType.simpleString()
+    rows = stream.select(key, F.col(ts).cast("timestamp").alias("_ts"), value.cast("double").alias("_v")).dropna(subset=["_ts", "_v"]).withWatermark("_ts", late)
+    schema = f"`{key}` {kind}, `{ts}` timestamp, value double, n bigint, sum double, diff double, largest double, largest_at timestamp"
+    held = "waiting array<struct<t: bigint, v: double>>, n bigint, total double, last double, largest double, at bigint"
+    return rows.groupBy(key).applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def appended(stream: DataFrame, name: str) -> DataFrame:
+    """All rows that a stream has put out once the input that is there now is read, as a table."""
+    spark = stream.sparkSession
+    place = f"{checkpoint_folder(spark)}/arraymill/{name}-{uuid.uuid4().hex}"
+    run = stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{place}/log").option("path", f"{place}/rows")
+    run.trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{place}/rows")
+
+
 def settled(stream: DataFrame, name: str) -> DataFrame:
     """The rows that an aggregated stream has once all input that is there now is read, as a table."""
     spark = stream.sparkSession
