@@ -21,7 +21,7 @@ def rows(df):
 @pytest.mark.parametrize("name", SAMPLE + EVERY)
 def test_query_agrees_with_sql(spark, name):
     db = duckdb.connect()
-    for table in ("lineitem", "part", "customer", "events", "orders", "nation", "embeddings"):
+    for table in ("lineitem", "part", "customer", "supplier", "events", "orders", "nation", "region", "embeddings"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     assert rows(entry.queries()[name](spark, SF).toPandas()) == rows(db.execute(entry.oracle_sql()[name]).df())
 
