@@ -109,9 +109,11 @@ def argsort(spark, sf_dir):
     return order.argsort(_column(spark, sf_dir, "customer", "c_acctbal", "c_custkey")).df.select("col", "value")
 
 
-@_register("partition", "SELECT c_acctbal AS value FROM customer ORDER BY c_acctbal LIMIT 1 OFFSET 10")
+@_register("partition", "SELECT CAST(sign(r - 10) AS DOUBLE) AS side, count(*) AS n, min(v) AS low, max(v) AS high FROM (SELECT c_acctbal AS v, row_number() OVER (ORDER BY c_acctbal) - 1 AS r FROM customer) GROUP BY 1")
 def partition(spark, sf_dir):
-    return order.partition(_column(spark, sf_dir, "customer", "c_acctbal", "c_custkey"), 10).df.filter("col = 10").select("value")
+    """What lies before, at and behind place 10 of all values."""
+    out = order.partition(_column(spark, sf_dir, "customer", "c_acctbal", "c_custkey"), 10).df
+    return out.groupBy(F.signum(F.col("col") - 10).alias("side")).agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
 for _mode, _pick in (("lower", "floor((n - 1) * 0.37)"), ("higher", "ceil((n - 1) * 0.37)"), ("nearest", "round_even((n - 1) * 0.37, 0)")):
