@@ -96,3 +96,19 @@ def test_covariance_and_correlation_of_grids(spark):
     np.testing.assert_allclose(table(products.cov(x)), np.cov(m))
     np.testing.assert_allclose(table(products.corrcoef(x)), np.corrcoef(m))
     np.testing.assert_allclose(table(products.multi_dot([x, Grid.local(spark, m.T.tolist())])), m @ m.T)
+
+
+@pytest.mark.parametrize("held", [1, 64 << 20])
+def test_products_shuffle_no_tiles_of_the_result(spark, monkeypatch, held):
+    def none(parts):
+        raise AssertionError("tiles of the result are shuffled")
+
+    monkeypatch.setattr(blocks, "_added", none)
+    monkeypatch.setattr(blocks, "HELD", held)
+    rng = np.random.default_rng(5)
+    for rows, inner, cols in ((9, 3, 14), (9, 11, 14)):
+        a, b = rng.normal(size=(rows, inner)), rng.normal(size=(inner, cols))
+        x, y = (BlockMatrix.from_grid(Grid.local(spark, m.tolist()), 4) for m in (a, b))
+        made = {(r["row"], r["col"]): r["value"] for r in x.multiply(y).to_grid().df.collect()}
+        assert len(made) == rows * cols
+        assert all(abs(made[i, j] - (a @ b)[i, j]) < 1e-12 for i in range(rows) for j in range(cols))
