@@ -63,3 +63,24 @@ def test_singular_values_and_pseudo_inverses_of_grids(spark, shape):
     np.testing.assert_allclose(s[0], np.linalg.svd(m)[1], rtol=1e-10)
     np.testing.assert_allclose(u * s @ vt, m, atol=1e-10)
     np.testing.assert_allclose(dense(products.pinv(Grid.local(spark, m.tolist()))), np.linalg.pinv(m), atol=1e-10)
+
+
+def test_queries_of_factors_multiply_in_tiles(spark, monkeypatch):
+    from arraymill.catalog import domains
+
+    def none(*_):
+        raise AssertionError("a row for each product of cells")
+
+    monkeypatch.setattr(domains.products, "matmul", none)
+    monkeypatch.setattr(domains.factor, "SIDES", (3,))
+    for name in ("cholesky", "lu_decomposition", "pivotLU_decomposition"):
+        assert domains.QUERIES[name](spark, "/root/testdata/sf0.001").count() == 100
+
+
+def test_tables_of_earlier_rounds_are_deleted(spark, tmp_path, monkeypatch):
+    from arraymill.plans import cut as plans
+
+    monkeypatch.setattr(plans, "checkpoint_folder", lambda _: f"file://{tmp_path}")
+    m = np.random.default_rng(3).normal(size=(20, 20))
+    factor.lu(BlockMatrix.from_grid(Grid.local(spark, m.tolist()), 4))
+    assert len(list((tmp_path / "arraymill").iterdir())) == 1

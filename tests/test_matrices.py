@@ -105,6 +105,7 @@ def test_products_shuffle_no_tiles_of_the_result(spark, monkeypatch, held):
 
     monkeypatch.setattr(blocks, "_added", none)
     monkeypatch.setattr(blocks, "HELD", held)
+    monkeypatch.setattr(blocks, "SQUARE", held)
     rng = np.random.default_rng(5)
     for rows, inner, cols in ((9, 3, 14), (9, 11, 14)):
         a, b = rng.normal(size=(rows, inner)), rng.normal(size=(inner, cols))
