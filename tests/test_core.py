@@ -223,3 +223,10 @@ def test_a_cluster_without_a_shared_folder_is_an_error(spark, monkeypatch):
     monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         checkpoint_folder(spark)
+
+
+def test_integrals_of_rows_by_arrays(spark):
+    rows = spark.createDataFrame([(0.0, 2.0), (1.0, 1.0), (-1.0, 3.0)], "low double, high double")
+    for rule, n in ((integrate.trapezoidal_rows, 4000), (integrate.simpson_rows, 60), (integrate.romberg_rows, 7), (integrate.gauss_legendre_rows, 10)):
+        for low, high, v in rows.withColumn("v", integrate.column(rule, F.col("low"), F.col("high"), n, np.sin)).collect():
+            assert math.isclose(v, math.cos(low) - math.cos(high), abs_tol=1e-6)
