@@ -26,7 +26,7 @@ def _add(name: str, column: Callable[[], Column], sql: str, kind: str = "double"
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(*_split(_BASE))
         value = column()
-        value = F.floor(value.cast("double") * 1e6 + 0.5) / 1e6 if kind == "double" else value.cast(kind)
+        value = _N.half_up(value, 6) if kind == "double" else value.cast(kind)
         return rows.select("l_orderkey", "l_linenumber", value.alias("value"))
 
     QUERIES[name] = run

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import polynomials, reducers
+from ..functions import numeric, polynomials, reducers
 from ..functions.numeric import NAN
 from ..operators import order, products
 from ..operators.grid import Grid
@@ -24,7 +24,7 @@ _X = "CASE WHEN l_linenumber = 3 THEN NULL ELSE l_quantity END"
 
 
 def _round(c: Column) -> Column:
-    return F.floor(c.cast("double") * 1e4 + 0.5) / 1e4
+    return numeric.half_up(c, 4)
 
 
 def _reducer(name: str, f: Callable[[Column], Column], sql: str, kind: str = "double", nan: bool = False) -> None:

@@ -230,3 +230,28 @@ def test_integrals_of_rows_by_arrays(spark):
     for rule, n in ((integrate.trapezoidal_rows, 4000), (integrate.simpson_rows, 60), (integrate.romberg_rows, 7), (integrate.gauss_legendre_rows, 10)):
         for low, high, v in rows.withColumn("v", integrate.column(rule, F.col("low"), F.col("high"), n, np.sin)).collect():
             assert math.isclose(v, math.cos(low) - math.cos(high), abs_tol=1e-6)
+
+
+def test_rounding_of_values_beyond_64_bit_integers(spark):
+    values = [1.25e20, -3.5e300, 0.12345, -0.00005, float("inf"), float("nan")]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v double").select(numeric.half_up("v", 4)).collect()]
+    assert got[:2] == pytest.approx(values[:2], rel=1e-15)
+    assert got[2:5] == [0.1235, 0.0, math.inf] and math.isnan(got[5])
+
+
+def test_a_sparse_identity_has_its_diagonal_alone(spark):
+    m = Grid.local(spark, [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]])
+    unit = creation.identity(spark, 3, sparse=True)
+    assert unit.df.count() == 3
+    assert sorted(map(tuple, products.matmul(unit, m).df.select("row", "col", "value").collect())) == sorted(map(tuple, m.df.select("row", "col", "value").collect()))
+
+
+def test_greatest_common_divisors(spark):
+    rows = [(12, 18), (0, 0), (0, 7), (-12, 18), (2**62, 2**61 + 2**60), (9007199254740993, 3), (None, 4), (4, None)]
+    got = spark.createDataFrame(rows, "a long, b long").select("a", "b", numeric.gcd("a", "b").alias("g"), numeric.lcm("a", "b").alias("l")).collect()
+    for a, b, g, m in got:
+        if a is None or b is None:
+            assert g is None
+        else:
+            assert g == math.gcd(a, b) and (a == 2**62 or m == math.lcm(a, b))
+    assert "aggregate" not in str(spark.range(1).select(numeric.gcd("id", "id"))._jdf.queryExecution().analyzed())
