@@ -19,8 +19,12 @@ from .grid import Grid
 
 #: Tries of a rejection. One is accepted with probability 0.95 or more, so all fail in 10^-26 of the draws.
 TRIES = 20
+#: Tries that are expressions of their own, without a loop.
+COMPILED = 2
 #: Mean of the largest count that is drawn in one look-up; larger ones are sums.
 TABLE_MEAN = 256
+#: Bounds of a look-up that are compared by expressions; more of them are an array.
+COMPARED = 128
 
 
 def _inverse(weights: list[float]) -> Callable[[Column], Column]:
@@ -29,8 +33,18 @@ def _inverse(weights: list[float]) -> Callable[[Column], Column]:
     for w in weights[:-1]:
         done += w / total
         bounds.append(done)
+
+    def below(u: Column, low: int, high: int) -> Column:
+        """How many bounds lie at or below u, of which at least ``low`` and at most ``high`` do: halves are compared, as Spark compiles them."""
+        if low == high:
+            return F.lit(low).cast("long")
+        middle = (low + high) // 2
+        return F.when(u < bounds[middle], below(u, low, middle)).otherwise(below(u, middle + 1, high))
+
+    if len(bounds) <= COMPARED:
+        return lambda u: below(u, 0, len(bounds))
     own = F.array(*[F.lit(b) for b in bounds])
-    return lambda u: F.size(F.filter(own, lambda b: b <= u)).cast("long") if bounds else F.lit(0).cast("long")
+    return lambda u: F.size(F.filter(own, lambda b: b <= u)).cast("long")
 
 
 def _weights(mass: Callable[[int], float], middle: float) -> list[float]:
@@ -135,7 +149,12 @@ class RNG:
     def on_sphere(self, dims: int = 2) -> Column:
         """A point of the unit sphere as an array."""
         point = F.array(*[self.randn() for _ in range(dims)])
-        return self._once([point], lambda o: F.transform(o, lambda x: x / F.sqrt(F.aggregate(o, F.lit(0.0), lambda s, y: s + y * y))))
+
+        def onto(o: Column) -> Column:
+            length = F.sqrt(sum((o[i] * o[i] for i in range(1, dims)), o[0] * o[0]))
+            return F.array(*[o[i] / length for i in range(dims)])
+
+        return self._once([point], onto)
 
     # ---- by rejection and by tables
 
@@ -155,17 +174,17 @@ class RNG:
             v = F.pow(1 + x / F.sqrt(9 * d), F.lit(3.0))
             return F.when((v > 0) & (F.log(u) < 0.5 * x * x + d - d * v + d * F.log(v)), d * v)
 
-        # once a try is accepted the others aren't evaluated
-        drawn = F.coalesce(F.aggregate(F.sequence(F.lit(0), F.lit(TRIES - 1)), F.lit(None).cast("double"), lambda found, i: F.coalesce(found, attempt(i))), d)
+        # once a try is accepted the others aren't evaluated; the first are compiled, and nearly all draws end there
+        later = F.aggregate(F.sequence(F.lit(COMPILED), F.lit(TRIES - 1)), F.lit(None).cast("double"), lambda found, i: F.coalesce(found, attempt(i)))
+        drawn = F.coalesce(*[attempt(F.lit(i)) for i in range(COMPILED)], later, d)
         return F.when(a < 1, drawn * F.pow(self.rand(), 1 / a)).otherwise(drawn)
 
     def chi_square(self, dof: float | Column) -> Column:
         return self.gamma(dof / 2, 2.0)
 
     def beta(self, a: float, b: float) -> Column:
-        # the ratio of one to both; bound, since either is used twice
-        parts = F.struct(self.gamma(a).alias("x"), self.gamma(b).alias("y"))
-        return F.transform(F.array(parts), lambda p: p["x"] / (p["x"] + p["y"]))[0]
+        # the ratio of one to both
+        return self._once([self.gamma(a), self.gamma(b)], lambda x, y: x / (x + y))
 
     def f(self, dof1: float, dof2: float) -> Column:
         return (self.chi_square(dof1) / dof1) / (self.chi_square(dof2) / dof2)
@@ -174,7 +193,7 @@ class RNG:
         return self.randn() / F.sqrt(self.chi_square(dof) / dof)
 
     def non_central_chi_squared(self, k: float = 1.0, lam: float = 1.0) -> Column:
-        return F.transform(F.array(self.poisson(lam / 2)), lambda n: self.chi_square(k + 2 * n))[0]
+        return self._once([self.poisson(lam / 2)], lambda n: self.chi_square(k + 2 * n))
 
     def _looked_up(self, mass: Callable[[int], float], middle: float) -> Column:
         return self._once([self.rand()], _inverse(_weights(mass, middle)))

@@ -255,3 +255,12 @@ def test_greatest_common_divisors(spark):
         else:
             assert g == math.gcd(a, b) and (a == 2**62 or m == math.lcm(a, b))
     assert "aggregate" not in str(spark.range(1).select(numeric.gcd("id", "id"))._jdf.queryExecution().analyzed())
+
+
+def test_draws_by_key_are_compiled_and_stay_the_same(spark):
+    rows = spark.range(3000)
+    draws = {"beta": (lambda g: g.beta(2, 3), 218160915790673430), "poisson": (lambda g: g.poisson(4), -4430342645745389939), "gamma": (lambda g: g.gamma(2, 1.5), 8880239825269635290)}
+    for draw, known in draws.values():
+        assert rows.select(F.bit_xor(F.xxhash64("id", draw(RNG(7, "id"))))).first()[0] == known
+    assert "filter(" not in str(rows.select(RNG(7, "id").poisson(4))._jdf.queryExecution().analyzed())
+    assert "transform(" not in str(rows.select(RNG(7, "id").beta(2, 3))._jdf.queryExecution().analyzed())
