@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,10 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..plans.cut import checkpoint_folder
 
 
+#: Rows that a key puts out at a time.
+PIECE = 100_000
+
+
 def _reduced(windows: DataFrame, value: Column, keys: tuple[str, ...]) -> DataFrame:
     return (
         windows.agg(F.count("*").alias("n"), F.sum(value).alias("sum"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("stdev"))
@@ -64,33 +69,42 @@ def cumulative(stream: DataFrame, ts: str, value: Column, key: str, late: str =
     until the watermark, ``late`` behind the newest event, has passed them, and leave it in order of time,
     then value, so rows that come out of order within that delay count where they belong; rows that
     come later still are dropped. An event-time timer lets a key's last rows go when nothing more of the key
-    comes. State is a key's waiting rows and five numbers. Null times are dropped, null values too.
+    comes. State is a key's waiting rows, 16 bytes each, and five numbers; rows leave in pieces. Null times are dropped, null values too.
     """
 
     def run(own: tuple, pieces: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        waiting, n, total, last, largest, at = state.get if state.exists else ([], 0, 0.0, None, None, None)
-        waiting = [tuple(w) for w in waiting]
+        times, values, n, total, last, largest, at = state.get if state.exists else (b"", b"", 0, 0.0, None, None, None)
+        times, values = [np.frombuffer(times, np.int64)], [np.frombuffer(values, np.float64)]
         for piece in pieces:
             if len(piece):
-                waiting += list(zip((int(t.value // 1000) for t in piece["_ts"]), map(float, piece["_v"]), strict=True))
-        line = state.getCurrentWatermarkMs() * 1000
-        ready, waiting = sorted(w for w in waiting if w[0] <= line), sorted(w for w in waiting if w[0] > line)
-        out = []
-        for t, v in ready:
-            n, total, step = n + 1, total + v, None if last is None else v - last
-            last = v
-            if largest is None or v > largest:
-                largest, at = v, t
-            out.append((own[0], pd.Timestamp(t, unit="us"), v, n, total, step, largest, pd.Timestamp(at, unit="us")))
-        state.update((waiting, n, total, last, largest, at))
-        if waiting:
-            state.setTimeoutTimestamp(waiting[0][0] // 1000 + 1)
-        yield pd.DataFrame(out, columns=[key, ts, "value", "n", "sum", "diff", "largest", "largest_at"])
+                times.append(piece["_ts"].to_numpy("datetime64[us]").astype(np.int64))
+                values.append(piece["_v"].to_numpy(np.float64))
+        times, values = np.concatenate(times), np.concatenate(values)
+        order = np.lexsort((values, times))
+        times, values = times[order], values[order]
+        ready = int(np.searchsorted(times, state.getCurrentWatermarkMs() * 1000, "right"))
+        for low in range(0, ready, PIECE):
+            t, v = times[low : min(low + PIECE, ready)], values[low : min(low + PIECE, ready)]
+            sums = np.cumsum(np.concatenate([[total], v]))[1:]
+            steps = np.diff(v, prepend=np.nan if last is None else last)
+            most = np.maximum.accumulate(v if largest is None else np.maximum(v, largest))
+            fresh = v > np.concatenate([[-np.inf if largest is None else largest], most[:-1]])
+            if largest is None:
+                fresh[0] = True
+            since = np.maximum.accumulate(np.where(fresh, np.arange(len(v)), -1))
+            places = np.where(since >= 0, t[since], 0 if at is None else at)
+            diff = pd.Series(steps).astype(object).where(np.arange(len(v)) > 0, None) if last is None else steps
+            yield pd.DataFrame({key: [own[0]] * len(v), ts: t.astype("datetime64[us]"), "value": v, "n": n + 1 + np.arange(len(v)), "sum": sums, "diff": diff, "largest": most, "largest_at": places.astype("datetime64[us]")})
+            n, total, last, largest, at = n + len(v), float(sums[-1]), float(v[-1]), float(most[-1]), int(places[-1])
+        times, values = times[ready:], values[ready:]
+        state.update((times.tobytes(), values.tobytes(), n, total, last, largest, at))
+        if len(times):
+            state.setTimeoutTimestamp(int(times[0]) // 1000 + 1)
 
     kind = stream.schema[key].dataType.simpleString()
     rows = stream.select(key, F.col(ts).cast("timestamp").alias("_ts"), value.cast("double").alias("_v")).dropna(subset=["_ts", "_v"]).withWatermark("_ts", late)
     schema = f"`{key}` {kind}, `{ts}` timestamp, value double, n bigint, sum double, diff double, largest double, largest_at timestamp"
-    held = "waiting array<struct<t: bigint, v: double>>, n bigint, total double, last double, largest double, at bigint"
+    held = "times binary, values binary, n bigint, total double, last double, largest double, at bigint"
     return rows.groupBy(key).applyInPandasWithState(run, schema, held, "append", GroupStateTimeout.EventTimeTimeout)
 
 

@@ -264,3 +264,17 @@ def test_draws_by_key_are_compiled_and_stay_the_same(spark):
         assert rows.select(F.bit_xor(F.xxhash64("id", draw(RNG(7, "id"))))).first()[0] == known
     assert "filter(" not in str(rows.select(RNG(7, "id").poisson(4))._jdf.queryExecution().analyzed())
     assert "transform(" not in str(rows.select(RNG(7, "id").beta(2, 3))._jdf.queryExecution().analyzed())
+
+
+def test_rows_of_a_stream_leave_in_pieces(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(running, "PIECE", 3)
+    rows = [(f"2024-01-01 00:{m:02d}:00", float(v)) for m, v in enumerate([4, 2, 9, 9, 1, 12, 3, 12, 0, 5, 20])]
+    spark.createDataFrame(rows, "t string, v double").selectExpr("'k' AS k", "CAST(t AS timestamp) AS ts", "v").coalesce(1).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("k string, ts timestamp, v double").parquet(f"{tmp_path}/in")
+    got = running.appended(running.cumulative(stream, "ts", F.col("v"), "k", "0 seconds"), "pieces").orderBy("n").collect()
+    total, last, best = 0.0, None, None
+    assert len(got) >= 10
+    for r, (_, v) in zip(got, rows, strict=False):
+        total, best = total + v, (r["ts"], v) if best is None or v > best[1] else best
+        assert (r["value"], r["sum"], r["diff"], r["largest_at"], r["largest"]) == (v, total, None if last is None else v - last, *best)
+        last = v
