@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordered import _dealt
+from .ordered import _dealt, _parts
+
+#: Rows of a range, which a task sorts and keeps: there are more ranges where there are more rows.
+RANGE_ROWS = 1 << 19
 
 
 def bracket(left: DataFrame, edges: DataFrame, on: str, by: list[str] | None = None, partitions: int | None = None) -> DataFrame:
@@ -27,13 +30,16 @@ def bracket(left: DataFrame, edges: DataFrame, on: str, by: list[str] | None = N
     marks = edges.filter(known(on)).select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(on).alias("_on"), F.lit(0).alias("_side"), F.struct(*payload).alias("_edge"))
     own = left.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(on).alias("_on"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"))
     # the last key spreads rows of one place over ranges and has no say in what they get
-    both = own.unionByName(marks, allowMissingColumns=True).withColumn("_deal", F.monotonically_increasing_id())
+    both = own.unionByName(marks, allowMissingColumns=True)
+    partitions = partitions or max(_parts(left), -(-both.count() // RANGE_ROWS))
+    both = both.withColumn("_deal", F.monotonically_increasing_id())
     rows = _dealt(both, [F.col(c) for c in (*keys, "_on", "_side", "_edge", "_deal")], partitions)
     is_edge = F.col("_side") == 0
     mark = F.when(is_edge, F.struct(*keys, F.col("_edge").alias("edge")))
     part = Window.partitionBy("_ordered_part").rowsBetween(Window.unboundedPreceding, 0)
     rising, falling = part.orderBy("_ordered_at"), part.orderBy(F.col("_ordered_at").desc())
-    rows = rows.withColumns({"_last": F.last(mark, ignorenulls=True).over(rising), "_count": F.count_if(is_edge).over(rising), "_next": F.last(mark, ignorenulls=True).over(falling)})
+    # the windows would else deal ranges to as many tasks as the session's setting says
+    rows = rows.repartition(partitions, "_ordered_part").withColumns({"_last": F.last(mark, ignorenulls=True).over(rising), "_count": F.count_if(is_edge).over(rising), "_next": F.last(mark, ignorenulls=True).over(falling)})
     ends = rows.groupBy("_ordered_part").agg(F.max_by(mark, F.when(is_edge, F.col("_ordered_at"))).alias("last"), F.min_by(mark, F.when(is_edge, F.col("_ordered_at"))).alias("next"), F.count_if(is_edge).alias("n"))
     # over a row for each range
     ranges = Window.partitionBy(F.lit(0)).orderBy("_ordered_part")
