@@ -79,3 +79,21 @@ def test_bins_and_interpolation_with_edges_in_a_table(spark):
     np.testing.assert_allclose(order.interp(x, points).df.orderBy("col").toPandas()["value"], np.interp(v, xp, fp), rtol=1e-12)
     with pytest.raises(Exception, match="outside"):
         order.interp(Grid.local(spark, [30.0]), points).df.collect()
+
+
+def test_ranges_grow_in_number_with_the_rows(spark, monkeypatch):
+    from arraymill.plans import asof
+
+    monkeypatch.setattr(asof, "RANGE_ROWS", 50)
+    rows = spark.range(1000).selectExpr("id", "CAST(id AS double) AS at")
+    edges = spark.range(0, 1000, 10).selectExpr("CAST(id AS double) AS at", "id AS edge")
+    met = asof.bracket(rows, edges, "at")
+    assert met.rdd.getNumPartitions() >= 20
+    assert met.filter("below.edge <> id div 10 * 10 OR edges <> id div 10 + 1").count() == 0 and met.count() == 1000
+
+
+def test_small_files_of_costly_rows_reach_all_tasks(spark):
+    from arraymill.catalog import domains, special
+
+    for queries, name in ((domains.QUERIES, "airy"), (special.QUERIES, "special_airy_bi")):
+        assert queries[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
