@@ -129,6 +129,19 @@ def test_special_functions_at_tabled_points():
     assert s.prime(0) == 2 and s.prime(9999) == 104729
 
 
+def test_special_functions_work_out_distinct_arguments_once(spark):
+    values = np.array([0.5, -0.0, np.nan, 0.0, 0.5, 2.0, np.nan, -0.0] * 300)
+    sizes = []
+    got = special.each_distinct(lambda x, y: sizes.append(len(x)) or np.copysign(1, x) + y, values, np.repeat([1.0, 2.0], 1200))
+    np.testing.assert_array_equal(got, np.copysign(1, values) + np.repeat([1.0, 2.0], 1200))
+    assert sum(sizes) == 10 and special.each_distinct(special.erf, np.zeros(0)).shape == (0,)
+    special.each_distinct(lambda x: sizes.append(len(x)) or x, np.arange(3000.0))
+    assert max(sizes) <= special.BLOCK and sum(sizes) == 3010
+    # each batch of a table, too: the function tells how many values it got
+    rows = spark.range(0, 4000, 1, 2).select(special.column(lambda x: np.full(len(x), float(len(x))), F.col("id") % 7).alias("n"))
+    assert rows.agg(F.max("n")).collect() == [(7.0,)]
+
+
 def test_hamming_code(spark):
     rows = spark.range(200).select("id", hamming_encode(F.col("id"), 11).alias("w"))
     for k in range(16):
