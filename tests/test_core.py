@@ -142,6 +142,14 @@ def test_special_functions_work_out_distinct_arguments_once(spark):
     assert rows.agg(F.max("n")).collect() == [(7.0,)]
 
 
+def test_bernoulli_numbers_of_many_indexes_at_once(monkeypatch):
+    asked, zeta = [], special.riemann_zeta
+    monkeypatch.setattr(special, "riemann_zeta", lambda s: asked.append(np.size(s)) or zeta(s))
+    got = special.bernoulli(np.array([0.0, 1, 2, 3, 10, 0, 400, 401, np.nan]))
+    assert np.allclose(got, [1, 1 / 6, -1 / 30, 1 / 42, -174611 / 330, 1, -np.inf, np.inf, np.nan], rtol=1e-12, equal_nan=True)
+    assert asked == [9]
+
+
 def test_hamming_code(spark):
     rows = spark.range(200).select("id", hamming_encode(F.col("id"), 11).alias("w"))
     for k in range(16):
