@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components, dealt_blocks, joined_labels, run_ends, whole_groups
-from .shared import drop_table, text_key, text_or_empty, written
+from .shared import drop_table, give_back, text_key, text_or_empty, written
 from .shingles import mixed64, pieces, shingle_hashes
 
 WIDTH = 5
@@ -89,6 +89,7 @@ def sketched(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                 words = sig.view("<i8")
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(node) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(node), pa.array(size), lists], names=["doc_id", "text_key", "node", "size", "sig"])
+            give_back()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", text_key().alias("text_key"), text_or_empty().alias("text"))

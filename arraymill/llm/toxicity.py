@@ -54,6 +54,8 @@ MODEL_ROWS = 4_000_000
 LABEL_ROWS = 1_000_000
 #: Bytes of text that are taken apart at once.
 PIECE = 1_000_000
+#: Rows whose texts a task takes from a batch at once.
+ROWS = 1_000
 #: Means, deviations and weights for the three features where no curve can be fitted.
 PLAIN_CURVE = (np.zeros(3), np.ones(3), np.array([-3.0, 0.0, 200.0, 40.0]))
 _PLAIN = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -113,17 +115,18 @@ def class_grams(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, keys, counts = batch.column(0).to_pylist(), [], []
-            kind = batch.column(1).fill_null(2).to_numpy(zero_copy_only=False)
-            for part, start, end, doc in slices(texts):
-                first, which = distinct_words(part, start, end)
-                weights = [np.bincount(which, own, minlength=len(first)) for own in (np.ones(len(doc)), kind[doc] == 1, kind[doc] == 0)]
-                key, word = grams(part, start[first], end[first])
-                keys.append(key)
-                counts.append(np.stack([w[word] for w in weights]))
-                if sum(map(len, keys)) > PIECE:
-                    keys, counts = _summed(keys, counts)
-            del texts
+            keys, counts = [], []
+            for low in range(0, batch.num_rows, ROWS):
+                rows = batch.slice(low, ROWS)
+                kind = rows.column(1).fill_null(2).to_numpy(zero_copy_only=False)
+                for part, start, end, doc in slices(rows.column(0).to_pylist()):
+                    first, which = distinct_words(part, start, end)
+                    weights = [np.bincount(which, own, minlength=len(first)) for own in (np.ones(len(doc)), kind[doc] == 1, kind[doc] == 0)]
+                    key, word = grams(part, start[first], end[first])
+                    keys.append(key)
+                    counts.append(np.stack([w[word] for w in weights]))
+                    if sum(map(len, keys)) > PIECE:
+                        keys, counts = _summed(keys, counts)
             keys, counts = _summed(keys, counts)
             yield pa.RecordBatch.from_arrays([pa.array(keys[0].astype(np.int64)), *(pa.array(c.astype(np.int64)) for c in counts[0])], names=["k", "all", "toxic", "ordinary"])
             del keys, counts
@@ -284,9 +287,9 @@ def with_features(docs: DataFrame, table: DataFrame, name: str, most: int = MODE
 
     @F.pandas_udf("array<double>")
     def features(text: pd.Series) -> pd.Series:
-        found = list(held.value.features(text.tolist()))
+        found = [x for low in range(0, len(text), ROWS) for x in held.value.features(text.iloc[low : low + ROWS].tolist())]
         give_back()
-        return pd.Series(found)
+        return pd.Series(found, dtype=object)
 
     return docs.withColumn(name, features(text_or_empty()))
 

@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pytest
 
@@ -77,3 +79,15 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert ngram_join.join(docs).count() == 0
     assert ngram_join.distinct_documents(docs).count() == 0
+
+
+def test_signatures_hold_little_memory_at_once():
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 10**6, 2000)).encode() for _ in range(250)]
+    ngram_join.signatures(texts[:40])
+    tracemalloc.start()
+    node, size, _ = ngram_join.signatures(texts)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert size.tolist() == [1996] * 250 and len(set(node.tolist())) == 250
+    assert peak < 60, peak

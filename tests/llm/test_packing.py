@@ -39,3 +39,12 @@ def test_digest_and_empty_table(spark):
     row = packing.ids_crc32(packing.pack(docs, vocabulary())).collect()[0]
     assert row.ids_crc32 == zlib.crc32(np.array(expected("some text"), "<u4").tobytes())
     assert packing.pack(docs.limit(0), vocabulary()).count() == 0
+
+
+def test_one_python_worker_a_task_and_any_width_of_ids(spark):
+    docs = spark.createDataFrame([(1, "some text"), (2, None)], "doc_id long, text string")
+    found = packing.ids_crc32(packing.pack(docs, vocabulary()))
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    ids = np.array([1, 0, 65535, 0x0A0D, 256], "<u2")
+    table = spark.createDataFrame([(bytearray(ids.tobytes()), 3), (bytearray(), 4)], "ids binary, `a.b` int")
+    assert [(r[0], r[1]) for r in packing.ids_crc32(table).orderBy("`a.b`").collect()] == [(zlib.crc32(ids.astype("<u4").tobytes()), 3), (0, 4)]
