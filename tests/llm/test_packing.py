@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -48,3 +49,15 @@ def test_one_python_worker_a_task_and_any_width_of_ids(spark):
     ids = np.array([1, 0, 65535, 0x0A0D, 256], "<u2")
     table = spark.createDataFrame([(bytearray(ids.tobytes()), 3), (bytearray(), 4)], "ids binary, `a.b` int")
     assert [(r[0], r[1]) for r in packing.ids_crc32(table).orderBy("`a.b`").collect()] == [(zlib.crc32(ids.astype("<u4").tobytes()), 3), (0, 4)]
+
+
+def test_each_chunk_of_a_batch_is_encoded_once():
+    encoder, given = packing.Encoder(vocabulary()), []
+    fast = encoder.fast
+    encoder.fast = lambda text: given.append(text) or fast(text)
+    texts = ["one two  three\nfour　 five", " edges ", "é à  b\x85 c\x1c d", "", "\n", "é à \nx\n\nà b"]
+    ids, n = encoder(pa.array(["left out", *texts * 500]).slice(1))
+    assert [np.frombuffer(x, "<u2").tolist() for x in ids.to_pylist()] == [expected(t) for t in texts] * 500
+    assert n.tolist() == [len(expected(t)) for t in texts] * 500
+    assert sum(map(len, given)) < 2 * sum(map(len, texts))
+    assert encoder(pa.array([], pa.string()))[0].to_pylist() == []
