@@ -173,3 +173,13 @@ def test_a_determinant_keeps_no_tiles_below_the_diagonal(spark, tmp_path, monkey
         made = factor.lu(tiled(spark, m, 3), lower=False)
         np.testing.assert_allclose(made.determinant(), np.linalg.slogdet(m))
         assert not made.below
+
+
+def test_a_file_holds_as_many_tiles_as_a_reader_may_take_at_once(spark, tmp_path, monkeypatch):
+    from arraymill.plans import cut as plans
+
+    monkeypatch.setattr(plans, "checkpoint_folder", lambda _: f"file://{tmp_path}")
+    monkeypatch.setattr(factor, "READ", 3 * 8 * 4 * 4)
+    factor.lu(tiled(spark, A, 4))
+    files = list((tmp_path / "arraymill").rglob("*.parquet"))
+    assert files and max(spark.read.parquet(f"file://{f}").count() for f in files) <= 3
