@@ -113,3 +113,22 @@ def test_products_shuffle_no_tiles_of_the_result(spark, monkeypatch, held):
         made = {(r["row"], r["col"]): r["value"] for r in x.multiply(y).to_grid().df.collect()}
         assert len(made) == rows * cols
         assert all(abs(made[i, j] - (a @ b)[i, j]) < 1e-12 for i in range(rows) for j in range(cols))
+
+
+def test_cells_of_a_product_leave_the_worker_that_made_them(spark):
+    a, b = RNG.normal(size=(7, 10)), RNG.normal(size=(10, 5))
+    made = tiled(spark, a, 3).multiply(tiled(spark, b, 3))
+    alone, plan = (x._jdf.queryExecution().executedPlan().toString().count("MapInArrow") for x in (made.df, made.to_grid().df))
+    # tiles went to Spark and came back in a second worker
+    assert plan == alone
+    np.testing.assert_allclose(dense(made), a @ b)
+
+
+def test_products_of_triangles_and_sums(spark):
+    low = np.tril(RNG.normal(size=(9, 9)))
+    x = tiled(spark, low, 2)
+    np.testing.assert_allclose(dense(x.multiply(x.transpose())), low @ low.T, atol=1e-12)
+    own = spark.createDataFrame([(i, float(i)) for i in range(9)], "at long, value double")
+    np.testing.assert_allclose(dense(x.multiply(x, plus=BlockMatrix.diagonal(own, 9, 2).df)), low @ low + np.diag(np.arange(9.0)), atol=1e-12)
+    lower = x.multiply(x.transpose(), lower=True)
+    assert {(r["brow"], r["bcol"]) for r in lower.df.collect()} == {(i, j) for i in range(5) for j in range(i + 1)}
