@@ -132,3 +132,15 @@ def test_products_of_triangles_and_sums(spark):
     np.testing.assert_allclose(dense(x.multiply(x, plus=BlockMatrix.diagonal(own, 9, 2).df)), low @ low + np.diag(np.arange(9.0)), atol=1e-12)
     lower = x.multiply(x.transpose(), lower=True)
     assert {(r["brow"], r["bcol"]) for r in lower.df.collect()} == {(i, j) for i in range(5) for j in range(i + 1)}
+
+
+def test_tiles_are_dealt_to_as_few_squares_as_keep_the_cores_busy(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "200")
+    try:
+        x = BlockMatrix(spark.range(20).selectExpr("id as brow", "0L as bcol", "unhex(repeat('00', 8)) as data"), 20, 1, 1)
+        squares = x.multiply(x.transpose()).df.rdd.getNumPartitions()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    # 400 before, with each tile dealt 20 times
+    assert squares <= 4 * spark.sparkContext.defaultParallelism
